@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from newsloom.plans import attention, market  # noqa: F401  each registers its plans
+from newsloom.plans.registry import PLANS, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
