@@ -80,9 +80,16 @@ def tokens(clean: Column, stop_words: Sequence[str] = L.STOP_WORDS, min_length:
 
 
 def ngrams(words: Column, n: int = 2, glue: str = "_") -> Column:
-    """n-grams of an array; empty if it has fewer than n words."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-    return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), glue))).otherwise(F.array().cast("array<string>"))
+    """n-grams of an array; empty if it has fewer than n words.
+
+    Shifted copies are zipped: a lambda that looked into ``words`` could have the whole expression behind it inlined
+    and evaluated for every element.
+    """
+    left = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, 1, left)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, k + 1, left), lambda a, b: F.concat(a, F.lit(glue), b))
+    return out
 
 
 def suffix_lemma(word: Column) -> Column:
