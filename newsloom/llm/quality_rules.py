@@ -27,6 +27,8 @@ STATISTICS = (
 
 _UPPER = bytes(range(0x41, 0x5B))
 _DIGITS = b"0123456789"
+#: Words among which repeats count for ``distinct_share``.
+_WINDOW = 50
 
 
 def statistics(raw: bytes) -> tuple[float, ...]:
@@ -54,7 +56,8 @@ def statistics(raw: bytes) -> tuple[float, ...]:
         share(b"|", count),
         share(b".,;:", count),
         share(b"\n", count),
-        len(set(words)) / count,
+        # within windows, as the share over a whole text falls with its length
+        sum(len(set(words[i : i + _WINDOW])) for i in range(0, count, _WINDOW)) / count,
         sum(map(eq, words, words[1:])) / count,
         sum(s <= 3 for s in sizes) / count,
         (n - len(raw.translate(None, bytes(range(128, 256))))) / n,
