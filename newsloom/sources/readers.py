@@ -66,7 +66,7 @@ def price_payload(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames by column name; missing columns are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f.select("*") for f in frames))
 
 
 def paging_windows(bounds: DataFrame, start: Column, end: Column, stride: int = 31) -> DataFrame:
