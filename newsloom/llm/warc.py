@@ -310,7 +310,9 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     arcs = staged(write_arcs(pages, id_col, url_col, html_col), "arcs")
     payloads = staged(arc_payloads(arcs), "payloads")
-    return staged(convert_arcs(arcs, revisits(payloads, least)), "warcs")
+    # staged, so that its size is known: where it is small the archives are not shuffled to meet it
+    refers = staged(revisits(payloads, least), "refers")
+    return staged(convert_arcs(arcs, refers), "warcs")
 
 
 def export_archives(archives: DataFrame, folder: str) -> list[str]:
