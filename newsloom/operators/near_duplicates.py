@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.operators.lineage import cut_lineage
 from newsloom.operators.relational import keep_first
 from newsloom.operators.vocabulary import term_counts, term_totals, tfidf_smooth
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names; a temporary folder only where it names none."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        conf = context.getConf()
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir") if conf.contains("spark.checkpoint.dir") else tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint()
-
-
 def similar_pairs(weights: DataFrame, days: DataFrame, doc: str, threshold: float = 0.95) -> DataFrame:
     """``(day, a, b, similarity)`` with a before b, for documents of one day with cosine above the threshold.
 

@@ -134,12 +134,14 @@ def event_study(events: DataFrame, daily: DataFrame, before: int = 3, after: int
 
     Prices are numbered within their symbol; an event takes the first price on or after its day.
     """
-    order = W.partitionBy(key).orderBy(at)
-    numbered = daily.withColumn("i", F.row_number().over(order)).withColumn("abnormal", F.col("simple_return") - F.avg("simple_return").over(W.partitionBy(key)))
-    spans = numbered.select(key, F.col("i").alias("event_i"), F.coalesce(F.lag(at).over(order), F.lit("0001-01-01").cast("date")).alias("after"), F.col(at).alias("upto"))
-    placed = events.alias("e").join(spans.alias("s"), (F.col(f"e.{key}") == F.col(f"s.{key}")) & (F.col(f"e.{at}") > F.col("after")) & (F.col(f"e.{at}") <= F.col("upto")))
-    # events of one place are counted first, so that the offsets multiply places and not events
-    places = placed.groupBy(F.col(f"s.{key}").alias(key), "event_i").agg(F.count("*").alias("events"))
+    numbered = daily.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy(at))).withColumn("abnormal", F.col("simple_return") - F.avg("simple_return").over(W.partitionBy(key)))
+    # an as-of step without a join by range: events, counted by day, and prices in one order, each event taking the next price
+    counted = events.groupBy(key, at).agg(F.count("*").alias("events"))
+    none = F.lit(None)
+    line = counted.select(key, at, F.lit(0).alias("kind"), none.cast("int").alias("i"), "events").unionByName(numbered.select(key, at, F.lit(1).alias("kind"), "i", none.cast("long").alias("events")))
+    ahead = W.partitionBy(key).orderBy(at, "kind").rowsBetween(0, W.unboundedFollowing)
+    placed = line.withColumn("event_i", F.first("i", ignorenulls=True).over(ahead)).where("kind = 0 and event_i is not null")
+    places = placed.groupBy(key, "event_i").agg(F.sum("events").alias("events"))
     around = places.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("i", F.col("event_i") + F.col("offset"))
     met = around.join(numbered.select(key, "i", "abnormal"), [key, "i"]).where("abnormal is not null")
     return met.groupBy("offset").agg(F.sum("events").alias("n"), (F.sum(F.col("abnormal") * F.col("events")) / F.sum("events")).alias("mean_abnormal"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
+from newsloom.operators.lineage import cut_lineage
 
 
 def with_terms(docs: DataFrame, text_col: str, min_chars: int = 100, min_tokens: int = 30) -> DataFrame:
@@ -54,7 +55,8 @@ def row_index(docs: DataFrame, order: list[str]) -> DataFrame:
 
     Range partitions are numbered each for itself and shifted by the sizes of those before, so no task sees all rows.
     """
-    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    dealt = cut_lineage(numbered)  # it is read twice, and must be dealt out alike
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("n"))
     starts = sizes.select("__p", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     mask = (1 << 33) - 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import attention, corpus, events, market, models, topics  # noqa: F401  each registers its plans
+from newsloom.plans import attention, corpus, events, extras, market, models, topics  # noqa: F401  each registers its plans
 from newsloom.plans.registry import PLANS, SQL
 
 
