@@ -61,10 +61,12 @@ def remove_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "cleaned
 
 
 def near_pairs(docs: DataFrame, doc: str, text: str, at: str, threshold: float = 0.95, features: int = 500, max_df: float = 0.95) -> DataFrame:
+    """``(day, a, b, similarity)`` of the documents' ``features`` most frequent terms; see ``similar_pairs``."""
+    docs = cut_lineage(docs.select(doc, at, F.filter(F.split(text, " "), lambda w: F.length(w) >= 2).alias("terms")))
     n_docs = docs.count()
-    words = docs.select(doc, F.filter(F.split(text, " "), lambda w: F.length(w) >= 2).alias("terms"))
-    counts = term_counts(words, doc, "terms")
-    weights = tfidf_smooth(counts, term_totals(counts), n_docs, doc, 1, max_df, features)
+    counts = term_counts(docs, doc, "terms")
+    # few terms are left after this: what follows reads them several times
+    weights = cut_lineage(tfidf_smooth(counts, term_totals(counts), n_docs, doc, 1, max_df, features))
     days = docs.select(doc, F.to_date(at).alias("day"), F.struct(F.col(at), F.col(doc)).alias("pos"))
     return similar_pairs(weights, days, doc, threshold)
 

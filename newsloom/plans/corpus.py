@@ -9,6 +9,7 @@ from newsloom.functions import text as X
 from newsloom.functions import values as V
 from newsloom.operators import near_duplicates as N
 from newsloom.operators import vocabulary as T
+from newsloom.operators.lineage import cut_lineage
 from newsloom.plans.registry import NEWS, clean_sql, news_sql, plan, words
 from newsloom.sources import bindings as B
 from newsloom.sources.readers import table
@@ -42,13 +43,10 @@ def processed(spark, folder):
     return T.with_terms(docs, "text")
 
 
-def counts_and_totals(spark, folder):
-    counts = T.term_counts(processed(spark, folder), "doc_id", "all_terms")
-    return counts, T.term_totals(counts)
-
-
-def n_documents(spark, folder) -> int:
-    return processed(spark, folder).count()
+def counted(spark, folder):
+    """Term counts, terms' totals and the number of documents; the counts are made once and read from a checkpoint."""
+    counts = cut_lineage(T.term_counts(processed(spark, folder), "doc_id", "all_terms"))
+    return counts, T.term_totals(counts), counts.select("doc_id").distinct().count()  # every processed document has terms
 
 
 @plan(f"select term, count(*) as count, count(distinct doc_id) as df from (select doc_id, unnest(tokens) as term from {TOKENS} where lang = 'en') group by term order by count desc, term limit 50")
@@ -129,37 +127,37 @@ def mean_document_sizes(spark, folder):
 
 @plan(f"select term, index, count from {VOCAB}")
 def vocabulary_index(spark, folder):
-    _, totals = counts_and_totals(spark, folder)
-    return T.vocabulary(totals, n_documents(spark, folder)).withColumn("index", F.col("index").cast("long"))
+    _, totals, n = counted(spark, folder)
+    return T.vocabulary(totals, n).withColumn("index", F.col("index").cast("long"))
 
 
 @plan(f"select doc_id, v.index as col_idx, n as count from {COUNTS} c join {VOCAB} v on c.term = v.term")
 def document_term_counts(spark, folder):
-    counts, totals = counts_and_totals(spark, folder)
-    m = T.document_term_matrix(counts, T.vocabulary(totals, n_documents(spark, folder)), "doc_id")
+    counts, totals, n = counted(spark, folder)
+    m = T.document_term_matrix(counts, T.vocabulary(totals, n), "doc_id")
     return m.withColumn("col_idx", F.col("col_idx").cast("long"))
 
 
 @plan(f"""select count(*) as nnz, round(1 - count(*) / ({N_DOCS} * (select count(*) from {VOCAB})), 8) as sparsity, round(count(*) / {N_DOCS}, 6) as terms_per_doc,
     round(count(*) / (select count(*) from {VOCAB}), 6) as docs_per_term from {COUNTS} c join {VOCAB} v on c.term = v.term""")
 def dtm_stats(spark, folder):
-    counts, totals = counts_and_totals(spark, folder)
-    docs = processed(spark, folder).agg(F.count("*"))
-    vocab = T.vocabulary(totals, n_documents(spark, folder))
+    counts, totals, n = counted(spark, folder)
+    docs = counts.agg(F.count_distinct("doc_id"))
+    vocab = T.vocabulary(totals, n)
     s = T.matrix_stats(T.document_term_matrix(counts, vocab, "doc_id"), docs, vocab.agg(F.count("*")))
     return s.select("nnz", F.round("sparsity", 8).alias("sparsity"), F.round("terms_per_doc", 6).alias("terms_per_doc"), F.round("docs_per_term", 6).alias("docs_per_term"))
 
 
 @plan(f"select term, count, df from {TOTALS} order by count desc, term limit 100")
 def top_terms(spark, folder):
-    _, totals = counts_and_totals(spark, folder)
+    totals = T.term_totals(T.term_counts(processed(spark, folder), "doc_id", "all_terms"))
     return totals.orderBy(F.desc("count"), "term").limit(100).select("term", "count", "df")
 
 
 @plan(f"select term, count, df from {TOTALS} where df / {N_DOCS} between 0.01 and 0.95")
 def df_filter(spark, folder):
-    _, totals = counts_and_totals(spark, folder)
-    return T.df_range(totals, n_documents(spark, folder), 0.01, 0.95).select("term", "count", "df")
+    _, totals, n = counted(spark, folder)
+    return T.df_range(totals, n, 0.01, 0.95).select("term", "count", "df")
 
 
 _PLAIN = f"""(select c.doc_id, c.term, n / sum(n) over (partition by c.doc_id) * ln({N_DOCS} / (df + 1)) as weight from {COUNTS} c join {TOTALS} t on c.term = t.term)"""
@@ -167,8 +165,8 @@ _PLAIN = f"""(select c.doc_id, c.term, n / sum(n) over (partition by c.doc_id) *
 
 @plan(f"select doc_id, count(*) as n_terms, round(sum(weight), 6) as total, round(max(weight), 6) as top from {_PLAIN} group by doc_id")
 def tfidf_custom(spark, folder):
-    counts, totals = counts_and_totals(spark, folder)
-    w = T.tfidf_plain(counts, totals, n_documents(spark, folder), "doc_id")
+    counts, totals, n = counted(spark, folder)
+    w = T.tfidf_plain(counts, totals, n, "doc_id")
     return w.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
@@ -181,8 +179,8 @@ SMOOTH = smooth_sql(COUNTS, TOTALS, N_DOCS, f"df >= 5 and df <= 0.95e0 * {N_DOCS
 
 
 def smooth(spark, folder):
-    counts, totals = counts_and_totals(spark, folder)
-    return T.tfidf_smooth(counts, totals, n_documents(spark, folder), "doc_id", 5, 0.95)
+    counts, totals, n = counted(spark, folder)
+    return T.tfidf_smooth(counts, totals, n, "doc_id", 5, 0.95)
 
 
 @plan(f"select doc_id, term, round(weight, 6) as weight from {SMOOTH}")
@@ -200,9 +198,8 @@ _YEARS = f"(select c.doc_id, year(published_at) as y, term, n from {COUNTS} c jo
     select doc_id, cast(y as integer) as year, count(*) as n_terms, round(max(w / l), 6) as top from (select *, sqrt(sum(w * w) over (partition by doc_id)) as l from w) group by all""")
 def tfidf_past_years(spark, folder):
     """Weights that use no later year's document frequencies."""
-    docs = processed(spark, folder)
     years = B.news(spark, folder).select("doc_id", F.year("published_at").alias("year"))
-    counts = T.term_counts(docs, "doc_id", "all_terms").join(years, "doc_id")
+    counts = cut_lineage(T.term_counts(processed(spark, folder), "doc_id", "all_terms").join(years, "doc_id"))
     w = T.tfidf_past(counts, "doc_id", "year")
     return w.groupBy("doc_id", "year").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top"))
 

@@ -12,7 +12,7 @@ from newsloom.operators import models as M
 from newsloom.operators import series as S
 from newsloom.operators import vocabulary as T
 from newsloom.plans.attention import TOPICS, monthly
-from newsloom.plans.corpus import cleaned, counts_and_totals, n_documents, processed, smooth
+from newsloom.plans.corpus import cleaned, counted
 from newsloom.plans.market import BENCH, predictions
 from newsloom.plans.registry import MONTHLY, plan
 from newsloom.sources import bindings as B
@@ -30,8 +30,8 @@ def shared(spark) -> str:
 
 def bags(spark, folder):
     """Sparse counts of the processed documents over the most frequent terms."""
-    counts, totals = counts_and_totals(spark, folder)
-    vocab = T.vocabulary(totals, n_documents(spark, folder), size=VOCABULARY)
+    counts, totals, n = counted(spark, folder)
+    vocab = T.vocabulary(totals, n, size=VOCABULARY)
     return M.sparse_rows(T.document_term_matrix(counts, vocab, "doc_id"), "doc_id", VOCABULARY).cache()
 
 

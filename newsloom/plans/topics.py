@@ -8,7 +8,8 @@ from newsloom.functions import lexicon as L
 from newsloom.functions import text as X
 from newsloom.operators import guided as G
 from newsloom.operators import vocabulary as T
-from newsloom.plans.corpus import COUNTS, GARBAGE, N_DOCS, SMOOTH, TOKENS, cleaned, counts_and_totals, n_documents, smooth
+from newsloom.operators.lineage import cut_lineage
+from newsloom.plans.corpus import COUNTS, GARBAGE, N_DOCS, SMOOTH, TOKENS, cleaned, counted, smooth
 from newsloom.plans.registry import plan
 from newsloom.sources.readers import table
 
@@ -23,7 +24,7 @@ def clusters(spark, folder):
 
 def described(spark, folder):
     """Weights of documents in a cluster, and those clusters."""
-    weights = smooth(spark, folder)
+    weights = cut_lineage(smooth(spark, folder))
     found = clusters(spark, folder)
     inside = weights.select("doc_id").distinct().join(found, "doc_id")
     return weights.join(found.select("doc_id"), "doc_id", "left_semi"), inside
@@ -85,7 +86,7 @@ _GUIDED = f"""(select doc_id, topic, s / sum(s) over (partition by doc_id) as sc
 
 @plan(f"select doc_id, topic, round(score, 6) as score from {_GUIDED}")
 def guided_topic_scores(spark, folder):
-    return G.guided_scores(smooth(spark, folder), "doc_id").select("doc_id", "topic", F.round("score", 6).alias("score"))
+    return G.guided_scores(cut_lineage(smooth(spark, folder)), "doc_id").select("doc_id", "topic", F.round("score", 6).alias("score"))
 
 
 _PMI = f"""with top as (select label, term from {_RANKED} where rank <= 10), held as (select distinct doc_id, term from {COUNTS} where term in (select term from top)),
@@ -97,8 +98,8 @@ _PMI = f"""with top as (select label, term from {_RANKED} where rank <= 10), hel
 @plan(f"select cast(label as integer) as label, count(*) as pairs, round(avg(pmi), 6) as coherence from ({_PMI}) group by label")
 def pmi_coherence(spark, folder):
     top = descriptors(spark, folder, 10).select("label", "term")
-    counts, _ = counts_and_totals(spark, folder)
-    pairs = T.pmi_pairs(counts, top, "doc_id", "label", n_documents(spark, folder))
+    counts, _, n = counted(spark, folder)
+    pairs = T.pmi_pairs(counts, top, "doc_id", "label", n)
     return pairs.groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.avg("pmi"), 6).alias("coherence"))
 
 
@@ -113,7 +114,7 @@ def commonest_word(spark, folder):
 @plan()
 def guided_assignment(spark, folder):
     """Clusters to guided topics one to one, with every document's score at its topic (a clusters-by-topics table is fetched)."""
-    scores = G.guided_scores(smooth(spark, folder), "doc_id")
+    scores = G.guided_scores(cut_lineage(smooth(spark, folder)), "doc_id")
     found = clusters(spark, folder)
     means = scores.join(found, "doc_id").groupBy("label", "topic").agg(F.sum("score").alias("s"))
     sizes = found.groupBy("label").agg(F.count("*").alias("n"))
