@@ -53,7 +53,7 @@ def softmax(values: Sequence[Column]) -> list[Column]:
     return [F.exp(v - top) / total for v in values]
 
 
-def checkpoint_name(ts: Column, prefix: str = "chronobert_", first: int = 1999, last: int = 2024) -> Column:
+def checkpoint_name(ts: Column, prefix: str = "encoder_", first: int = 1999, last: int = 2024) -> Column:
     """Name of the model that knows nothing after the year before ``ts``."""
     year = F.greatest(F.lit(first), F.least(F.lit(last), F.year(ts) - 1))
     return F.concat(F.lit(prefix), year.cast("string"), F.lit("1231"))

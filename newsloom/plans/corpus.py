@@ -216,7 +216,7 @@ def article_md5(spark, folder):
     return n.select("doc_id", "article_id", X.article_id(F.col("title"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).alias("key"))
 
 
-@plan(f"""select doc_id, 'chronobert_' || greatest(1999, least(2024, year(published_at) - 1)) || '1231' as checkpoint,
+@plan(f"""select doc_id, 'encoder_' || greatest(1999, least(2024, year(published_at) - 1)) || '1231' as checkpoint,
     case year(published_at) when 2023 then 'all-distilroberta-v1' when 2024 then 'all-mpnet-base-v2' else 'all-MiniLM-L6-v2' end as encoder from {NEWS}""")
 def checkpoint_by_year(spark, folder):
     n = B.news(spark, folder)
