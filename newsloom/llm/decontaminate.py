@@ -161,7 +161,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, unchanged, that are not contaminated; no join and no shuffle."""
     rows = searched(docs, benchmark, text_col, item_col, item_text_col, size, block_bytes)
-    return rows.where(~contaminated(F.col("__n_words"), hit_words("__hits"))).select(*docs.columns)
+    return rows.where(~contaminated(F.col("__n_words"), hit_words("__hits"))).drop("__n_words", "__hits", "__items")
 
 
 def contaminated(n_words, n_hit):

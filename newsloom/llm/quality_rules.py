@@ -222,4 +222,4 @@ def keep_quality(
 ) -> DataFrame:
     """The rows of ``docs``, unchanged, that ``quality_scores`` predicts to be of label 1; no join and no shuffle."""
     model = fit_quality(docs, labels, id_col, text_col, label_col, held_fold, sample_rows)
-    return with_statistics(docs, text_col).where(model.score() >= threshold).select(*docs.columns)
+    return with_statistics(docs, text_col).where(model.score() >= threshold).drop("__statistics")
