@@ -12,7 +12,7 @@ from newsloom.operators import vocabulary as T
 from newsloom.operators.lineage import cut_lineage
 from newsloom.plans.registry import NEWS, clean_sql, news_sql, plan, words
 from newsloom.sources import bindings as B
-from newsloom.sources.readers import table
+from newsloom.sources.readers import spread, table
 
 DENSE_DAYS = 90
 
@@ -34,13 +34,13 @@ VOCAB = f"""(select term, row_number() over (order by count desc, term) - 1 as i
 
 
 def cleaned(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "lang", X.clean_basic(F.col("text")).alias("clean"))
+    return spread(table(spark, folder, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", X.clean_basic(F.col("text")).alias("clean"))
 
 
 def processed(spark, folder):
     """English documents that are long enough, with their terms."""
     docs = T.english(table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("language")))
-    return T.with_terms(docs, "text")
+    return T.with_terms(spread(docs), "text")
 
 
 def counted(spark, folder):
@@ -304,7 +304,7 @@ NEAR = f"""(with e as materialized {_EXACT}, w as materialized {smooth_sql(_NCOU
 
 
 def dense_news(spark, folder):
-    n = B.news(spark, folder, DENSE_DAYS)
+    n = spread(B.news(spark, folder, DENSE_DAYS).select("doc_id", "published_at", "content"))
     return n.select("doc_id", "published_at", X.clean_basic(F.col("content")).alias("clean"))
 
 

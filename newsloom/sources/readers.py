@@ -27,6 +27,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its scan has fewer partitions (a single small file); larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header; a schema avoids a pass over the data to infer one. Quoted fields may hold line ends."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
