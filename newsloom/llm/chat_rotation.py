@@ -3,7 +3,8 @@
 Every participant of a dialogue gets it rendered once with their own turns as the assistant's and everybody else's as
 named users', and the spans of the own turns as a mask. Roles of the context (the system's) are rendered as they are
 and take no perspective. A rendering longer than ``block_turns`` turns is cut into consecutive parts, so no row, group
-or task holds an unbounded dialogue; turns are numbered over range partitions and not in one window per dialogue.
+or task holds an unbounded dialogue. Dialogues of at most ``block_turns`` turns meet in one grouping, the only shuffle of
+their texts; the turns of longer ones are numbered over range partitions and not in one window per dialogue.
 """
 
 from __future__ import annotations
@@ -32,6 +33,32 @@ def numbered(turns: DataFrame) -> DataFrame:
     return rows.join(starts, (F.col("pid") == F.col("pid_")) & F.col("conv").eqNullSafe(F.col("conv_"))).select(*order, (F.col("at") + F.col("shift")).alias("ordinal"))
 
 
+def _met(rows: DataFrame, convs: DataFrame, how: str) -> DataFrame:
+    return rows.join(convs.select(F.col("conv").alias("conv_")), F.col("conv").eqNullSafe(F.col("conv_")), how)
+
+
+def _blocks(rows: DataFrame, context_roles: tuple[str, ...], block_turns: int) -> DataFrame:
+    """``(conv, part, turns, perspective)``: at most ``block_turns`` turns in order, once for each participant.
+
+    How long a dialogue is comes from counts alone, so the ids of the long ones, at most a ``block_turns``-th of the
+    turns, are all that is matched against the turns.
+    """
+    speaks = lambda r: ~r.isin(*context_roles) if context_roles else F.lit(True)
+    long = staged(rows.groupBy("conv").agg(F.count("*").alias("n")).where(F.col("n") > block_turns).select("conv"), "long-dialogues")
+    some_long = not long.isEmpty()
+    short = (_met(rows, long, "left_anti") if some_long else rows).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    people = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), speaks))
+    views = short.select("conv", F.lit(0).alias("part"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), F.explode(people).alias("perspective"))
+    if not some_long:
+        return views
+    placed = numbered(_met(rows, long, "left_semi"))
+    part = F.floor(F.col("ordinal") / block_turns).cast("int")
+    blocks = placed.groupBy("conv", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "role", "text"))).alias("turns"))
+    named = staged(placed.where(speaks(F.col("role"))).select(F.col("conv").alias("conv_"), F.col("role").alias("perspective")).distinct(), "participants")
+    cut = blocks.join(named, F.col("conv").eqNullSafe(F.col("conv_")))
+    return views.unionByName(cut.select("conv", "part", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), "perspective"))
+
+
 def rotate(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = ("system",), block_turns: int = 512
 ) -> DataFrame:
@@ -44,13 +71,8 @@ def rotate(
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     role = F.when(F.coalesce(F.col(role_col), F.lit("")) == "", "unknown").otherwise(safe(F.col(role_col)))
-    rows = numbered(
-        turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), safe(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    )
-    part = F.floor(F.col("ordinal") / block_turns).cast("int")
-    blocks = rows.groupBy("conv", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "role", "text"))).alias("turns"))
-    people = rows.where(~F.col("role").isin(*context_roles)).select(F.col("conv").alias("conv_"), F.col("role").alias("perspective")).distinct()
-    views = blocks.join(people, F.col("conv").eqNullSafe(F.col("conv_")))
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), safe(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    views = _blocks(rows, context_roles, block_turns)
     own = lambda t: t["role"] == F.col("perspective")
     head = lambda t: F.concat(
         F.lit(OPEN), F.when(own(t), "assistant").when(t["role"].isin(*context_roles), t["role"]).otherwise(F.concat(F.lit("user name="), t["role"])), F.lit("\n")

@@ -226,6 +226,39 @@ def test_long_dialogues_are_cut_in_order(spark):
         assert texts == [f"{i:04d}" for i in range(0, 700, 2)] + [f"{i:04d}" for i in range(1, 700, 2)] + ["same"] * 300
 
 
+def brute_rotation(rows, block):
+    dialogues = defaultdict(list)
+    for conv, turn, role, text in rows:
+        dialogues[conv].append((turn is not None, turn or 0, role or "unknown", text or ""))
+    out = []
+    for conv, turns in dialogues.items():
+        turns.sort()
+        for who in {t[2] for t in turns} - {"system"}:
+            for at in range(0, len(turns), block):
+                rendered, mask = "", []
+                for _, _, role, text in turns[at : at + block]:
+                    rendered += "<|im_start|>" + ("assistant" if role == who else "system" if role == "system" else f"user name={role}") + "\n"
+                    if role == who:
+                        mask.append((len(rendered), len(rendered) + len(text) + len("<|im_end|>")))
+                    rendered += text + "<|im_end|>\n"
+                out.append((str(conv), who, at // block, len(turns[at : at + block]), len(mask), rendered, mask))
+    return sorted(out)
+
+
+def test_short_and_long_dialogues_together(spark):
+    rng = np.random.default_rng(3)
+    sizes = {1: 90, 2: 8, 3: 9, 4: 1, 5: 16, 6: 17, None: 30}
+    rows = [
+        (conv, None if rng.random() < 0.1 else int(rng.integers(0, n)), [None, "", "ann", "bob", "system"][rng.integers(0, 5)], [None, "", "é🙂", f"t{i}", "same"][rng.integers(0, 5)])
+        for conv, n in sizes.items()
+        for i in range(n)
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for block in (8, 512):
+        got = sorted((str(r.conv_id), r.perspective, r.part, r.n_turns, r.n_own, r.rendered, [tuple(m) for m in r["mask"]]) for r in chat_rotation.rotate(turns, block_turns=block).collect())
+        assert got == brute_rotation(rows, block)
+
+
 # --- pipeline
 
 
