@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,15 +19,33 @@ def with_terms(docs: DataFrame, text_col: str, min_chars: int = 100, min_tokens:
     return rows.withColumn("bigrams", X.ngrams(F.col("tokens"))).withColumn("all_terms", F.concat("tokens", "bigrams"))
 
 
+def bags(docs: DataFrame, text_col: str, min_chars: int = 100, min_tokens: int = 30) -> DataFrame:
+    """``docs`` with ``all_terms`` as ``with_terms`` makes them, null where a document is too short.
+
+    For what explodes the terms at once: a filter on the tokens would be pushed down and clean every text twice.
+    """
+    rows = docs.where(F.length(text_col) >= min_chars).withColumn("tokens", X.tokens(X.clean_basic(F.col(text_col))))
+    return rows.withColumn("all_terms", F.when(F.size("tokens") >= min_tokens, F.concat("tokens", X.ngrams(F.col("tokens"))))).drop("tokens")
+
+
 def english(docs: DataFrame, language_col: str = "language") -> DataFrame:
     """English rows, and those whose language is empty or unknown."""
     c = F.col(language_col)
     return docs.where(c.isNull() | c.isin("en", "english", "EN", ""))
 
 
+def term_rows(docs: DataFrame, *keys: str, terms: str | Column) -> DataFrame:
+    """``keys`` and ``term``, a row for each of a document's terms that is not null.
+
+    A plain ``explode`` has the optimiser test the array's size beneath it, where the expressions behind the array are
+    evaluated again for every mention (27 seconds instead of 6 on 10,000 documents, measured); the outer one has not.
+    """
+    return docs.select(*keys, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
+
+
 def term_counts(docs: DataFrame, doc: str, terms: str) -> DataFrame:
     """``(doc, term, n)``: the bag of words of every document."""
-    return docs.select(doc, F.explode(terms).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("n"))
+    return term_rows(docs, doc, terms=terms).groupBy(doc, "term").agg(F.count("*").alias("n"))
 
 
 def term_totals(counts: DataFrame) -> DataFrame:
@@ -72,10 +90,16 @@ def matrix_stats(counts: DataFrame, n_docs: DataFrame, n_terms: DataFrame) -> Da
     )
 
 
+def small_terms(terms: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``terms`` (read from a checkpoint), marked for broadcast if its measured size, 64 bytes a row and the terms' own, is small."""
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    return F.broadcast(terms) if size <= most_bytes else terms
+
+
 def tfidf_plain(counts: DataFrame, totals: DataFrame, n_docs: int, doc: str) -> DataFrame:
     """``(doc, term, weight)``: n / length * ln(N / (df + 1)), which is negative for a term of every document."""
     length = F.sum("n").over(W.partitionBy(doc))
-    return counts.withColumn("length", length).join(totals.select("term", "df"), "term").select(doc, "term", (F.col("n") / F.col("length") * F.ln(F.lit(float(n_docs)) / (F.col("df") + 1))).alias("weight"))
+    return counts.withColumn("length", length).join(small_terms(totals.select("term", "df")), "term").select(doc, "term", (F.col("n") / F.col("length") * F.ln(F.lit(float(n_docs)) / (F.col("df") + 1))).alias("weight"))
 
 
 def df_range(totals: DataFrame, n_docs: int, low: float = 0.001, high: float = 0.95) -> DataFrame:
@@ -92,7 +116,8 @@ def tfidf_smooth(counts: DataFrame, totals: DataFrame, n_docs: int, doc: str, mi
     kept = totals.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:
         kept = F.broadcast(kept.orderBy(F.desc("count"), "term").limit(max_features))
-    raw = counts.join(kept.select("term", "df"), "term").withColumn("w", F.col("n") * (F.ln((1.0 + n_docs) / (1 + F.col("df"))) + 1))
+    kept = kept.select("term", "df")
+    raw = counts.join(kept if max_features is not None else small_terms(kept), "term").withColumn("w", F.col("n") * (F.ln((1.0 + n_docs) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc)))).select(doc, "term", "weight")
 
 

@@ -37,22 +37,29 @@ def cleaned(spark, folder):
     return spread(table(spark, folder, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", X.clean_basic(F.col("text")).alias("clean"))
 
 
+def english(spark, folder):
+    return T.english(table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("language")))
+
+
 def processed(spark, folder):
     """English documents that are long enough, with their terms."""
-    docs = T.english(table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("language")))
-    return T.with_terms(spread(docs), "text")
+    return T.with_terms(spread(english(spark, folder)), "text")
 
 
 def counted(spark, folder):
-    """Term counts, terms' totals and the number of documents; the counts are made once and read from a checkpoint."""
-    counts = cut_lineage(T.term_counts(processed(spark, folder), "doc_id", "all_terms"))
-    return counts, T.term_totals(counts), counts.select("doc_id").distinct().count()  # every processed document has terms
+    """Term counts, terms' totals and the number of documents; both tables are made once and read from checkpoints.
+
+    Texts are dealt by document before they are cut into terms, which are several times their size: terms are then
+    counted, and weights scaled by document, where they stand.
+    """
+    counts = cut_lineage(T.term_counts(T.bags(english(spark, folder).repartition("doc_id"), "text"), "doc_id", "all_terms"))
+    return counts, cut_lineage(T.term_totals(counts)), counts.select("doc_id").distinct().count()  # every processed document has terms
 
 
 @plan(f"select term, count(*) as count, count(distinct doc_id) as df from (select doc_id, unnest(tokens) as term from {TOKENS} where lang = 'en') group by term order by count desc, term limit 50")
 def vocabulary_topn(spark, folder):
     """The flagship: the 50 most frequent terms of the English corpus with their document frequency (a report)."""
-    docs = T.english(cleaned(spark, folder), "lang").withColumn("tokens", X.tokens(F.col("clean")))
+    docs = english(spark, folder).repartition("doc_id").withColumn("tokens", X.tokens(X.clean_basic(F.col("text"))))
     totals = T.term_totals(T.term_counts(docs, "doc_id", "tokens"))
     return totals.orderBy(F.desc("count"), "term").limit(50).select("term", "count", "df")
 

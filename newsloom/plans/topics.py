@@ -106,7 +106,7 @@ def pmi_coherence(spark, folder):
 @plan(f"""select cast(label as integer) as label, arg_max(term, (n, term)) as term, max(n) as n from (select label, term, count(*) as n from
     (select doc_id, unnest(tokens) as term from {TOKENS}) join {CLUSTERS} using (doc_id) group by all) group by label""")
 def commonest_word(spark, folder):
-    t = cleaned(spark, folder).select("doc_id", F.explode(X.tokens(F.col("clean"))).alias("term")).join(clusters(spark, folder), "doc_id")
+    t = T.term_rows(cleaned(spark, folder), "doc_id", terms=X.tokens(F.col("clean"))).join(clusters(spark, folder), "doc_id")
     n = t.groupBy("label", "term").agg(F.count("*").alias("n"))
     return n.groupBy("label").agg(F.max_by("term", F.struct("n", "term")).alias("term"), F.max("n").alias("n"))
 
