@@ -3,7 +3,7 @@
 Strong finds are reported as they are: assignments, access identifiers, long hexadecimal runs. Weak ones - tokens that
 look random, and endpoints - say little alone. They are linked by an interval join: access identifiers, tokens and
 endpoints of one text that lie within ``scope`` characters of each other meet in buckets of that width, and a weak find
-is reported only where its complements stand beside it.
+is reported only where its complements stand beside it. The secret beside an endpoint's identifier may be a strong find.
 """
 
 from __future__ import annotations
@@ -87,15 +87,17 @@ def _beside(weak: DataFrame, strong: DataFrame, scope: int) -> DataFrame:
 def link(found: DataFrame, scope: int = 300) -> DataFrame:
     """``(key, linked)``: weak spans with their complements beside them, by text.
 
-    A token counts beside an access identifier; an endpoint beside an access identifier that has such a token. Weak
-    spans that overlap a strong one are that one's and are left out.
+    A token counts beside an access identifier; an endpoint beside an access identifier that has a secret: such a token,
+    an assignment or a hexadecimal run. Weak spans that overlap a strong one are that one's and are left out; so are
+    assignments and runs that overlap an access identifier, which is no secret of its own.
     """
-    strong = F.concat("assign", "access", "hex")
-    free = lambda name: F.filter(F.col(name), lambda w: ~F.exists(strong, lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
-    texts = found.where("size(access) > 0 and size(token) > 0").select(F.struct("id", "h").alias("key"), "access", free("token").alias("token"), free("endpoint").alias("endpoint")).distinct()
+    off = lambda spans, others: F.filter(spans, lambda w: ~F.exists(others, lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
+    free = lambda name: off(F.col(name), F.concat("assign", "access", "hex")).alias(name)
+    known = off(F.concat("assign", "hex"), F.col("access")).alias("known")
+    texts = found.where("size(access) > 0").select(F.struct("id", "h").alias("key"), "access", known, free("token"), free("endpoint")).distinct()
     one = lambda name: texts.select("key", F.explode(name).alias("span"))
     secrets = _beside(one("token"), one("access"), scope)
-    holders = secrets.select("key", F.col("strong").alias("span")).distinct()
+    holders = secrets.unionByName(_beside(one("known"), one("access"), scope)).select("key", F.col("strong").alias("span")).distinct()
     endpoints = _beside(one("endpoint"), holders, scope)
     spans = secrets.select("key", "weak").unionByName(endpoints.select("key", "weak"))
     return spans.groupBy("key").agg(F.collect_set("weak").alias("linked"))
