@@ -18,9 +18,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-# Weak parts: a run of 20 to 64 characters of the base64 alphabet, and an address of a service.
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])"
-ENDPOINT = r"(?:[a-z][a-z0-9+.-]{1,15}://|(?<![A-Za-z0-9@.-])(?:api|db|s3|smtp|ftp|vault)\.)[A-Za-z0-9./_:@-]{4,200}"
+# Weak parts: a run of 20 characters or more of the base64 alphabet, and an address of a service. Both end where their
+# run ends; possessive, so that a long run is read once.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+ENDPOINT = r"(?:[a-z][a-z0-9+.-]{1,15}://|(?<![A-Za-z0-9@.-])(?:api|db|s3|smtp|ftp|vault)\.)[A-Za-z0-9./_:@-]{4,}+"
 
 #: Kinds in the order of a report.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
@@ -77,11 +78,17 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _beside(weak: DataFrame, strong: DataFrame, scope: int) -> DataFrame:
-    """Interval join: pairs of one text whose starts are at most ``scope`` apart, met in buckets of that width."""
-    bucket = F.floor(F.col("span.start") / scope).cast("int")
-    left = weak.select("key", F.col("span").alias("weak"), bucket.alias("bucket"))
-    right = strong.select("key", F.col("span").alias("strong"), F.explode(F.array(*(bucket + d for d in (-1, 0, 1)))).alias("bucket"))
-    return left.join(right, ["key", "bucket"]).where(F.abs(F.col("weak.start") - F.col("strong.start")) <= scope)
+    """Interval join: pairs of one text with at most ``scope`` characters between them, met in buckets of that width.
+
+    The spans of a pair do not overlap, so the gap is from the end of one to the start of the other, however long they are.
+    """
+    edge = lambda at, after: F.struct(F.col(at).alias("at"), F.lit(after).alias("after"))
+    bucket = F.floor(F.col("edge.at") / scope).cast("int")
+    left = weak.select("key", F.col("span").alias("weak"), F.explode(F.array(edge("span.start", True), edge("span.stop", False))).alias("edge"))
+    left = left.select("key", "weak", F.col("edge.at").alias("weak_at"), F.col("edge.after").alias("after"), bucket.alias("bucket"))
+    right = strong.select("key", F.col("span").alias("strong"), F.explode(F.array(edge("span.stop", True), edge("span.start", False))).alias("edge"))
+    right = right.select("key", "strong", F.col("edge.at").alias("strong_at"), F.col("edge.after").alias("after"), F.explode(F.array(*(bucket + d for d in (-1, 0, 1)))).alias("bucket"))
+    return left.join(right, ["key", "after", "bucket"]).where(F.abs(F.col("weak_at") - F.col("strong_at")) <= scope).select("key", "weak", "strong").distinct()
 
 
 def link(found: DataFrame, scope: int = 300) -> DataFrame:
