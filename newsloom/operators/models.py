@@ -113,41 +113,95 @@ def pca_latent(features: DataFrame, doc: str, k: int = 16) -> DataFrame:
     return model.transform(rows).select(doc, vector_to_array("p").alias("p")).select(doc, *(F.get("p", F.lit(i)).alias(f"latent_feature_{i}") for i in range(k)))
 
 
-def fit_autoencoder(x: np.ndarray, hidden: int = 32, code: int = 8, epochs: int = 30, rate: float = 1e-2, seed: int = 42, batch: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A tanh autoencoder (in - hidden - code - hidden - in) by Adam on a bounded sample; its layers."""
+def _adam_steps(layers: list, moments: list, t: int, x: np.ndarray, rate: float, batch: int) -> int:
+    """Steps of Adam over consecutive mini-batches of ``x``, in place; the number of steps so far."""
+    params = [p for layer in layers for p in layer]
+    for at in range(0, len(x), batch):
+        rows = x[at : at + batch]
+        acts = [rows]
+        for i, (w, b) in enumerate(layers):
+            z = acts[-1] @ w + b
+            acts.append(z if i == len(layers) - 1 else np.tanh(z))
+        delta, grads = (acts[-1] - rows) * 2 / rows.size, []
+        for i in range(len(layers) - 1, -1, -1):
+            if i < len(layers) - 1:
+                delta = delta * (1 - acts[i + 1] ** 2)
+            grads[:0] = [acts[i].T @ delta, delta.sum(0)]
+            delta = delta @ layers[i][0].T
+        t += 1
+        for (m, v), g, p in zip(moments, grads, params):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return t
+
+
+def _unflat(flat: np.ndarray, sizes: list[int]) -> tuple[list, list]:
+    """Layers and moments from one vector: all parameters, then the first and the second moments."""
+    shapes = [shape for a, b in zip(sizes, sizes[1:]) for shape in ((a, b), (b,))]
+    cuts = np.cumsum([math.prod(s) for s in shapes] * 3)[:-1]
+    parts = [p.reshape(s).copy() for p, s in zip(np.split(flat, cuts), shapes * 3)]
+    n = len(shapes)
+    return list(zip(parts[:n:2], parts[1:n:2])), list(zip(parts[n : 2 * n], parts[2 * n :]))
+
+
+def fit_autoencoder(
+    rows: DataFrame, array: str, mean: np.ndarray, std: np.ndarray, hidden: int = 32, code: int = 8, epochs: int = 30, rate: float = 1e-2, seed: int = 42, batch: int = 128
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A tanh autoencoder (in - hidden - code - hidden - in) by Adam on all rows; its layers.
+
+    An epoch is one pass: every partition takes its steps from the same weights over mini-batches of all its rows, and
+    weights and moments are averaged in the cluster, each partition counting with its rows. Only they reach the driver.
+    """
     rng = np.random.default_rng(seed)
-    sizes = [x.shape[1], hidden, code, hidden, x.shape[1]]
-    layers = [[rng.normal(0, math.sqrt(1 / a), (a, b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:])]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for layer in layers for p in layer]
-    t = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
-            rows = x[order[at : at + batch]]
-            acts = [rows]
-            for i, (w, b) in enumerate(layers):
-                z = acts[-1] @ w + b
-                acts.append(z if i == len(layers) - 1 else np.tanh(z))
-            delta, grads = (acts[-1] - rows) * 2 / rows.size, []
-            for i in range(len(layers) - 1, -1, -1):
-                if i < len(layers) - 1:
-                    delta = delta * (1 - acts[i + 1] ** 2)
-                grads[:0] = [acts[i].T @ delta, delta.sum(0)]
-                delta = delta @ layers[i][0].T
-            t += 1
-            for (m, v), g, p in zip(moments, grads, [p for layer in layers for p in layer]):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return [(w, b) for w, b in layers]
-
-
-def autoencode(df: DataFrame, doc: str, array: str, sample_rows: int = 10_000, **options) -> DataFrame:
-    """``(doc, latent array, error)``: codes by an autoencoder fitted on at most ``sample_rows`` rows, all rows encoded in batches."""
-    sample = df.orderBy(F.xxhash64(doc), doc).limit(sample_rows).select(array).toPandas()[array].to_list()
-    x = np.array(sample, dtype=float).reshape(len(sample), -1)
-    mean, std = (x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)) if len(x) else (0.0, 1.0)
-    layers = fit_autoencoder((x - mean) / std, **options) if len(x) else []
+    sizes = [len(mean), hidden, code, hidden, len(mean)]
+    first = [p.reshape(-1) for a, b in zip(sizes, sizes[1:]) for p in (rng.normal(0, math.sqrt(1 / a), (a, b)), np.zeros(b))]
+    n = sum(map(len, first))
+    flat, t = np.concatenate([*first, np.zeros(2 * n)]), 0
+    context = rows.sparkSession.sparkContext
+    for epoch in range(epochs):
+        sent = context.broadcast((flat, t))
+
+        def step(batches: Iterator[pd.DataFrame], sent=sent, epoch=epoch) -> Iterator[pd.DataFrame]:
+            flat, t = sent.value
+            layers, moments = _unflat(flat, sizes)
+            order, seen, start = np.random.default_rng((seed, epoch)), 0, t
+            for pdf in batches:
+                if len(pdf):
+                    x = (np.array(pdf[array].to_list(), dtype=float).reshape(len(pdf), -1) - mean) / std
+                    t = _adam_steps(layers, moments, t, x[order.permutation(len(x))], rate, batch)
+                    seen += len(x)
+            if seen:
+                ms, vs = zip(*moments)
+                out = np.concatenate([p.reshape(-1) for p in (*(p for layer in layers for p in layer), *ms, *vs)])
+                # behind the weights: the rows, and the steps taken
+                yield pd.DataFrame({"at": np.arange(3 * n + 2), "v": np.concatenate([out * seen, [seen, (t - start) * seen]])})
+
+        summed = rows.select(array).mapInPandas(step, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        sums = summed.sort_values("at")["v"].to_numpy()
+        flat, t = sums[: 3 * n] / sums[-2], t + max(1, round(sums[-1] / sums[-2]))
+        sent.destroy()
+    return _unflat(flat, sizes)[0]
+
+
+def autoencode(df: DataFrame, doc: str, array: str, block_rows: int = 2048, most_blocks: int = 1024, **options) -> DataFrame:
+    """``(doc, latent array, error)``: codes by an autoencoder fitted on all rows, all rows encoded in batches.
+
+    Mean and deviation are of all rows. For the fit rows are dealt by hash over partitions of about ``block_rows`` rows, or
+    over ``most_blocks`` larger ones, read in batches; so the layout of the input does not matter.
+    """
+    places = df.select(F.posexplode(F.col(array).cast("array<double>")).alias("at", "v"))
+    stats = places.groupBy("at").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("*").alias("n")).toPandas().sort_values("at")
+    mean, std = stats["mean"].to_numpy(), stats["std"].to_numpy()
+    std = np.where(std > 0, std, 1.0)
+    layers = []
+    if len(stats):
+        blocks = min(most_blocks, -(-int(stats["n"].max()) // block_rows))
+        hashed = F.xxhash64(doc, array)
+        # merged again where the session deals a key over more partitions: every block costs a task an epoch
+        rows = df.select(doc, array).repartition(blocks, hashed).coalesce(blocks).sortWithinPartitions(hashed, doc).select(array).persist()
+        layers = fit_autoencoder(rows, array, mean, std, **options)
+        rows.unpersist()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
@@ -12,6 +13,7 @@ from newsloom.functions import values as V
 from newsloom.operators import events as E
 from newsloom.operators import forecast as P
 from newsloom.operators import guided as G
+from newsloom.operators import models as M
 from newsloom.operators import near_duplicates as N
 from newsloom.operators import relational as R
 from newsloom.operators import series as S
@@ -189,6 +191,17 @@ def test_vector_autoregression():
     assert P.f_survival(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4) and P.f_survival(2.7729, 4, 26) == pytest.approx(0.048, abs=2e-3)
 
 
+def test_autoencoder_reads_every_row(spark):
+    # rows past the first 10,000 by hash lie far away in one column, which is constant in the others
+    hashed = spark.range(12_000).select(F.col("id").alias("doc"), F.row_number().over(W.orderBy(F.xxhash64("id"), "id")).alias("place"))
+    value = F.when(F.col("place") > 10_000, F.pmod("doc", F.lit(7)) + 100.0).otherwise(0.0)
+    rows = hashed.select("doc", F.array(F.sin(F.col("doc").cast("double")), F.cos(F.col("doc").cast("double")), value).alias("x"))
+    got = M.autoencode(rows, "doc", "x", epochs=3)
+    assert got.count() == 12_000 and got.agg(F.max("error")).first()[0] < 10  # unscaled, the far column alone has about 3,300
+    again = {r.doc: r.error for r in M.autoencode(rows.repartition(5), "doc", "x", epochs=3).collect()}
+    assert all(math.isclose(r.error, again[r.doc], rel_tol=1e-6, abs_tol=1e-9) for r in got.collect())
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "words.txt").write_text("# list\n\n alpha \nbeta\n#x\n")
     assert sorted(r.word for r in readers.word_list(spark, str(tmp_path / "words.txt")).collect()) == ["alpha", "beta"]
