@@ -29,9 +29,13 @@ def _to_vector(size: int):
     return F.udf(lambda i, v: SparseVector(size, i, v), VectorUDT())
 
 
-def fit_lda(features: DataFrame, k: int, vocabulary: int, alpha: float = 1.0, beta: float = 0.01, iterations: int = 20, seed: int = 42):
-    """Online variational LDA with symmetric priors alpha / k and beta / vocabulary."""
-    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha / k] * k, topicConcentration=max(beta / vocabulary, 1e-12), subsamplingRate=1.0 if iterations < 5 else 0.3)
+def fit_lda(features: DataFrame, k: int, vocabulary: int, alpha: float = 1.0, beta: float = 0.01, iterations: int = 100, seed: int = 42):
+    """Online variational LDA with symmetric priors alpha / k and beta / vocabulary.
+
+    Every iteration draws as many documents as there are. Spark draws with replacement, so one iteration misses a document
+    with a chance of 1 / e; all of n iterations do with exp(-n).
+    """
+    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha / k] * k, topicConcentration=max(beta / vocabulary, 1e-12), subsamplingRate=1.0)
     return lda.fit(features)
 
 
@@ -47,7 +51,7 @@ def lda_quality(model, features: DataFrame) -> dict[str, float]:
     return {"log_likelihood": model.logLikelihood(features) / max(n, 1), "perplexity": math.exp(model.logPerplexity(features))}
 
 
-def lda_cross_validation(features: DataFrame, doc: str, grid: list[int], vocabulary: int, folds: int = 2, iterations: int = 10, seed: int = 42) -> DataFrame:
+def lda_cross_validation(features: DataFrame, doc: str, grid: list[int], vocabulary: int, folds: int = 2, iterations: int = 100, seed: int = 42) -> DataFrame:
     """``(k, mean_ll, std_ll)`` over folds by a hash of the id; the best k has the largest mean."""
     fold = F.pmod(F.xxhash64(F.col(doc), F.lit(seed)), F.lit(folds))
     rows = []
@@ -60,7 +64,7 @@ def lda_cross_validation(features: DataFrame, doc: str, grid: list[int], vocabul
     return features.sparkSession.createDataFrame(rows, "k int, mean_ll double, std_ll double")
 
 
-def lda_without_look_ahead(features: DataFrame, dates: DataFrame, doc: str, periods: list[tuple], k: int, vocabulary: int, iterations: int = 5, seed: int = 42) -> DataFrame:
+def lda_without_look_ahead(features: DataFrame, dates: DataFrame, doc: str, periods: list[tuple], k: int, vocabulary: int, iterations: int = 100, seed: int = 42) -> DataFrame:
     """Topic weights of each period's documents by a model that has read nothing later than the period's start.
 
     ``periods`` are (first, last) dates in order; the first period can only be described by its own model.

@@ -19,7 +19,8 @@ from newsloom.sources import bindings as B
 from newsloom.sources.readers import table
 from newsloom.streaming import events as ES
 
-VOCABULARY = 2000
+#: The reference's configuration (``experiment.yaml``); iterations are the default of the fits.
+VOCABULARY, TOPIC_COUNT = 20_000, 50
 
 
 def shared(spark) -> str:
@@ -42,19 +43,19 @@ def vectors(spark, folder):
 @plan()
 def lda_topics(spark, folder):
     features = bags(spark, folder)
-    return M.theta_of(M.fit_lda(features, 5, VOCABULARY), features, "doc_id")
+    return M.theta_of(M.fit_lda(features, TOPIC_COUNT, VOCABULARY), features, "doc_id")
 
 
 @plan()
 def lda_cross_validation(spark, folder):
-    return M.lda_cross_validation(bags(spark, folder), "doc_id", [3, 5], VOCABULARY, iterations=4)
+    return M.lda_cross_validation(bags(spark, folder), "doc_id", [TOPIC_COUNT], VOCABULARY)
 
 
 @plan()
 def lda_online_no_look_ahead(spark, folder):
     dates = B.news(spark, folder).select("doc_id", F.to_date("published_at").alias("date"))
     periods = [("2023-01-01", "2023-12-31"), ("2024-01-01", "2024-12-31"), ("2025-01-01", "2025-12-31")]
-    return M.lda_without_look_ahead(bags(spark, folder), dates, "doc_id", periods, 5, VOCABULARY)
+    return M.lda_without_look_ahead(bags(spark, folder), dates, "doc_id", periods, TOPIC_COUNT, VOCABULARY)
 
 
 @plan()

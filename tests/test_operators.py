@@ -202,6 +202,18 @@ def test_autoencoder_reads_every_row(spark):
     assert all(math.isclose(r.error, again[r.doc], rel_tol=1e-6, abs_tol=1e-9) for r in got.collect())
 
 
+def test_lda_reads_all_documents_at_the_configured_size(spark):
+    import inspect
+
+    from newsloom.plans import models as plans
+
+    assert (plans.VOCABULARY, plans.TOPIC_COUNT) == (20_000, 50)
+    for f in (M.fit_lda, M.lda_cross_validation, M.lda_without_look_ahead):
+        assert inspect.signature(f).parameters["iterations"].default == 100
+    rows = M.sparse_rows(spark.createDataFrame([(d, c, 1.0 + (d + c) % 3) for d in range(8) for c in range(4)], "doc int, col_idx int, count double"), "doc", 2500)
+    assert M.fit_lda(rows, 2, 2500, iterations=6).getSubsamplingRate() == 1.0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "words.txt").write_text("# list\n\n alpha \nbeta\n#x\n")
     assert sorted(r.word for r in readers.word_list(spark, str(tmp_path / "words.txt")).collect()) == ["alpha", "beta"]
