@@ -160,15 +160,15 @@ def _frequent(counts: DataFrame, most: int, longest: int = 64) -> list[tuple[byt
 
 
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, states: int = 4, symbols: int = 8192, hot_words: int = 200_000, rounds: int = 5, window: int = 512, seed: int = 7
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, states: int = 4, symbols: int = 8192, hot_words: int = 200_000, rounds: int = 5, seed: int = 7
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     Learns from rows whose crc fold is not ``held_fold`` (a null id has no fold and is learnt from). A null text counts
     as empty: one token, its end. ``score`` is the log10 likelihood of the whole text, ``base_score`` that of smoothed
-    word counts. Baum-Welch reads every training token, in windows of ``window`` tokens so that long texts do not
-    lengthen its recursion; scoring has no window. Repeated rows are scored each; an empty table gives an empty
-    result; with no training rows every word is unknown. Other columns are not read.
+    word counts. Baum-Welch reads every training text whole, as scoring does: a start is counted once a text, and every
+    move inside it. Repeated rows are scored each; an empty table gives an empty result; with no training rows every
+    word is unknown. Other columns are not read.
     """
     held_out = F.coalesce(crc_fold(F.col(id_col)) == held_fold, F.lit(False))
     rows = docs.select(F.col(id_col).alias("__id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
@@ -230,7 +230,7 @@ def lm_scores(
     )
     model = Hmm.begin(unigram, states, seed)
     for _ in range(rounds if ends else 0):
-        model = _baum_welch(coded.where("not held_out").select("syms"), model, unigram, window)
+        model = _baum_welch(coded.where("not held_out").select("syms"), model, unigram)
     scored = _forward(coded.select("rid", "syms"), model)
     tail = coded.select("rid", F.explode("tail").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
@@ -257,7 +257,7 @@ def _symbols(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[np.ndarray]
             yield np.frombuffer(raw, "<u2").astype(np.int64)
 
 
-def _baum_welch(coded: DataFrame, model: Hmm, unigram: np.ndarray, window: int) -> Hmm:
+def _baum_welch(coded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm:
     """One round: expected counts in every task, summed by position in the cluster, a new model on the driver."""
     spark = coded.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -266,8 +266,7 @@ def _baum_welch(coded: DataFrame, model: Hmm, unigram: np.ndarray, window: int)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums, seen = sent.value, None, False
-        windows = (s[a : a + window] for s in _symbols(batches, 0) for a in range(0, len(s), window))
-        for group in _batches_of(windows):
+        for group in _batches_of(_symbols(batches, 0)):
             start, move, emit, _ = expected_counts(now, group)
             flat = np.concatenate([start, move.reshape(-1), emit.reshape(-1)])
             sums, seen = flat if sums is None else sums + flat, True

@@ -131,5 +131,18 @@ def test_lm_beats_counts_and_is_a_distribution(spark):
     assert 0.3 < total < 1
 
 
+def test_training_counts_starts_and_moves_of_whole_texts(spark):
+    unigram = np.array([0.5, 0.3, 0.2])
+    model = hmm_lm.Hmm.begin(unigram, 2, 3)
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, 3, n) for n in (1700, 513, 4)]
+    rows = spark.createDataFrame([(bytearray(s.astype("<u2").tobytes()),) for s in seqs], "syms binary").repartition(2)
+    got = hmm_lm._baum_welch(rows, model, unigram)
+    start, move, emit, _ = hmm_lm.expected_counts(model, seqs)
+    want = hmm_lm.updated(model, start, move, emit, unigram)
+    assert math.isclose(start.sum(), 3) and math.isclose(move.sum(), sum(len(s) - 1 for s in seqs))
+    assert all(np.allclose(getattr(got, f), getattr(want, f)) for f in ("start", "move", "emit"))
+
+
 def test_lm_empty_table(spark):
     assert hmm_lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
