@@ -168,9 +168,10 @@ def var_irf(panel: DataFrame, cols: list[str], at: str = "date", most_lags: int
     return panel.sparkSession.createDataFrame(rows, "shock string, response string, h int, value double, share double")
 
 
-def granger(panel: DataFrame, causes: list[str], effect: str, at: str = "date", lags: int = 1) -> DataFrame:
-    """``(cause, p_value)`` for each series."""
+def granger(panel: DataFrame, causes: list[str], effect: str, at: str = "date", most_lags: int = 3) -> DataFrame:
+    """``(cause, p_value)`` for each series, at the order by AIC of the autoregression of all of them."""
     x = _matrix(panel, [*causes, effect], at)
+    lags = var_order(x, most_lags)
     rows = [(c, granger_p(x[:, i], x[:, -1], lags)) for i, c in enumerate(causes)]
     return panel.sparkSession.createDataFrame(rows, "cause string, p_value double")
 

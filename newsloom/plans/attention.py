@@ -27,10 +27,10 @@ MONTHLY = f"""(select d.date, {", ".join(f"coalesce({t}, 0) as {t}" for t in TOP
 LONG = f"(unpivot {MONTHLY} on {', '.join(TOPICS)} into name topic value attention)"
 
 
-def weights(spark, folder):
+def weights(spark, folder, k=K):
     """Topic weights with their documents' date and length: an inner join on the id, then the lengths."""
     news = B.news(spark, folder).select("doc_id", F.col("published_at").alias("date"), F.length("content").alias("doc_length"))
-    return B.theta(spark, folder, K).join(news, "doc_id")
+    return B.theta(spark, folder, k).join(news, "doc_id")
 
 
 def monthly(spark, folder):

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.operators import forecast as P
 from newsloom.operators import models as M
+from newsloom.operators import relational as R
 from newsloom.operators import series as S
 from newsloom.operators import vocabulary as T
-from newsloom.plans.attention import TOPICS, monthly
+from newsloom.plans.attention import weights
 from newsloom.plans.corpus import cleaned, counted
 from newsloom.plans.market import BENCH, predictions
 from newsloom.plans.registry import MONTHLY, plan
@@ -125,14 +126,33 @@ def lasso_backtest(spark, folder):
     return P.lasso_backtest(forecast_panel(spark, folder), ["lag_0", "lag_1", "lag_2"], least=40, alpha=0.001)
 
 
+def return_panel(spark, folder):
+    """Monthly attention of the five topics of largest variance with the monthly log return, and the topics' names.
+
+    They are chosen among ten: five topics in all would have weights that sum to one, and no regression. Prices end in
+    2001 and the news begins in 2023, so price months are read 28 years on.
+    """
+    from pyspark.sql import Window as W
+
+    names = [f"topic_{i:03d}" for i in range(10)]
+    series = S.attention(weights(spark, folder, len(names)), names, "M", "doc_length")
+    chosen = sorted(r.topic for r in S.top_variance(R.melt(series.select("date", *names), ["date"], names, "topic", "attention"), 5).collect())
+    w = W.orderBy("date")  # a row a month
+    m = B.monthly_prices(spark, folder).select(F.last_day(F.add_months("month_end", 28 * 12)).alias("date"), "price")
+    market = m.select("date", F.ln(F.col("price") / F.lag("price").over(w)).alias("log_return"))
+    return S.panel(series.select("date", *chosen), market), chosen
+
+
 @plan()
 def var_irf(spark, folder):
-    return P.var_irf(monthly(spark, folder), TOPICS[:3])
+    panel, chosen = return_panel(spark, folder)
+    return P.var_irf(panel, [*chosen, "log_return"])
 
 
 @plan()
 def granger(spark, folder):
-    return P.granger(monthly(spark, folder), TOPICS[:2], TOPICS[2])
+    panel, chosen = return_panel(spark, folder)
+    return P.granger(panel, chosen, "log_return")
 
 
 @plan(f"""select count(*) as n, round(avg(be - se), 8) as mean_difference, round(avg(be - se) / (stddev_samp(be - se) / sqrt(count(*))), 6) as statistic from {BENCH} where be is not null""")

@@ -214,6 +214,29 @@ def test_lda_reads_all_documents_at_the_configured_size(spark):
     assert M.fit_lda(rows, 2, 2500, iterations=6).getSubsamplingRate() == 1.0
 
 
+def test_vector_autoregression_takes_five_topics_and_the_return(spark, sf):
+    from newsloom.plans import models as plans
+
+    panel, chosen = plans.return_panel(spark, sf)
+    assert len(chosen) == 5 and panel.where("log_return is not null").count() > 30
+    rows = plans.var_irf(spark, sf).collect()
+    assert {r.shock for r in rows} == {r.response for r in rows} == {*chosen, "log_return"} and len(rows) == 13 * 36
+    assert all(math.isfinite(r.value) and -1e-9 <= r.share <= 1 + 1e-9 for r in rows)
+    got = {r.cause: r.p_value for r in plans.granger(spark, sf).collect()}
+    x = P._matrix(panel, [*chosen, "log_return"], "date")
+    lags = P.var_order(x, 3)
+    assert got == pytest.approx({c: P.granger_p(x[:, i], x[:, 5], lags) for i, c in enumerate(chosen)})
+
+
+def test_granger_takes_the_order_by_aic(spark):
+    rng = np.random.default_rng(6)
+    cause, effect = rng.normal(size=400), np.zeros(400)
+    effect[2:] = 0.9 * cause[:-2] + rng.normal(size=398) * 0.3
+    rows = [(D(2000 + i // 12, i % 12 + 1, 1), float(a), float(b)) for i, (a, b) in enumerate(zip(cause, effect))]
+    (got,) = P.granger(spark.createDataFrame(rows, "date date, c double, e double"), ["c"], "e").collect()
+    assert got.p_value < 1e-6  # the effect comes after two periods; at one lag nothing is seen
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "words.txt").write_text("# list\n\n alpha \nbeta\n#x\n")
     assert sorted(r.word for r in readers.word_list(spark, str(tmp_path / "words.txt")).collect()) == ["alpha", "beta"]
