@@ -79,7 +79,7 @@ def lda_without_look_ahead(features: DataFrame, dates: DataFrame, doc: str, peri
     return out
 
 
-def fit_kmeans(features: DataFrame, k: int, seed: int = 42, starts: int = 3, iterations: int = 30):
+def fit_kmeans(features: DataFrame, k: int, seed: int = 42, starts: int = 10, iterations: int = 30):
     """The cheapest of several k-means fits."""
     best = None
     for s in range(starts):

@@ -237,6 +237,16 @@ def test_granger_takes_the_order_by_aic(spark):
     assert got.p_value < 1e-6  # the effect comes after two periods; at one lag nothing is seen
 
 
+def test_kmeans_keeps_the_cheapest_of_ten_starts(spark, monkeypatch):
+    fits, kmeans = [], M.KMeans
+    monkeypatch.setattr(M, "KMeans", lambda **options: fits.append(options["seed"]) or kmeans(**options))
+    rows = M.dense_rows(spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(60)], "doc int, x array<double>"), "doc", "x")
+    best = M.fit_kmeans(rows, 4)
+    assert len(set(fits)) == 10
+    costs = [kmeans(k=4, seed=s, maxIter=30).fit(rows).summary.trainingCost for s in fits]
+    assert best.summary.trainingCost == pytest.approx(min(costs))
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "words.txt").write_text("# list\n\n alpha \nbeta\n#x\n")
     assert sorted(r.word for r in readers.word_list(spark, str(tmp_path / "words.txt")).collect()) == ["alpha", "beta"]
