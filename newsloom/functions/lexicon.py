@@ -101,7 +101,7 @@ TEMPORAL_SPLITS = {
 KEPT_STOP_WORDS = ("fed", "rate", "earnings", "revenue", "profit", "loss")
 FINANCE_STOP_WORDS = ("stock", "share", "market", "trading", "price", "today", "yesterday", "tomorrow", "week", "month", "year")
 
-#: The default English stop list; a longer one can be read from a file (see ``sources.readers.word_list``).
+#: The usual English stop list, as letters are left of it by cleaning; another can be read from a file (``sources.readers.word_list``).
 STOP_WORDS = tuple(
     """a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does
     doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just
@@ -109,3 +109,15 @@ STOP_WORDS = tuple(
     their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom
     why will with would you your yours yourself yourselves""".split()
 )
+
+# The workload's own stop words, of its trade.
+NEWS_STOP_WORDS = (
+    "stock", "stocks", "market", "markets", "company", "companies", "share", "shares", "price", "prices", "trading", "trade", "trades", "traded",
+    "investor", "investors", "investment", "investments", "business", "businesses", "financial", "finance", "report", "reports", "reported", "reporting",
+    "said", "says", "saying", "percent", "percentage", "quarter", "quarterly", "year", "years", "annual", "annually", "month", "months", "monthly",
+    "week", "weeks", "weekly", "day", "days", "daily", "today", "yesterday", "tomorrow", "dollar", "dollars", "billion", "million", "thousand", "hundred",
+    "cannot", "ought",
+)
+
+#: The union of both lists, which tokens are tested against by default.
+ALL_STOP_WORDS = tuple(dict.fromkeys(STOP_WORDS + NEWS_STOP_WORDS))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,15 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value evaluated once, however often ``of`` names it.
+
+    An expression that names a long one many times grows with each mention, past what one generated method may hold; a
+    lambda over an array of one names a variable.
+    """
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -74,7 +83,7 @@ def clean_for_encoder(c: Column, mask_domain: bool = True) -> Column:
     return squeeze(t)
 
 
-def tokens(clean: Column, stop_words: Sequence[str] = L.STOP_WORDS, min_length: int = 3) -> Column:
+def tokens(clean: Column, stop_words: Sequence[str] = L.ALL_STOP_WORDS, min_length: int = 3) -> Column:
     """Tokens of cleaned text without stop words and short ones."""
     return F.filter(F.split(clean, " "), lambda w: (F.length(w) >= min_length) & ~w.isin(*stop_words))
 
@@ -122,32 +131,40 @@ def contains_count(text: Column, words: Sequence[str]) -> Column:
 
 def topic_tags(text: Column, topics=L.SECONDARY_TOPICS, default: str = "general") -> Column:
     """Names of the topics with a keyword in the text, comma-joined."""
-    found = F.array_compact(F.array(*(F.when(contains_any(text, words), name) for name, words in topics.items())))
-    return F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise(default)
+    found = once(text, lambda t: F.array_compact(F.array(*(F.when(contains_any(t, words), name) for name, words in topics.items()))))
+    return once(found, lambda names: F.when(F.size(names) > 0, F.array_join(names, ",")).otherwise(default))
 
 
 def category(text: Column, ladder=L.CATEGORY_LADDER, default: str = L.CATEGORY_DEFAULT) -> Column:
     """The first category of the ladder with a keyword in the text."""
-    out = None
-    for name, words in ladder:
-        hit = contains_any(text, words)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(default)
+
+    def first(t: Column) -> Column:
+        out = None
+        for name, words in ladder:
+            hit = contains_any(t, words)
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise(default)
+
+    return once(text, first)
 
 
 def lexicon_sentiment(text: Column) -> Column:
     """(positive - negative) / max(1, positive + negative) over distinct words that occur."""
-    pos, neg = contains_count(text, L.POSITIVE), contains_count(text, L.NEGATIVE)
-    return (pos - neg) / F.greatest(F.lit(1), pos + neg)
+    counts = once(text, lambda t: F.struct(contains_count(t, L.POSITIVE).alias("pos"), contains_count(t, L.NEGATIVE).alias("neg")))
+    return once(counts, lambda c: (c["pos"] - c["neg"]) / F.greatest(F.lit(1), c["pos"] + c["neg"]))
 
 
 def financial_sentiment(text: Column) -> Column:
     """Two points a word; a negation anywhere swaps the sides and halves them."""
-    t = F.lower(text)
-    pos, neg = contains_count(t, L.FINANCIAL_POSITIVE) * 2.0, contains_count(t, L.FINANCIAL_NEGATIVE) * 2.0
-    turned = contains_any(t, L.NEGATIONS)
-    p, n = F.when(turned, neg * 0.5).otherwise(pos), F.when(turned, pos * 0.5).otherwise(neg)
-    return (p - n) / F.greatest(F.lit(1.0), p + n)
+
+    def facts(t: Column) -> Column:
+        pos, neg = contains_count(t, L.FINANCIAL_POSITIVE) * 2.0, contains_count(t, L.FINANCIAL_NEGATIVE) * 2.0
+        return F.struct(pos.alias("pos"), neg.alias("neg"), contains_any(t, L.NEGATIONS).alias("turned"))
+
+    def sides(f: Column) -> Column:
+        return F.struct(F.when(f["turned"], f["neg"] * 0.5).otherwise(f["pos"]).alias("p"), F.when(f["turned"], f["pos"] * 0.5).otherwise(f["neg"]).alias("n"))
+
+    return once(once(once(F.lower(text), facts), sides), lambda s: (s["p"] - s["n"]) / F.greatest(F.lit(1.0), s["p"] + s["n"]))
 
 
 def garbage_term(term: Column, domain_rules: bool = True) -> Column:

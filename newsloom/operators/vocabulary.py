@@ -43,9 +43,27 @@ def term_rows(docs: DataFrame, *keys: str, terms: str | Column) -> DataFrame:
     return docs.select(*keys, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
 
 
+def runs(terms: Column) -> Column:
+    """Distinct terms of an array with their number, ``array<struct<term, n>>``: sorted, and cut where the term changes."""
+
+    def starts(t: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(None).cast("string")), t), 1, F.size(t))
+        changed = F.zip_with(t, before, lambda a, b: F.struct(a.alias("term"), (b.isNull() | (a != b)).alias("new")))
+        placed = F.transform(changed, lambda x, i: F.when(x["new"], F.struct(x["term"].alias("term"), i.alias("at"))))
+        return F.struct(F.filter(placed, lambda p: p.isNotNull()).alias("at"), F.size(t).alias("end"))
+
+    def sizes(s: Column) -> Column:
+        behind = F.concat(F.slice(s["at"], 2, F.size(s["at"])), F.array(F.struct(F.lit("").alias("term"), s["end"].alias("at"))))
+        # of an empty array nothing is behind, and the end is cut off
+        return F.zip_with(s["at"], F.slice(behind, 1, F.size(s["at"])), lambda a, b: F.struct(a["term"].alias("term"), (b["at"] - a["at"]).cast("long").alias("n")))
+
+    return X.once(X.once(F.sort_array(F.array_compact(terms)), starts), sizes)
+
+
 def term_counts(docs: DataFrame, doc: str, terms: str) -> DataFrame:
-    """``(doc, term, n)``: the bag of words of every document."""
-    return term_rows(docs, doc, terms=terms).groupBy(doc, "term").agg(F.count("*").alias("n"))
+    """``(doc, term, n)``: the bag of words of every document, counted in its row; a document id stands for one row."""
+    bag = F.when(F.col(terms).isNotNull(), runs(F.col(terms)))
+    return docs.select(doc, F.explode_outer(bag).alias("e")).where(F.col("e").isNotNull()).select(doc, "e.term", "e.n")
 
 
 def term_totals(counts: DataFrame) -> DataFrame:

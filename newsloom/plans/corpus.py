@@ -22,10 +22,13 @@ def _md5(c):
 
 
 CLEAN = f"(select doc_id, lang, {clean_sql('text')} as clean from documents)"
-STOP = words(L.STOP_WORDS)
+#: Title and content as one text, which is what vocabularies are built from.
+FULL = f"(select doc_id, language as lang, coalesce(title, '') || ' ' || coalesce(content, '') as text from {NEWS})"
+STOP = words(L.ALL_STOP_WORDS)
 TOKENS = f"(select doc_id, lang, clean, list_filter(string_split(clean, ' '), lambda w: length(w) >= 3 and w not in ({STOP})) as tokens from {CLEAN})"
+_FULL_TOKENS = f"(select doc_id, lang, chars, list_filter(string_split(clean, ' '), lambda w: length(w) >= 3 and w not in ({STOP})) as tokens from (select doc_id, lang, length(text) as chars, {clean_sql('text')} as clean from {FULL}))"
 PROCESSED = f"""(select *, list_concat(tokens, bigrams) as all_terms from (select *, case when len(tokens) >= 2 then list_transform(range(1, len(tokens)), lambda i: tokens[i] || '_' || tokens[i + 1]) else [] end as bigrams
-    from {TOKENS}) where len(tokens) >= 30 and doc_id in (select doc_id from documents where length(text) >= 100) and lang = 'en')"""
+    from {_FULL_TOKENS}) where len(tokens) >= 30 and chars >= 100 and (lang is null or lang in ('en', 'english', 'EN', '')))"""
 COUNTS = f"(select doc_id, term, count(*) as n from (select doc_id, unnest(all_terms) as term from {PROCESSED}) group by all)"
 TOTALS = f"(select term, cast(sum(n) as bigint) as count, count(*) as df from {COUNTS} group by term)"
 N_DOCS = f"(select count(*) from {PROCESSED})"
@@ -38,28 +41,34 @@ def cleaned(spark, folder):
 
 
 def english(spark, folder):
-    return T.english(table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("language")))
+    """English news with title and content in one text."""
+    return T.english(B.news(spark, folder).select("doc_id", X.full_text(F.col("title"), F.col("content")).alias("text"), "language"))
 
 
 def processed(spark, folder):
-    """English documents that are long enough, with their terms."""
+    """English documents whose title and content are long enough, with their terms."""
     return T.with_terms(spread(english(spark, folder)), "text")
 
 
-def counted(spark, folder):
+def counted(spark, folder, by_document=False):
     """Term counts, terms' totals and the number of documents; both tables are made once and read from checkpoints.
 
-    Texts are dealt by document before they are cut into terms, which are several times their size: terms are then
-    counted, and weights scaled by document, where they stand.
+    A document's terms are counted in its row, so that texts stay where they were read. ``by_document`` is for weights that
+    are scaled by document: texts are dealt by it first, as they are several times smaller than their terms.
     """
-    counts = cut_lineage(T.term_counts(T.bags(english(spark, folder).repartition("doc_id"), "text"), "doc_id", "all_terms"))
+    docs = english(spark, folder)
+    docs = docs.repartition("doc_id") if by_document else spread(docs)
+    counts = cut_lineage(T.term_counts(T.bags(docs, "text"), "doc_id", "all_terms"))
     return counts, cut_lineage(T.term_totals(counts)), counts.select("doc_id").distinct().count()  # every processed document has terms
 
 
-@plan(f"select term, count(*) as count, count(distinct doc_id) as df from (select doc_id, unnest(tokens) as term from {TOKENS} where lang = 'en') group by term order by count desc, term limit 50")
+@plan(f"select term, cast(sum(n) as bigint) as count, count(*) as df from (select doc_id, term, count(*) as n from (select doc_id, unnest(tokens) as term from {_FULL_TOKENS} where lang is null or lang in ('en', 'english', 'EN', '')) group by all) group by term order by count desc, term limit 50")
 def vocabulary_topn(spark, folder):
-    """The flagship: the 50 most frequent terms of the English corpus with their document frequency (a report)."""
-    docs = english(spark, folder).repartition("doc_id").withColumn("tokens", X.tokens(X.clean_basic(F.col("text"))))
+    """The flagship: the 50 most frequent terms of the English corpus with their document frequency (a report).
+
+    Terms are counted in their document's row and summed in every task; only terms with their sums are shuffled.
+    """
+    docs = spread(english(spark, folder)).withColumn("tokens", X.tokens(X.clean_basic(F.col("text"))))
     totals = T.term_totals(T.term_counts(docs, "doc_id", "tokens"))
     return totals.orderBy(F.desc("count"), "term").limit(50).select("term", "count", "df")
 
@@ -172,7 +181,7 @@ _PLAIN = f"""(select c.doc_id, c.term, n / sum(n) over (partition by c.doc_id) *
 
 @plan(f"select doc_id, count(*) as n_terms, round(sum(weight), 6) as total, round(max(weight), 6) as top from {_PLAIN} group by doc_id")
 def tfidf_custom(spark, folder):
-    counts, totals, n = counted(spark, folder)
+    counts, totals, n = counted(spark, folder, by_document=True)
     w = T.tfidf_plain(counts, totals, n, "doc_id")
     return w.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
@@ -186,7 +195,7 @@ SMOOTH = smooth_sql(COUNTS, TOTALS, N_DOCS, f"df >= 5 and df <= 0.95e0 * {N_DOCS
 
 
 def smooth(spark, folder):
-    counts, totals, n = counted(spark, folder)
+    counts, totals, n = counted(spark, folder, by_document=True)
     return T.tfidf_smooth(counts, totals, n, "doc_id", 5, 0.95)
 
 
