@@ -72,8 +72,8 @@ def novelty_score(spark, folder):
     return e.select("event_id", F.round(E.novelty("event_type", ["ts", "event_id"], "user_id"), 6).alias("novelty"))
 
 
-@plan(f"""select event_date, primary_topic, count(event_id) as news_count, round(avg(sentiment_direction), 4) as avg_sentiment, round(avg(sentiment_intensity), 4) as avg_intensity,
-    round(avg(impact_score), 4) as avg_impact, round(avg(novelty_score), 4) as avg_novelty from {EVENTS} group by all""")
+@plan(f"""select event_date, primary_topic, count(event_id) as news_count, round_even(avg(sentiment_direction), 4) as avg_sentiment, round_even(avg(sentiment_intensity), 4) as avg_intensity,
+    round_even(avg(impact_score), 4) as avg_impact, round_even(avg(novelty_score), 4) as avg_novelty from {EVENTS} group by all""")
 def event_daily_rollup(spark, folder):
     return E.daily_rollup(events(spark, folder))
 
@@ -113,16 +113,17 @@ def impact_distribution(spark, folder):
 
 
 _SPLITS = " union all ".join(
-    f"select '{name}' as split, count(*) filter (d >= date '{a}' and d <= date '{b}') as train, count(*) filter (d >= date '{c}' and d <= date '{e}') as test from (select cast(published_at as date) as d from {NEWS})"
+    f"select '{name}' as split, count(*) filter (d >= timestamp '{a}' and d <= timestamp '{b}') as train, count(*) filter (d >= timestamp '{c}' and d <= timestamp '{e}') as test from (select published_at as d from {NEWS})"
     for name, (a, b, c, e) in L.TEMPORAL_SPLITS.items()
 )
 
 
 @plan(_SPLITS)
 def temporal_split_counts(spark, folder):
-    """Documents of each expanding split; the last day of a period belongs to it whole."""
-    days = B.news(spark, folder).select(F.to_date("published_at").alias("d"))
-    between = lambda a, b: F.count_if(F.col("d").between(a, b))
+    """Documents of each expanding split; a period ends with the first moment of its last day, as the workload's masks do."""
+    days = B.news(spark, folder).select(F.col("published_at").alias("d"))
+    moment = lambda day: F.lit(day).cast("timestamp_ntz")
+    between = lambda a, b: F.count_if(F.col("d").between(moment(a), moment(b)))
     parts = F.array(*(F.struct(F.lit(name).alias("split"), F.lit(i).alias("i")) for i, name in enumerate(L.TEMPORAL_SPLITS)))
     counts = days.agg(*(between(a, b).alias(f"train_{i}") for i, (a, b, _, _) in enumerate(L.TEMPORAL_SPLITS.values())), *(between(c, e).alias(f"test_{i}") for i, (_, _, c, e) in enumerate(L.TEMPORAL_SPLITS.values())))
     n = len(L.TEMPORAL_SPLITS)
