@@ -18,7 +18,7 @@ def returns(prices: DataFrame, key: str = "symbol", at: str = "date", price: str
 def monthly_returns(daily: DataFrame, key: str = "symbol", at: str = "date") -> DataFrame:
     """``(month_end, key, log_return, simple_return)``: summed and compounded; a month without returns has zero."""
     return daily.groupBy(F.last_day(at).alias("month_end"), key).agg(
-        F.coalesce(F.sum("log_return"), F.lit(0.0)).alias("log_return"), F.coalesce(F.exp(F.sum(F.log1p("simple_return"))) - 1, F.lit(0.0)).alias("simple_return")
+        F.coalesce(F.sum("log_return"), F.lit(0.0)).alias("log_return"), F.coalesce(F.product(F.col("simple_return") + 1) - 1, F.lit(0.0)).alias("simple_return")
     )
 
 

@@ -88,7 +88,7 @@ def daily_returns(spark, folder):
     return r.select("symbol", "date", F.round("simple_return", 8).alias("simple_return"), F.round("log_return", 8).alias("log_return"))
 
 
-@plan(f"""select last_day(date) as month_end, symbol, round(coalesce(sum(log_return), 0), 8) as log_return, round(coalesce(exp(sum(ln(1 + simple_return))) - 1, 0), 8) as simple_return
+@plan(f"""select last_day(date) as month_end, symbol, round(coalesce(sum(log_return), 0), 8) as log_return, round(coalesce(product(1 + simple_return) - 1, 0), 8) as simple_return
     from {RETURNS} group by 1, 2""")
 def monthly_returns(spark, folder):
     m = S.monthly_returns(S.returns(B.daily_prices(spark, folder)))
