@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import staged
+from newsloom.llm.common import join_hot, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,7 +16,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links(u, v)`` of longs -> ``(node, root)``, root being the smallest node of the component.
 
     Nodes without links are left out; null ends and self links are ignored; repeated links count once. Each round
-    is two aggregations with two joins and is staged; no component is ever gathered in a task. Raises if
+    is two aggregations with two joins and is staged; no component is ever gathered in a task, and nodes with very many
+    links are joined apart. Raises if
     ``max_rounds`` do not suffice (they are logarithmic in the longest path).
     """
     edges = staged(
@@ -30,11 +31,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = staged(join_hot(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "u")
+            join_hot(large, low, "u", 2 * before[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u <> v")

@@ -4,6 +4,9 @@ Every scan partition hashes its texts and sends each owner (a range of hash valu
 Golomb-Rice coded. Owners look for hashes that came from several partitions and answer each with a bitmap in the
 order of its message; a partition knows its own repeats. Only the suspects that this leaves are shuffled with their
 texts, and grouping by the text itself verifies them byte by byte.
+
+For that the texts are staged once where they lie, bucketed by their scan partition: bitmaps by place in a partition
+meet them there, so neither finding the suspects nor removing copies moves any other text.
 """
 
 from __future__ import annotations
@@ -13,12 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from newsloom.llm.common import staged, without_rows
+from newsloom.llm.common import BITS, at_positions, bits_row, join_hot, positioned, staged
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -65,50 +66,32 @@ def _base(owner: int, bits: int) -> np.uint64:
     return np.uint64(owner << (64 - bits)) if bits else np.uint64(0)
 
 
-def hash_and_send(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
-    """One pass over the texts: a row per document and the messages to the owners (told apart by ``owner``)."""
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, at = TaskContext.get().partitionId(), [], 0
-        for batch in batches:
-            n = batch.num_rows
-            seen.append(batch.column(1).to_numpy().view(np.uint64))
-            rid = (part << 40) + at + np.arange(n, dtype=np.int64)
-            at += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), batch.column(0), batch.column(1), batch.column(2), pa.array(rid), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["part", "id", "h", "sha", "rid", "owner", "message"],
-            )
-        sent = [(o, golomb_encode(v - _base(o, bits))) for o, v in _messages(np.concatenate(seen), bits)] if seen else []
-        n = len(sent)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([o for o, _ in sent], pa.int32()), pa.array([m for _, m in sent], pa.binary())],
-            names=["part", "id", "h", "sha", "rid", "owner", "message"],
-        )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("sha"))
-    return rows.mapInArrow(send, f"part int, id {kind}, h long, sha string, rid long, owner int, message binary")
+def send(hashes: DataFrame, bits: int) -> DataFrame:
+    """``hashes(slot, h)`` -> ``(slot, owner, message)``: what every scan partition tells the owners."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows["slot"][0].as_py()
+        sent = [(owner, golomb_encode(v - _base(owner, bits))) for owner, v in _messages(rows["h"].to_numpy().view(np.uint64), bits)]
+        return pa.table({"slot": pa.array([at] * len(sent), pa.int32()), "owner": pa.array([o for o, _ in sent], pa.int32()), "message": pa.array([m for _, m in sent], pa.binary())})
+
+    return hashes.groupBy("slot").applyInArrow(run, "slot int, owner int, message binary")
 
 
 def answer(messages: DataFrame) -> DataFrame:
-    """Owners' replies ``(part, owner, bitmap)``: a bit for each hash of the message, set if other partitions sent it too."""
+    """Owners' replies ``(slot, owner, bitmap)``: a bit for each hash of the message, set if other partitions sent it too."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sent = [golomb_decode(m) for m in pdf["message"]]
         values, count = np.unique(np.concatenate(sent), return_counts=True)
         shared = values[count > 1]
         bits = [np.packbits(np.isin(s, shared, assume_unique=True)).tobytes() for s in sent]
-        return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "bitmap": bits})
+        return pd.DataFrame({"slot": pdf["slot"], "owner": pdf["owner"], "bitmap": bits})
 
-    return messages.groupBy("owner").applyInPandas(run, "part int, owner int, bitmap binary")
+    return messages.groupBy("owner").applyInPandas(run, "slot int, owner int, bitmap binary")
 
 
-def mark_suspects(rows: DataFrame, replies: DataFrame, bits: int) -> DataFrame:
-    """The documents' rows with ``suspect``: the hash occurs again in this partition, or its bit is set in a reply."""
-    names = [c for c in rows.columns if c not in ("owner", "message")]
+def suspects_of(hashes: DataFrame, replies: DataFrame, bits: int) -> DataFrame:
+    """``hashes(slot, ord, h)`` -> a bitmap of places per partition: the hash is there again, or its bit is set in a reply."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes = left["h"].to_numpy().view(np.uint64)
@@ -117,10 +100,30 @@ def mark_suspects(rows: DataFrame, replies: DataFrame, bits: int) -> DataFrame:
         known = [values[count > 1]]
         for owner, sent in _messages(hashes, bits):
             known.append(sent[np.unpackbits(np.frombuffer(bitmaps[owner], np.uint8), count=len(sent)).astype(bool)])
-        return left.select(names).append_column("suspect", pa.array(np.isin(hashes, np.concatenate(known))))
+        return bits_row(left["slot"][0].as_py(), left["ord"].to_numpy()[np.isin(hashes, np.concatenate(known))])
+
+    return hashes.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(run, BITS)
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents by position ``(slot, ord, row, id, h, sha)``, the suspects' bitmaps and their groups.
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
-    return rows.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, f"{schema}, suspect boolean")
+    ``groups(sha, n, keep)``: ``keep`` is the position ``(id, slot, ord)`` of the row that stays. The text is the
+    grouping key, so its bytes are compared and copies of one task meet before the shuffle.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    placed = positioned(docs, "texts", id=F.col(id_col), h=F.xxhash64(text), sha=F.unhex(F.sha2(text, 256)))
+    # an owner's share of the hashes: at most about eight million, and work for every core where there are fewer
+    bits = max(3, min(6, placed.rdd.getNumPartitions().bit_length()), (placed.count() >> 23).bit_length())
+    replies = answer(send(placed.select("slot", "h"), bits))
+    suspects = staged(suspects_of(placed.select("slot", "ord", "h"), replies, bits), "suspects")
+    light = at_positions(placed.select("slot", "ord", "id", "sha"), suspects)
+    classes = light.groupBy("sha").agg(F.max(F.struct("id", "slot", "ord")).alias("keep"), F.count("*").alias("n"))
+    again = at_positions(placed.select("slot", "ord", "sha", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text")), suspects)
+    verified = again.groupBy("sha", "text").agg(F.count("*").alias("same")).select("sha", "same")
+    different = F.raise_error(F.lit("different texts share a digest"))
+    groups = classes.join(verified, "sha").select("sha", "keep", F.when(F.col("n") == F.col("same"), F.col("n")).otherwise(different).alias("n"))
+    return placed, suspects, staged(groups, "groups")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,34 +133,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal texts like any others: exactly one of a group is kept. Other columns are not read; an empty table gives an
     empty result.
     """
-    parts = docs.rdd.getNumPartitions()
-    bits = max(3, (parts - 1).bit_length())
-    sent = staged(hash_and_send(docs, id_col, text_col, bits), "fingerprints")
-    rows = sent.where("owner is null").drop("owner", "message")
-    replies = answer(sent.where("owner is not null").select("part", "owner", "message"))
-    marked = staged(mark_suspects(rows, replies, bits), "suspects")
-    suspects = marked.where("suspect")
-    classes = suspects.groupBy("h", "sha").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("n"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text"))
-    again = hashed.join(suspects.select("h").distinct(), "h", "left_semi")
-    # the grouping key is the text itself: its bytes are compared, and copies meet before the shuffle
-    verified = again.groupBy("text").agg(F.count("*").alias("same")).select(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"), "same")
-    groups = staged(
-        classes.join(verified, ["h", "sha"], "left").select(
-            "sha", "keep", F.when(F.col("n") == F.col("same"), F.col("n")).otherwise(F.raise_error(F.lit("different texts share a digest"))).alias("n")
-        ),
-        "groups",
-    )
-    met = suspects.join(groups, "sha").select(
-        F.col("id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
-    alone = marked.where("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    return alone.unionByName(met).withColumnRenamed("id", id_col)
+    placed, suspects, groups = _placed(docs.select(id_col, text_col), id_col, text_col)
+    light = placed.select("slot", "ord", "id", "sha")
+    met = join_hot(at_positions(light, suspects), groups, "sha", light.count())
+    kept = (F.col("slot") == F.col("keep.slot")) & (F.col("ord") == F.col("keep.ord"))
+    digest = F.lower(F.hex("sha")).alias("text_sha256")
+    again = met.select("id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), digest)
+    alone = at_positions(light, suspects, "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    return alone.unionByName(again).withColumnRenamed("id", id_col)
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, of which one stays for each text: that with the largest id."""
-    groups = staged(exact_groups(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept"), "copies")
-    keys = groups.groupBy("id", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    return without_rows(docs, keys.where("not kept"), keys.where("kept and n > 1"), id_col, text_col)
+    """The rows of ``docs``, unchanged, of which one stays for each text: that with the largest id.
+
+    Rows as in ``exact_groups``; they are taken out where they lie, by position.
+    """
+    placed, suspects, groups = _placed(docs, id_col, text_col)
+
+    def less(found: pa.Table, keep: pa.Table) -> pa.Table:
+        words = found["bits"][0].values.to_numpy()
+        places = np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
+        return bits_row(found["slot"][0].as_py(), np.setdiff1d(places, keep["ord"].to_numpy()))
+
+    keep = groups.select("keep.slot", "keep.ord")
+    dropped = suspects.groupBy("slot").cogroup(keep.groupBy("slot")).applyInArrow(less, BITS)
+    return at_positions(placed, dropped, "left_anti").select("row.*")

@@ -2,32 +2,37 @@
 
 The 64 bits are cut into ``most + 1`` segments around a ring. If two fingerprints differ in at most ``most`` bits then
 some segment starts a chain of which every prefix of k segments differs in at most ``k * most / (most + 1)`` bits, so
-0 in the first, 1 in the first two, and so on round the ring. Chains of two are the join key: the first segment as
-it is, the second with every change of at most one bit on one side. Longer prefixes and then the full distance are
-checked on the pairs that meet.
-
-Equal fingerprints count once. Before pairs are made, each member of a bucket is tied to the smallest one of the
-bucket where that is near enough; only pairs that this has not yet connected are looked for, so a large group of near
-copies costs one link per member and bucket, not one per pair.
+0 in the first, 1 in the first two, and so on round the ring. Chains of two are the join key (of three, where there
+are so many fingerprints that chance meetings would outnumber the keys): the first segment as it is, the others with
+every change that the budget allows on one side. Longer prefixes and then the full distance are checked on the pairs
+that meet.
+
+Equal fingerprints count once. Before pairs are made, each member of a bucket is tied to one hub where that is near
+enough: in large buckets the member nearest to the bucket's bitwise majority, else the smallest. What this connects is
+one root. A fingerprint then meets the roots of a bucket, one row each, and only the members of other roots, so a
+group of near copies that its hubs connect costs one link per member and bucket, not one per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.llm.common import byte_column, space_words, staged, text_digest, without_rows
+from newsloom.llm.common import at_positions, byte_column, join_hot, position_bits, positioned, space_words, staged
 from newsloom.llm.components import connected_components
 
 BITS = 64
 #: Shingles hashed at once.
 _BLOCK = 200_000
+#: Buckets of as many fingerprints look for a hub near their middle.
+_CROWD = 32
 #: For each byte, its bits spread over the bytes of a 64-bit word.
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -53,42 +58,67 @@ def fingerprint(raw: bytes, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(total * 2 > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """``(id, sha, fp long)`` for every row; a null or wordless text has fingerprint zero. ``sha`` digests the text."""
+def fingerprints(rows: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
+    """``rows`` with ``fp long`` in the place of their text; a null or wordless text has fingerprint zero."""
+    names = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(raw or b"", width, seed) for raw in byte_column(batch, "text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=[id_col, "sha", "fp"])
+            fps = np.array([fingerprint(raw or b"", width, seed) for raw in byte_column(batch, "__text")], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*names, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_digest(text_col).alias("sha"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, sha string, fp long")
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("fp", T.LongType())])
+    return rows.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 class Ring:
-    """Segments of a fingerprint round a ring, for distances up to ``most``."""
+    """Segments of a fingerprint round a ring, for distances up to ``most``; keys are chains of ``links`` segments."""
 
-    def __init__(self, most: int = 4):
+    def __init__(self, most: int = 4, links: int = 2):
         self.most, self.parts = most, most + 1
         edges = [BITS * i // self.parts for i in range(self.parts + 1)]
         self.at, self.width = edges[:-1], [b - a for a, b in zip(edges, edges[1:])]
+        # a key has 48 bits, below the number of its first segment
+        self.links = max(k for k in range(1, min(links, self.parts) + 1) if k == 1 or k * max(self.width) <= 48)
+
+    def budget(self, k: int) -> int:
+        """How many bits may differ in the first ``k`` segments of a chain."""
+        return k * self.most // self.parts
 
     def segment(self, fp: Column, i: int) -> Column:
         i %= self.parts
         return F.shiftrightunsigned(fp, self.at[i]).bitwiseAND(F.lit((1 << self.width[i]) - 1))
 
     def key(self, fp: Column, i: int) -> Column:
-        """Chain of two segments from i, with i in front."""
-        second = self.width[(i + 1) % self.parts]
-        both = F.shiftleft(self.segment(fp, i).cast("long"), second).bitwiseOR(self.segment(fp, i + 1).cast("long"))
-        return both.bitwiseOR(F.lit(i << 48))
+        """Chain of segments from i, with i in front."""
+        chain = self.segment(fp, i).cast("long")
+        for k in range(1, self.links):
+            chain = F.shiftleft(chain, self.width[(i + k) % self.parts]).bitwiseOR(self.segment(fp, i + k).cast("long"))
+        return chain.bitwiseOR(F.lit(i << 48))
 
     def keys(self, fp: Column) -> Column:
         return F.array(*(self.key(fp, i) for i in range(self.parts)))
 
+    def changes(self, i: int) -> list[int]:
+        """What may differ between the keys of a chain from i, within the budget at every length."""
+        found = [(0, 0)]
+        for k in range(1, self.links):
+            size = self.width[(i + k) % self.parts]
+            room = self.budget(k + 1)
+            found = [
+                (mask << size | sum(1 << b for b in bits), spent + n)
+                for mask, spent in found
+                for n in range(room - spent + 1)
+                for bits in combinations(range(size), n)
+            ]
+        return [mask for mask, _ in found]
+
     def near_keys(self, fp: Column) -> Column:
-        """The keys with at most one bit of the second segment changed (as many as the chain's budget allows)."""
-        return F.array(*(k for i in range(self.parts) for k in [self.key(fp, i), *(self.key(fp, i).bitwiseXOR(F.lit(1 << b)) for b in range(self.width[(i + 1) % self.parts]))]))
+        """Every key that a fingerprint within the chain's budget may have."""
+        def changed(i: int) -> Column:
+            return F.transform(F.array(*(F.lit(m).cast("long") for m in self.changes(i))), lambda m: self.key(fp, i).bitwiseXOR(m))
+
+        return F.flatten(F.array(*(changed(i) for i in range(self.parts))))
 
     def chain_holds(self, key: Column, diff: Column) -> Column:
         """Whether the chain from the key's segment keeps its budget at every length."""
@@ -97,57 +127,90 @@ class Ring:
             sums, ok = F.bit_count(self.segment(diff, i)), F.bit_count(self.segment(diff, i)) == 0
             for k in range(2, self.parts + 1):
                 sums = sums + F.bit_count(self.segment(diff, i + k - 1))
-                ok = ok & (sums <= k * self.most // self.parts)
+                ok = ok & (sums <= self.budget(k))
             out = F.when(F.shiftright(key, 48) == i, ok) if out is None else out.when(F.shiftright(key, 48) == i, ok)
         return out
 
 
-def near_components(values: DataFrame, most: int = 4) -> DataFrame:
-    """``values(fp)`` distinct -> ``(fp, root)``: root is one fingerprint for all that are linked, directly or not."""
-    ring = Ring(most)
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _hubs(keyed: DataFrame, rows: int) -> DataFrame:
+    """``keyed(fp, key)`` -> ``(key, n, hub)`` for keys of two fingerprints or more."""
+    sizes = staged(keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    crowds = sizes.where(F.col("n") >= _CROWD)
+    if crowds.isEmpty():
+        return sizes
+    members = staged(join_hot(keyed, crowds.select("key", "n"), "key", rows), "crowds")
+    ones = members.groupBy("key").agg(F.count("*").alias("n"), *(F.sum(F.getbit("fp", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(BITS)))
+    middle = F.lit(0).cast("long")
+    for i in range(BITS):
+        bit = (1 << i) - (1 << BITS if i == BITS - 1 else 0)
+        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    middles = staged(ones.select("key", "n", middle.alias("middle")), "middles")
+    nearest = join_hot(members.select("key", "fp"), middles, "key", rows).groupBy("key").agg(F.min(F.struct(_distance("fp", "middle").alias("far"), "fp")).alias("near"), F.count("*").alias("n"))
+    return staged(nearest.select("key", "n", F.col("near.fp").alias("hub")).unionByName(sizes.where(F.col("n") < _CROWD)), "hubs")
+
+
+def near_components(values: DataFrame, most: int = 4, links: int | None = None) -> DataFrame:
+    """``values(fp)`` distinct -> ``(fp, root)``: root is one fingerprint for all that are linked, directly or not.
+
+    ``links`` only moves work between keys and meetings; the result is the same. By default keys are chains of two
+    segments up to 2^30 fingerprints, beyond which chance meetings under them would cost more than chains of three.
+    """
+    if not most:
+        return values.select("fp", F.col("fp").alias("root"))
+    count = values.count()
+    ring = Ring(most, links or (2 if count <= 1 << 30 else 3))
     keyed = values.select("fp", F.explode(ring.keys(F.col("fp"))).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    tied = keyed.join(hubs, "key").where("fp <> hub").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= most)
+    rows = ring.parts * count
+    tied = join_hot(keyed, _hubs(keyed, rows), "key", rows).where("fp <> hub").where(_distance("fp", "hub") <= most)
     first = connected_components(tied.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
-    rooted = staged(
-        values.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted"
-    )
+    rooted = staged(values.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
     left = rooted.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), F.explode(ring.near_keys(F.col("fp"))).alias("key"))
     right = rooted.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(ring.keys(F.col("fp"))).alias("key"))
+    # the chain's budget is the same from both ends, so each two roots meet from one side
+    others = left.join(right.select("key", "root_b").distinct(), "key").where("root_a < root_b")
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (
-        left.join(right, "key")
-        .where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-        .where((F.bit_count(diff) <= most) & ring.chain_holds(F.col("key"), diff))
-    )
+    pairs = others.join(right, ["key", "root_b"]).where((F.bit_count(diff) <= most) & ring.chain_holds(F.col("key"), diff))
     second = connected_components(pairs.select(F.col("root_a").alias("u"), F.col("root_b").alias("v")))
     tops = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return rooted.join(tops, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    moved = tops.join(rooted.groupBy("root").agg(F.count("*").alias("n")), "root")
+    still = rooted.join(tops.select("root"), "root", "left_anti")
+    return still.unionByName(join_hot(rooted, staged(moved, "moved"), "root", count).select("fp", F.col("top").alias("root")))
+
+
+def _roots(rows: DataFrame, low: Column, most: int) -> DataFrame:
+    """``rows(fp, ...)`` -> staged ``(fp, root, low, n)``: the least ``low`` and the number of rows of each fingerprint."""
+    values = staged(rows.groupBy("fp").agg(F.min(low).alias("low"), F.count("*").alias("n")), "values")
+    return staged(near_components(values.select("fp"), most).join(values, "fp"), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
-    """``(id, sha, fp long, root long, component_id)`` for every row of ``docs``; ``root`` names the component.
+    """``(id, fp long, component_id)`` for every row of ``docs``.
 
     Fingerprints link at ``most`` or fewer differing bits; ``component_id`` is the smallest id reachable through links,
     the row's own included. A null or wordless text has fingerprint zero and is linked like any other; rows with a null
     id take part, their component's id is null only if all its ids are; repeated rows are returned each; an empty
     table gives an empty result; other columns are not read.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    values = rows.groupBy("fp").agg(F.min(id_col).alias("low"))
-    roots = staged(near_components(staged(values, "values"), most).join(values, "fp"), "roots")
-    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(roots.join(lows, "root").select("fp", "root", "component_id"), "fp").select(id_col, "sha", "fp", "root", "component_id")
+    rows = staged(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", width, seed), "fingerprints")
+    roots = _roots(rows, F.col("id"), most)
+    lows = staged(roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "components")
+    named = join_hot(roots.select("root", "fp", F.col("n").alias("rows")), lows, "root", roots.count()).select("fp", F.col("rows").alias("n"), "component_id")
+    return join_hot(rows, staged(named, "named"), "fp", rows.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
     """The rows of ``docs``, unchanged, of which one stays for each component: that with the smallest id.
 
-    Ties of the id go to the smaller digest of the text; a null id stays only where a component has no other.
+    Ties of the id go to the smaller digest of the text, then to the first place; a null id stays only where a
+    component has no other. The rows that stay are found again by position: no text is shuffled.
     """
-    found = staged(near_duplicates(docs, id_col, text_col, most=most).withColumnRenamed(id_col, "id"), "components")
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("sha"))
-    lows = found.groupBy("root").agg(F.min(order).alias("least"), F.count("*").alias("size")).where("size > 1")
-    rows = found.join(lows, "root")
-    keys = rows.groupBy("id", "sha").agg(F.first(order == F.col("least")).alias("kept"), F.count("*").alias("n"))
-    return without_rows(docs, keys.where("not kept"), keys.where("kept and n > 1"), id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    placed = positioned(docs, "texts", id=F.col(id_col), sha=F.unhex(F.sha2(text, 256)))
+    rows = staged(fingerprints(placed.select("slot", "ord", "id", "sha", F.col("row").getField(text_col).alias("text"))), "fingerprints")
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "sha", "slot", "ord")
+    keep = _roots(rows, least, most).groupBy("root").agg(F.min("low").alias("keep"))
+    return at_positions(placed, position_bits(keep.select("keep.slot", "keep.ord"))).select("row.*")
