@@ -1,34 +1,41 @@
 """Hidden Markov language model.
 
-A few latent states emit symbols: the most frequent words, one symbol for every other word, and the end of a text.
-Baum-Welch runs over all training texts; each task returns expected counts, which are summed in the cluster, and only
-the model (states x symbols, a size that is a parameter) reaches the driver. Scoring is the scaled forward recursion
-over the whole text, so it is the exact likelihood; a word behind the "other" symbol adds its probability among the
-other words, with one share for words never seen, so the model is a proper distribution over texts.
-
-Counts of all words of the corpus are joined, not broadcast: only the ``hot_words`` most frequent ones, short enough to
-bound their bytes, go to the tasks; what is rarer is joined to the count table by a shuffle.
+A few latent states emit words and the end of a text. Texts become codes of words, block by block, and every word has
+one owner in the cluster that counts it and answers the blocks that hold it; so counts and emissions of all words, as
+many as the corpus has, live in tables that are dealt by word and never gathered.
+
+Baum-Welch runs over all training texts. Each task returns expected counts, which are summed in the cluster, and only
+the model of bounded size reaches the driver: start, moves, and the emissions of the *listed* words, those with at
+least ``share`` of all training tokens and so at most ``1 / share``. In these rounds all other words are one symbol.
+Then one more expectation step gives every word behind that symbol its own emissions: its owner sums its expected counts
+by state, drawn towards the states' shares where it is rare.
+
+Scoring is the scaled forward recursion over the whole text, so it is the exact likelihood. Behind the symbol of other
+words, known ones have add-half shares by state, and one share stands for the event of any unseen word; so the model is
+a distribution over texts in which all unseen words are one.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import byte_column, slices, space_words, staged
+from newsloom.llm.blocks import Coded, coded, codes_of, met, numbering, numbers, placed, places, squeeze, unpack, unsqueeze
+from newsloom.llm.common import space_words, staged
 from newsloom.llm.quality_rules import crc_fold
 
-_HELD = 400_000
-#: Tokens whose symbols are worked on at once.
-_TOKENS = 2_000_000
+#: Tokens that one recursion holds (a longer text is held alone), and the longest stretch without a cut.
+_TOKENS, _STRETCH = 2_000_000, 1024
+#: Fractions are sent in steps of this size.
+_STEPS = 65_535
 
 
 @dataclass
@@ -48,57 +55,159 @@ class Hmm:
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def _columns(sequences: list[np.ndarray]):
-    """Sequences sorted by length, longest first: flat symbols, starts and how many are alive at each step."""
-    sequences = sorted(sequences, key=len, reverse=True)
-    sizes = np.array([len(s) for s in sequences])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-    return np.concatenate(sequences), starts, alive
-
-
-def log_likelihoods(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of each sequence by the scaled forward recursion (in the order given)."""
-    order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]), reverse=True)
-    flat, starts, alive = _columns(sequences)
-    out = np.zeros(len(sequences))
-    a = model.start
-    for t, n in enumerate(alive):
-        a = (a[:n] @ model.move if t else a) * model.emit[flat[starts[:n] + t]]
-        scale = a.sum(1)
-        a /= scale[:, None]
-        out[:n] += np.log(scale)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
-
-
-def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+class Stretches:
+    """Stretches of one array side by side, step by step: the columns of step t are those of all that are longer.
+
+    ``at`` has the place in the array of every column, ``alive`` how many columns each step has, ``first`` where a step's
+    columns begin; ``order`` sorts the stretches, longest first.
+    """
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        long = sizes[self.order]
+        self.alive = (len(long) - np.searchsorted(long[::-1], np.arange(long[0]), side="right")).tolist()
+        self.first = np.concatenate([[0], np.cumsum(self.alive)]).tolist()
+        begin = starts[self.order]
+        self.at = np.concatenate([begin[:n] + t for t, n in enumerate(self.alive)])
+
+    def steps(self) -> Iterator[tuple[int, slice]]:
+        return ((n, slice(a, a + n)) for n, a in zip(self.alive, self.first))
+
+
+class Recursion:
+    """Scaled forward and backward recursions over sequences that lie behind each other in ``flat``.
+
+    ``emit`` has a row of state probabilities for every symbol. Sequences are cut into stretches that run side by side,
+    states by columns. What enters a stretch is exact: the transfer matrices of the stretches behind a first one are
+    multiplied out, and messages are carried over the cuts through them.
+    """
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, flat: np.ndarray, sizes: np.ndarray, stretch: int = _STRETCH):
+        self.move, self.emit, self.k = move, np.ascontiguousarray(emit.T), len(start)
+        heads = np.cumsum(sizes) - sizes
+        cuts = -(-sizes // stretch)
+        self.depth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        self.sequence = np.repeat(np.arange(len(sizes)), cuts)
+        self.starts = np.repeat(heads, cuts) + stretch * self.depth
+        self.sizes = np.minimum(stretch, np.repeat(heads + sizes, cuts) - self.starts)
+        enter = np.empty((self.k, len(self.starts)))  # the message at a stretch's first place, before what it emits
+        enter[:, self.depth == 0] = start[:, None]
+        self.more = np.flatnonzero(self.depth)
+        if len(self.more):
+            self.before = self._messages(flat, start)
+            enter[:, self.more] = move.T @ self.before
+        self.lay = Stretches(self.starts, self.sizes)
+        self.here = self._taken(flat[self.lay.at])
+        self.forward, self.scales = np.empty_like(self.here), np.empty(self.here.shape[1])
+        self._run(self.lay, self.here, enter[:, self.lay.order], self.forward, self.scales)
+
+    def _taken(self, symbols: np.ndarray) -> np.ndarray:
+        return np.take(self.emit, symbols, axis=1)
+
+    def _run(self, lay: Stretches, here: np.ndarray, enter: np.ndarray, forward: np.ndarray, scales: np.ndarray) -> None:
+        a, by = enter, np.ascontiguousarray(self.move.T)
+        for t, (n, cols) in enumerate(lay.steps()):
+            a = (by @ a[:, :n] if t else a) * here[:, cols]
+            scale = a.sum(0)
+            a /= scale
+            forward[:, cols], scales[cols] = a, scale
+
+    def _levels(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Places in ``more`` by depth; the stretch before one of depth two or more is at the place before."""
+        depth = self.depth[self.more]
+        order = np.argsort(depth, kind="stable")
+        found = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+        return [(int(depth[places_[0]]), places_) for places_ in found]
+
+    def _messages(self, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The message at the end of what lies before each stretch of ``more``."""
+        k, firsts = self.k, self.more[self.depth[self.more] == 1] - 1
+        lay = Stretches(self.starts[firsts], self.sizes[firsts])
+        here = self._taken(flat[lay.at])
+        ends = np.empty_like(here)
+        self._run(lay, here, np.repeat(start[:, None], len(firsts), axis=1), ends, np.empty(here.shape[1]))
+        # all firsts of long sequences are as long as a stretch, so the last step has all of them
+        last = np.empty((k, len(firsts)))
+        last[:, lay.order] = ends[:, lay.first[-2] :]
+        self.through = self._transfers(flat)
+        out = np.empty((k, len(self.more)))
+        for depth, w in self._levels():
+            if depth == 1:
+                out[:, w] = last
+            else:
+                carried = np.einsum("in,ijn->jn", out[:, w - 1], self.through[:, :, w - 1])
+                out[:, w] = carried / carried.sum(0)
+        return out
+
+    def _transfers(self, flat: np.ndarray) -> np.ndarray:
+        """For each stretch of ``more`` the matrix that takes the message before it to its end, up to scale."""
+        k, lay = self.k, Stretches(self.starts[self.more], self.sizes[self.more])
+        here, by = self._taken(flat[lay.at]), np.ascontiguousarray(self.move.T)
+        x = np.empty((k, k, len(self.more)))  # from, to, stretch
+        for t, (n, cols) in enumerate(lay.steps()):
+            for i in range(k):
+                x[i, :, :n] = (by @ x[i, :, :n] if t else self.move[i][:, None]) * here[:, cols]
+            if t % 16 == 15:
+                x[:, :, :n] /= x[:, :, :n].sum((0, 1))
+        out = np.empty_like(x)
+        out[:, :, lay.order] = x / x.sum((0, 1))
+        return out
+
+    def log_likelihoods(self) -> np.ndarray:
+        """The natural log-likelihood of every sequence."""
+        of = np.concatenate([self.sequence[self.lay.order[:n]] for n in self.lay.alive])
+        return np.bincount(of, np.log(self.scales))
+
+    def smooth(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, expected moves, and the states' probabilities at the places ``lay.at``, by column.
+
+        The forward messages are used up.
+        """
+        leave = np.ones((self.k, len(self.starts)))
+        if len(self.more):
+            for depth, w in reversed(self._levels()):
+                found = np.einsum("ijn,jn->in", self.through[:, :, w], leave[:, self.more[w]])
+                leave[:, self.more[w] - 1] = found / (found * self.before[:, w]).sum(0)
+        lay, moves = self.lay, np.zeros((self.k, self.k))
+        leave = leave[:, lay.order]
+        b = leave.copy()
+        right = np.empty_like(b)
+        for t in range(len(lay.alive) - 1, -1, -1):
+            # stretches that end at this step have what leaves them, others what came back
+            n, a = lay.alive[t], lay.first[t]
+            gone, cols = b[:, :n], slice(a, a + n)
+            np.multiply(self.here[:, cols], gone, out=right[:, :n])
+            right[:, :n] /= self.scales[cols]
+            self.forward[:, cols] *= gone
+            if t:
+                before = lay.first[t - 1]
+                moves += self.forward[:, before : before + n] @ right[:, :n].T
+                b[:, :n] = self.move @ right[:, :n]
+        back = np.empty_like(right)
+        back[:, lay.order] = right
+        if len(self.more):
+            moves += self.before @ back[:, self.more].T
+        gamma = self.forward
+        heads = self.depth[lay.order] == 0
+        return gamma[:, : lay.alive[0]][:, heads].sum(1), moves * self.move, gamma
+
+
+def _joined(model: Hmm, sequences: list[np.ndarray], stretch: int) -> tuple[np.ndarray, Recursion]:
+    flat = np.concatenate(sequences)
+    return flat, Recursion(model.start, model.move, model.emit, flat, np.array(list(map(len, sequences))), stretch)
+
+
+def log_likelihoods(model: Hmm, sequences: list[np.ndarray], stretch: int = _STRETCH) -> np.ndarray:
+    """Natural log-likelihood of each sequence by the scaled forward recursion."""
+    return _joined(model, sequences, stretch)[1].log_likelihoods()
+
+
+def expected_counts(model: Hmm, sequences: list[np.ndarray], stretch: int = _STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of start, moves and emissions over the sequences, and their log-likelihood."""
-    flat, starts, alive = _columns(sequences)
-    k = len(model.start)
-    forward = np.empty((len(flat), k))
-    scales = np.empty(len(flat))
-    a = model.start
-    for t, n in enumerate(alive):
-        at = starts[:n] + t
-        a = (a[:n] @ model.move if t else a) * model.emit[flat[at]]
-        s = a.sum(1)
-        a /= s[:, None]
-        forward[at], scales[at] = a, s
-    moves = np.zeros((k, k))
-    beta = np.ones((len(starts), k))
-    gamma = forward.copy()  # last steps: beta is one
-    for t in range(len(alive) - 1, 0, -1):
-        n = alive[t]
-        at = starts[:n] + t
-        right = model.emit[flat[at]] * beta[:n] / scales[at][:, None]
-        left = forward[at - 1]
-        moves += left.T @ right
-        beta[:n] = right @ model.move.T
-        gamma[at - 1] = left * beta[:n]
-    emit = np.stack([np.bincount(flat, gamma[:, i], len(model.emit)) for i in range(k)], axis=1)
-    return gamma[starts].sum(0), moves * model.move, emit, float(np.log(scales).sum())
+    flat, run = _joined(model, sequences, stretch)
+    total = float(np.log(run.scales).sum())
+    start, moves, gamma = run.smooth()
+    return start, moves, np.stack([np.bincount(flat[run.lay.at], g, len(model.emit)) for g in gamma], axis=1), total
 
 
 def updated(model: Hmm, start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray, weight: float = 1.0) -> Hmm:
@@ -108,201 +217,283 @@ def updated(model: Hmm, start: np.ndarray, move: np.ndarray, emit: np.ndarray, u
     return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _batches_of(rows: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    held, n = [], 0
-    for row in rows:
-        held.append(row)
-        n += len(row)
-        if n >= _TOKENS:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(word binary, n)`` over all rows; null texts have no words. Every task counts its words before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            keys = list(held)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([held[w] for w in part], pa.int64())], names=["word", "n"])
-            held.clear()
-
-        for batch in batches:
-            for raw in byte_column(batch, "text"):
-                held.update(space_words(raw or b""))
-                if len(held) > _HELD:
-                    yield from out()
-        yield from out()
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _frequent(counts: DataFrame, most: int, longest: int = 64) -> list[tuple[bytes, int]]:
-    """At most ``most`` of the most frequent words, whole frequency classes (eighths of a power of two) at a time."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    short = counts.where(F.octet_length("word") <= longest)
-    least, total = None, 0
-    for row in sorted(short.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        if total + row["count"] > most:
-            break
-        least, total = row["level"], total + row["count"]
-    if least is None:
-        return []
-    found = short.where(level >= least).toArrow()
-    return sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
+# --- the cluster's side --------------------------------------------------------------------------------------------
+
+
+def count_words(messages: DataFrame, least: int) -> DataFrame:
+    """Owners count their words over all blocks: replies ``(block, owner, places, counts, ids)`` and the listed words.
+
+    ``counts`` (64-bit) and ``ids`` (32-bit, the owner's own numbers) are of the codes at ``places``. A row without a block is a summary:
+    ``n`` tokens and ``distinct`` words of the owner, or a listed word with its ``id``, ``n`` and ``hash``.
+    """
+
+    def run(asked: pa.Table) -> pa.Table:
+        owner, index = asked["owner"][0].as_py(), numbering()
+        wanted = [numbers(index, unpack(m)) for m in asked["words"].to_pylist()]
+        sums = np.zeros(len(index), np.int64)
+        for want, learnt in zip(wanted, asked["learnt"].to_pylist()):
+            sums[want] += np.frombuffer(unsqueeze(learnt), "<u4")  # the words of a message are distinct
+        listed = np.flatnonzero(sums >= least)
+        words = list(index)
+        rows = len(wanted)
+        hashes = [_hash(words[i]) for i in listed]
+        said = {
+            "block": asked["block"].to_pylist() + [None] * (1 + len(listed)),
+            "owner": [owner] * (rows + 1 + len(listed)),
+            "places": asked["places"].to_pylist() + [None] * (1 + len(listed)),
+            "counts": [squeeze(sums[w].astype("<i8").tobytes()) for w in wanted] + [None] * (1 + len(listed)),
+            "ids": [squeeze(w.astype("<u4").tobytes()) for w in wanted] + [None] * (1 + len(listed)),
+            "id": [None] * (rows + 1) + listed.tolist(),
+            "n": [None] * rows + [int(sums.sum())] + sums[listed].tolist(),
+            "distinct": [None] * rows + [int((sums > 0).sum())] + [None] * len(listed),
+            "hash": [None] * (rows + 1) + hashes,
+        }
+        types = dict(block=pa.int32(), owner=pa.int32(), places=pa.binary(), counts=pa.binary(), ids=pa.binary(), id=pa.int32(), n=pa.int64(), distinct=pa.int64(), hash=pa.int64())
+        return pa.table({name: pa.array(values, types[name]) for name, values in said.items()})
+
+    schema = "block int, owner int, places binary, counts binary, ids binary, id int, n long, distinct long, hash long"
+    return messages.groupBy("owner").applyInArrow(run, schema)
+
+
+def _hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+@dataclass
+class Words:
+    """What is known about the words before states are learnt.
+
+    ``keys`` are the listed words' (owner, id) in order and ``symbols`` their symbols; then come the symbol of other words
+    and the end. ``total`` and ``distinct`` count training tokens and types, ends included.
+    """
+
+    keys: np.ndarray
+    symbols: np.ndarray
+    total: int
+    distinct: int
+    ends: int
+    unigram: np.ndarray
+
+    @property
+    def other(self) -> int:
+        return len(self.keys)
+
+    @property
+    def end(self) -> int:
+        return len(self.keys) + 1
+
+
+class Block:
+    """A block's words as the replies describe them, and its texts."""
+
+    def __init__(self, rows: pa.Table, replies: pa.Table, words: Words):
+        said = [r for r in replies.to_pylist() if r["counts"]]
+        # an owner's part of the block: its codes, and its own numbers for them
+        self.parts = [(r["owner"], placed(r["places"]), placed(r["ids"])) for r in said]
+        size = sum(len(at) for _, at, _ in self.parts)
+        self.counts, self.keys = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for r, (owner, at, ids) in zip(said, self.parts):
+            self.counts[at] = np.frombuffer(unsqueeze(r["counts"]), "<i8")
+            self.keys[at] = owner << 32 | ids.astype(np.int64)
+        at = np.searchsorted(words.keys, self.keys)
+        at[at == len(words.keys)] = 0
+        listed = words.keys[at] == self.keys if len(words.keys) else np.zeros(len(at), bool)
+        self.listed = listed
+        # by code, the end of a text behind them
+        self.symbols = np.append(np.where(listed, words.symbols[at] if len(words.keys) else 0, words.other), words.end)
+        self.texts = rows["codes"].to_pylist()
+
+    def groups(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Texts up to ``_TOKENS`` tokens: place of the first, codes with ends, sizes."""
+        first, held, n, end = 0, [], 0, np.array([len(self.symbols) - 1], "<u4")
+        for i, raw in enumerate(self.texts):
+            held += [codes_of(raw), end]
+            n += len(held[-2]) + 1
+            if n >= _TOKENS or i + 1 == len(self.texts):
+                sizes = np.array([len(c) + 1 for c in held[::2]])
+                yield first, np.concatenate(held), sizes
+                first, held, n = i + 1, [], 0
 
 
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, states: int = 4, symbols: int = 8192, hot_words: int = 200_000, rounds: int = 5, seed: int = 7
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, states: int = 4, share: float = 1e-5, rounds: int = 5, seed: int = 7, shrink: float = 4.0,
+    block_words: int = 400_000, block_tokens: int = 4_000_000,
+) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     Learns from rows whose crc fold is not ``held_fold`` (a null id has no fold and is learnt from). A null text counts
     as empty: one token, its end. ``score`` is the log10 likelihood of the whole text, ``base_score`` that of smoothed
-    word counts. Baum-Welch reads every training text whole, as scoring does: a start is counted once a text, and every
-    move inside it. Repeated rows are scored each; an empty table gives an empty result; with no training rows every
-    word is unknown. Other columns are not read.
+    word counts. Baum-Welch reads every training text whole: a start is counted once a text, and every move inside it.
+    A word of ``n`` training tokens keeps ``n / (n + shrink)`` of what its own tokens say about its states. Repeated
+    rows are scored each; an empty table gives an empty result; with no training rows every word is unknown. Other
+    columns are not read. ``block_words`` and ``block_tokens`` bound what a task holds, not what is done.
     """
+    if states < 2:
+        raise ValueError("a model of less than two states has nothing latent")
     held_out = F.coalesce(crc_fold(F.col(id_col)) == held_fold, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("__id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    counts = staged(word_counts(rows.where("not held_out"), "text"), "word-counts")
-    ends = rows.where("not held_out").count()
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = total + ends, distinct + (ends > 0)
-    divisor = total + 0.5 * (distinct + 1)
-    hot = _frequent(counts, hot_words)
-    listed = hot[:symbols]
-    # alphabet: the listed words, then "other", then the end
-    other, end = len(listed), len(listed) + 1
-    listed_n = sum(n for _, n in listed)
-    unigram = np.array([*(n for _, n in listed), max(total - ends - listed_n, 0) + 0.5, ends + 0.5], dtype=np.float64)
-    unigram /= unigram.sum()
-    # among the words behind "other", add-half shares with one for unseen words
-    rest = (total - ends - listed_n) + 0.5 * ((distinct - (ends > 0)) - len(listed) + 1)
-    base = lambda c: math.log10((c + 0.5) / divisor)
-    end_base = base(ends)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(([w for w, _ in hot], np.array([n for _, n in hot], dtype=np.int64)))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ns = sent.value
-        index = {w: i for i, w in enumerate(words)}
-        cost = np.append(np.log10((ns + 0.5) / divisor), 0.0)  # the last entry: words left to the join
-        share = np.append(np.log10((ns + 0.5) / rest), 0.0)
-        share[: len(listed)] = 0.0
-        part, at = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch in slices(whole, 500):
-                syms, n_tokens, known, base_sum, extra, tails = [], [], [], [], [], []
-                for raw in byte_column(batch, "text"):
-                    tokens = space_words(raw or b"")
-                    ids = np.fromiter((index.get(w, -1) for w in tokens), dtype=np.int64, count=len(tokens))
-                    tail = [tokens[i] for i in np.flatnonzero(ids < 0)]
-                    n_tokens.append(len(tokens) + 1)
-                    known.append(len(tokens) - len(tail) + (ends > 0))
-                    base_sum.append(float(cost[ids].sum()) + end_base)
-                    extra.append(float(share[ids].sum()))
-                    tails.append(tail)
-                    out = np.where((ids < 0) | (ids >= other), other, ids)
-                    syms.append(np.append(out, end).astype("<u2").tobytes())
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((part << 40) + at + np.arange(n, dtype=np.int64)), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
-                        pa.array(base_sum, pa.float64()), pa.array(extra, pa.float64()), pa.array(syms, pa.binary()), pa.array(tails, pa.list_(pa.binary())),
-                    ],
-                    names=["rid", "__id", "held_out", "n_tokens", "hot_known", "hot_base", "hot_extra", "syms", "tail"],
-                )
-                at += n
-
-    if symbols > 65_000:
-        raise ValueError("symbols are kept in 16 bits")
-    kind = docs.schema[id_col].dataType.simpleString()
-    coded = staged(
-        rows.mapInArrow(encode, f"rid long, __id {kind}, held_out boolean, n_tokens long, hot_known long, hot_base double, hot_extra double, syms binary, tail array<binary>"), "coded"
-    )
-    model = Hmm.begin(unigram, states, seed)
+    rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), (~held_out).alias("learn"), F.col(text_col).alias("text"))
+    texts = coded(rows, space_words, "words", learn="learn", block_words=block_words, block_tokens=block_tokens)
+    n, ends = texts.rows.where("learn").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    answers = staged(count_words(texts.messages, max(1, math.ceil(share * (n + ends)))), "word-counts")
+    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    # at most 1 / share words, of whom only numbers are fetched; their order does not depend on owners
+    listed = answers.where("id is not null").select("owner", "id", "n", "hash").orderBy(F.desc("n"), "hash").toArrow()
+    keys = listed["owner"].to_numpy().astype(np.int64) << 32 | listed["id"].to_numpy()
+    order, listed_n = np.argsort(keys), listed["n"].to_numpy()
+    unigram = np.array([*listed_n.tolist(), n - listed_n.sum() + 0.5, ends + 0.5], dtype=np.float64)
+    words = Words(keys[order], order, n + ends, distinct + (ends > 0), ends, unigram / unigram.sum())
+    replies = texts.by_block(answers.where("block is not null").select("block", "owner", "places", "counts", "ids"), "word-replies")
+    model = Hmm.begin(words.unigram, states, seed)
+    learn = texts.rows.where("learn").select("block", "codes")
     for _ in range(rounds if ends else 0):
-        model = _baum_welch(coded.where("not held_out").select("syms"), model, unigram)
-    scored = _forward(coded.select("rid", "syms"), model)
-    tail = coded.select("rid", F.explode("tail").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("k"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    met = (
-        tail.join(counts, "word", "left")
-        .groupBy("rid")
-        .agg(
-            F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("tail_known"),
-            F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(divisor))).alias("tail_base"),
-            F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(rest))).alias("tail_extra"),
-        )
-    )
-    light = coded.select("rid", "__id", "held_out", "n_tokens", "hot_known", "hot_base", "hot_extra")
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return light.join(scored, "rid").join(met, "rid", "left").select(
-        F.col("__id").alias(id_col), "held_out", "n_tokens", (F.col("hot_known") + zero("tail_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + zero("tail_base")).alias("base_score"), (F.col("log10") + F.col("hot_extra") + zero("tail_extra")).alias("score"),
-    )
-
-
-def _symbols(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[np.ndarray]:
-    for batch in batches:
-        for raw in batch.column(at).to_pylist():
-            yield np.frombuffer(raw, "<u2").astype(np.int64)
-
-
-def _baum_welch(coded: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm:
-    """One round: expected counts in every task, summed by position in the cluster, a new model on the driver."""
-    spark = coded.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    k, size = len(model.start), len(unigram)
-    block = 4096
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums, seen = sent.value, None, False
-        for group in _batches_of(_symbols(batches, 0)):
-            start, move, emit, _ = expected_counts(now, group)
-            flat = np.concatenate([start, move.reshape(-1), emit.reshape(-1)])
-            sums, seen = flat if sums is None else sums + flat, True
-        if seen:
-            parts = [sums[a : a + block] for a in range(0, len(sums), block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], names=["block", "sums"])
-
-    counts = coded.mapInArrow(count, "block int, sums array<double>")
-    summed = counts.select("block", F.posexplode("sums").alias("at", "v")).groupBy("block", "at").agg(F.sum("v").alias("v")).toArrow()
+        model = baum_welch(learn, replies, model, words)
+    shares = emissions(learn, replies, model, words, shrink)
+    return _scored(texts, replies, shares, model, words).withColumnRenamed("id", id_col)
+
+
+def baum_welch(learn: DataFrame, replies: DataFrame, model: Hmm, words: Words) -> Hmm:
+    """One round: expected counts in every block, summed by position in the cluster, a new model on the driver."""
+    sent = learn.sparkSession.sparkContext.broadcast((model, words))
+    k, size, piece = len(model.start), len(model.emit), 4096
+
+    def count(rows: pa.Table, said: pa.Table) -> pa.Table:
+        now, known = sent.value
+        block = Block(rows, said, known)
+        sums = np.zeros(k + k * k + size * k)
+        for _, flat, sizes in block.groups():
+            symbols = block.symbols[flat]
+            run = Recursion(now.start, now.move, now.emit, symbols, sizes)
+            start, moves, gamma = run.smooth()
+            counts = np.stack([np.bincount(symbols[run.lay.at], g, size) for g in gamma], axis=1)
+            sums += np.concatenate([start, moves.reshape(-1), counts.reshape(-1)])
+        parts = [sums[a : a + piece] for a in range(0, len(sums), piece)] if block.texts else []
+        return pa.table({"piece": pa.array(range(len(parts)), pa.int32()), "sums": pa.array(parts, pa.list_(pa.float64()))})
+
+    counts = met(learn, replies, count, "piece int, sums array<double>")
+    summed = counts.select("piece", F.posexplode("sums").alias("at", "v")).groupBy("piece", "at").agg(F.sum("v").alias("v")).toArrow()
     flat = np.zeros(k + k * k + size * k)
-    flat[summed["block"].to_numpy().astype(np.int64) * block + summed["at"].to_numpy()] = summed["v"].to_numpy()
+    flat[summed["piece"].to_numpy().astype(np.int64) * piece + summed["at"].to_numpy()] = summed["v"].to_numpy()
     sent.destroy()
-    return updated(model, flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(size, k), unigram)
+    return updated(model, flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(size, k), words.unigram)
+
 
+def steps(parts: np.ndarray) -> np.ndarray:
+    """Rows of fractions that sum to one, without the last, in steps that never add up to more than all."""
+    return np.floor(parts[:, :-1] * _STEPS).astype("<u2")
 
-def _forward(coded: DataFrame, model: Hmm) -> DataFrame:
-    """``(rid, log10)``: the exact log10 likelihood of every symbol sequence."""
-    sent = coded.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rids, held, n = sent.value, [], [], 0
+def fractions(found: np.ndarray, k: int) -> np.ndarray:
+    some = found.reshape(-1, k - 1).astype(np.float64) / _STEPS
+    return np.concatenate([some, 1 - some.sum(1, keepdims=True)], axis=1)
 
-        def out():
-            values = log_likelihoods(now, held) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(values)], names=["rid", "log10"])
-            rids.clear(), held.clear()
 
-        for batch in batches:
-            for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rids.append(rid)
-                held.append(np.frombuffer(raw, "<u2").astype(np.int64))
-                n += len(held[-1])
-                if n >= _TOKENS:
-                    yield from out()
-                    n = 0
-        if held:
-            yield from out()
+def emissions(learn: DataFrame, replies: DataFrame, model: Hmm, words: Words, shrink: float) -> DataFrame:
+    """What states say each known word behind the symbol of others, by its owner: staged ``(block, places, parts, sums)``.
 
-    return coded.mapInArrow(run, "rid long, log10 double")
+    For the codes at ``places`` ``parts`` has the states' shares of the word's tokens, in steps.
+    A row without a block has an owner's ``sums`` of tokens by state.
+    """
+    sent = learn.sparkSession.sparkContext.broadcast((model, words))
+    k = len(model.start)
+    prior = _prior(model, words)
+
+    def count(rows: pa.Table, said: pa.Table) -> pa.Table:
+        now, known = sent.value
+        block = Block(rows, said, known)
+        sums = np.zeros((len(block.symbols), k))
+        for _, flat, sizes in block.groups():
+            run = Recursion(now.start, now.move, now.emit, block.symbols[flat], sizes)
+            _, _, gamma = run.smooth()
+            sums += np.stack([np.bincount(flat[run.lay.at], g, len(sums)) for g in gamma], axis=1)
+        sums, n = sums[:-1], np.rint(sums[:-1].sum(1)).astype(np.int64)
+        wanted = ~block.listed & (block.counts > 0)
+        out: dict[str, list] = {name: [] for name in ("owner", "block", "places", "ids", "n", "parts")}
+        for owner, at, ids in block.parts:
+            mine = wanted[at]
+            here = at[mine]
+            if len(here):
+                parts = np.where(n[here, None] > 0, sums[here] / np.maximum(n[here, None], 1), 0)
+                for name, value in zip(out, (owner, said["block"][0].as_py(), places(here), places(ids[mine]), places(n[here]), squeeze(steps(parts).tobytes()))):
+                    out[name].append(value)
+        types = [pa.int32()] * 2 + [pa.binary()] * 4
+        return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), types)})
+
+    def owned(told: pa.Table) -> pa.Table:
+        told_rows = told.to_pylist()
+        ids = [placed(r["ids"]) for r in told_rows]
+        top = max(int(i.max()) for i in ids) + 1
+        n, sums = np.zeros(top, np.int64), np.zeros((top, k))
+        for i, r in zip(ids, told_rows):
+            m = placed(r["n"])
+            n[i] += m
+            sums[i] += m[:, None] * fractions(np.frombuffer(unsqueeze(r["parts"]), "<u2"), k)
+        drawn = (sums + shrink * prior) / (n[:, None] + shrink)
+        kept = steps(drawn)
+        totals = (n[:, None] * fractions(kept, k)).sum(0)
+        said = {
+            "block": [r["block"] for r in told_rows] + [None], "places": [r["places"] for r in told_rows] + [None],
+            "parts": [squeeze(kept[i].tobytes()) for i in ids] + [None], "sums": [None] * len(ids) + [totals.tolist()],
+        }
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+        return pa.table({name: pa.array(values, t) for (name, values), t in zip(said.items(), types)})
+
+    # blocks without a training text ask for the emissions of their words as well
+    told = met(learn, replies, count, "owner int, block int, places binary, ids binary, n binary, parts binary")
+    return staged(told.groupBy("owner").applyInArrow(owned, "block int, places binary, parts binary, sums array<double>"), "emissions")
+
+
+def _prior(model: Hmm, words: Words) -> np.ndarray:
+    """The states' shares of the tokens behind the symbol of others, by the stationary shares of the moves."""
+    mix = np.full(len(model.start), 1 / len(model.start))
+    for _ in range(200):
+        mix = mix @ model.move
+    found = mix * model.emit[words.other]
+    return found / found.sum()
+
+
+def _scored(texts: Coded, replies: DataFrame, shares: DataFrame, model: Hmm, words: Words) -> DataFrame:
+    """Every text's base score and exact log10 likelihood, in its block."""
+    k = len(model.start)
+    sums = shares.where("block is null").select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    by_state = np.zeros(k)
+    for row in sums:
+        by_state[row["at"]] = row["v"]
+    listed_types = len(words.keys)
+    types = words.distinct - (words.ends > 0) - listed_types
+    prior = by_state + (1e-6 * by_state.sum() or _prior(model, words))
+    prior /= prior.sum()
+    rest = by_state + 0.5 * (types + 1) * prior
+    divisor = words.total + 0.5 * (words.distinct + 1)
+    base_of: Callable = lambda c: np.log10((c + 0.5) / divisor)
+    sent = texts.rows.sparkSession.sparkContext.broadcast((model, words))
+
+    def score(rows: pa.Table, said: pa.Table) -> pa.Table:
+        now, known = sent.value
+        block = Block(rows, said, known)
+        emit = now.emit[block.symbols]
+        tail = np.flatnonzero(~block.listed)
+        behind = np.zeros((len(block.counts), k))
+        for row in said.to_pylist():
+            if row["parts"]:
+                at = placed(row["places"])
+                behind[at] = block.counts[at, None] * fractions(np.frombuffer(unsqueeze(row["parts"]), "<u2"), k)
+        emit[tail] *= (behind[tail] + 0.5 * prior) / rest
+        base = np.append(base_of(block.counts), base_of(known.ends))
+        is_known = np.append(block.counts > 0, known.ends > 0)
+        scores, bases, knowns = [], [], []
+        for _, flat, sizes in block.groups():
+            heads = np.cumsum(sizes) - sizes
+            scores.append(Recursion(now.start, now.move, emit, flat, sizes).log_likelihoods() / math.log(10))
+            bases.append(np.add.reduceat(base[flat], heads))
+            knowns.append(np.add.reduceat(is_known[flat].astype(np.int64), heads))
+        joined = lambda parts, t: pa.array(np.concatenate(parts), t) if parts else pa.array([], t)
+        return pa.table({
+            "id": rows["id"], "held_out": rows["held_out"], "n_tokens": pc.add(rows["size"], 1), "n_known": joined(knowns, pa.int64()),
+            "train_tokens": pa.array([known.total] * rows.num_rows, pa.int64()), "base_score": joined(bases, pa.float64()), "score": joined(scores, pa.float64()),
+        })
+
+    told = texts.by_block(shares.where("block is not null").select("block", "places", "parts"), "emission-replies")
+    both = replies.unionByName(told, allowMissingColumns=True)
+    kind = texts.rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return met(texts.rows.select("block", "id", "held_out", "codes", "size"), both, score, schema)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from newsloom.llm import hmm_lm, quality_rules
+from newsloom.llm import blocks, common, hmm_lm, quality_rules
 from newsloom.llm.queries import op4_quality, op5_hmm
 
 SF = "/root/testdata/sf0.01"
@@ -108,13 +108,13 @@ def brute_lm(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [5, 200_000])
-def test_lm_counts_and_base_equal_brute_force(spark, sf, hot):
+@pytest.mark.parametrize("words, share", [(40, 1e-3), (400_000, 1e-5), (400_000, 1.0)])
+def test_lm_counts_and_base_equal_brute_force(spark, sf, words, share):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(1001, None), (1002, ""), (1003, "zzz zzz qqq"), (1003, "zzz zzz qqq"), (None, "THE the \x0b of"), (1004, "unseen-word " * 3000)], "doc_id long, text string")
     both = docs.union(odd)
     rows = [(r.doc_id, r.text) for r in both.collect()]
-    got = hmm_lm.lm_scores(both.selectExpr("*", "1 as score", "2 as word"), hot_words=hot, symbols=50, rounds=2).collect()
+    got = hmm_lm.lm_scores(both.selectExpr("*", "1 as score", "2 as word"), block_words=words, share=share, rounds=2).collect()
     assert sorted([(*tuple(r)[:5], round(r.base_score, 6)) for r in got], key=str) == brute_lm(rows)
     assert all(r.score < 0 for r in got)
 
@@ -131,18 +131,83 @@ def test_lm_beats_counts_and_is_a_distribution(spark):
     assert 0.3 < total < 1
 
 
-def test_training_counts_starts_and_moves_of_whole_texts(spark):
-    unigram = np.array([0.5, 0.3, 0.2])
-    model = hmm_lm.Hmm.begin(unigram, 2, 3)
+def toy_corpus(spark, parts=3):
     rng = np.random.default_rng(4)
-    seqs = [rng.integers(0, 3, n) for n in (1700, 513, 4)]
-    rows = spark.createDataFrame([(bytearray(s.astype("<u2").tobytes()),) for s in seqs], "syms binary").repartition(2)
-    got = hmm_lm._baum_welch(rows, model, unigram)
-    start, move, emit, _ = hmm_lm.expected_counts(model, seqs)
-    want = hmm_lm.updated(model, start, move, emit, unigram)
-    assert math.isclose(start.sum(), 3) and math.isclose(move.sum(), sum(len(s) - 1 for s in seqs))
+    words = ["a", "b", "c", "rare", "x" * 100, "é"]
+    texts = [" ".join(rng.choice(words, n, p=[0.4, 0.3, 0.2, 0.05, 0.03, 0.02])) for n in (1700, 513, 4, 0, 90, 700)]
+    rows = [(i, False, True, t) for i, t in enumerate(texts)] + [(99, True, False, "a unseen b")]
+    return rows, spark.createDataFrame(rows, "id long, held_out boolean, learn boolean, text string").repartition(parts)
+
+
+def learnt(spark, share):
+    """The exchange's view of the corpus, and the same by hand: symbols of every word."""
+    rows, docs = toy_corpus(spark)
+    texts = blocks.coded(docs, common.space_words, "words", learn="learn", block_words=4)
+    train = [t.split() for _, _, learn, t in rows if learn]
+    counts = Counter(w for t in train for w in t)
+    n, ends = sum(counts.values()), len(train)
+    answers = hmm_lm.count_words(texts.messages, max(1, math.ceil(share * (n + ends)))).cache()
+    assert answers.agg({"n": "sum"}).where("1 = 1").first()[0] >= n
+    listed = answers.where("id is not null").orderBy("owner", "id").collect()
+    assert sorted(r.n for r in listed) == sorted(c for c in counts.values() if c >= share * (n + ends))
+    keys = np.array([r.owner << 32 | r.id for r in listed], np.int64)
+    unigram = np.array([*(r.n for r in listed), n - sum(r.n for r in listed) + 0.5, ends + 0.5])
+    words = hmm_lm.Words(keys, np.arange(len(keys)), n + ends, len(counts) + 1, ends, unigram / unigram.sum())
+    by_n = {r.n: i for i, r in enumerate(listed)}
+    assert len(by_n) == len(listed)
+    symbol = {w: by_n.get(c, words.other) for w, c in counts.items()}
+    return rows, texts, texts.by_block(answers.where("block is not null").select("block", "owner", "places", "counts", "ids"), "replies"), words, counts, symbol
+
+
+@pytest.mark.parametrize("share", [0.1, 1e-3])
+def test_training_counts_starts_and_moves_of_whole_texts(spark, share):
+    rows, texts, replies, words, counts, symbol = learnt(spark, share)
+    model = hmm_lm.Hmm.begin(words.unigram, 2, 3)
+    got = hmm_lm.baum_welch(texts.rows.where("learn").select("block", "codes"), replies, model, words)
+    seqs = [np.array([*(symbol[w] for w in t.split()), words.end]) for _, _, learn, t in rows if learn]
+    start, move, emit, _ = hmm_lm.expected_counts(model, seqs, stretch=10_000)
+    want = hmm_lm.updated(model, start, move, emit, words.unigram)
+    assert math.isclose(start.sum(), len(seqs)) and math.isclose(move.sum(), sum(len(s) - 1 for s in seqs))
     assert all(np.allclose(getattr(got, f), getattr(want, f)) for f in ("start", "move", "emit"))
 
 
+def test_rare_words_have_their_own_emissions(spark):
+    rows, texts, replies, words, counts, symbol = learnt(spark, 0.1)
+    model = hmm_lm.Hmm.begin(words.unigram, 2, 3)
+    shares = hmm_lm.emissions(texts.rows.where("learn").select("block", "codes"), replies, model, words, shrink=4.0)
+    got = {r.id: r for r in hmm_lm._scored(texts, replies, shares, model, words).collect()}
+    # by hand: expected counts of each rare word, drawn towards the states' shares
+    train = [t.split() for _, _, learn, t in rows if learn]
+    expected = {w: np.zeros(2) for w, s in symbol.items() if s == words.other}
+    for t in train:
+        seq = np.array([*(symbol[w] for w in t), words.end])
+        run = hmm_lm.Recursion(model.start, model.move, model.emit, seq, np.array([len(seq)]), stretch=100)
+        gamma = run.smooth()[2].T[np.argsort(run.lay.at)]
+        for w, g in zip(t, gamma):
+            if w in expected:
+                expected[w] += g
+    prior = hmm_lm._prior(model, words)
+    drawn = {w: counts[w] * (g + 4 * prior) / (counts[w] + 4) for w, g in expected.items()}
+    by_state = sum(drawn.values())
+    mix = by_state / by_state.sum()
+    rest = by_state + 0.5 * (len(drawn) + 1) * mix
+    assert np.allclose(sum((d + 0.5 * mix) / rest for d in drawn.values()) + 0.5 * mix / rest, 1)
+    assert 3 == len(drawn) and not np.allclose(*[drawn[w] / drawn[w].sum() for w in list(drawn)[:2]], atol=1e-4)
+    for i, _, _, t in rows:
+        flat = [model.emit[symbol[w]] if symbol.get(w, words.other) != words.other else model.emit[words.other] * (drawn.get(w, 0) + 0.5 * mix) / rest for w in t.split()]
+        run = hmm_lm.Recursion(model.start, model.move, np.array([*flat, model.emit[words.end]]), np.arange(len(flat) + 1), np.array([len(flat) + 1]))
+        assert math.isclose(got[i].score, run.log_likelihoods()[0] / math.log(10), rel_tol=1e-3), i
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1000])
+def test_cuts_change_nothing(stretch):
+    rng = np.random.default_rng(2)
+    model = hmm_lm.Hmm.begin(np.full(9, 1 / 9), 4, 1)
+    seqs = [rng.integers(0, 9, n) for n in (1, 2, 60, 7, 3, 21, 1, 40)]
+    want, got = hmm_lm.expected_counts(model, seqs, 1000), hmm_lm.expected_counts(model, seqs, stretch)
+    assert all(np.allclose(a, b) for a, b in zip(want, got))
+    assert np.allclose(hmm_lm.log_likelihoods(model, seqs, stretch), [naive_forward(model, s) for s in seqs])
+
+
 def test_lm_empty_table(spark):
     assert hmm_lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
