@@ -11,25 +11,26 @@ from newsloom.operators.relational import keep_first
 from newsloom.operators.vocabulary import term_counts, term_totals, tfidf_smooth
 
 
-def similar_pairs(weights: DataFrame, days: DataFrame, doc: str, threshold: float = 0.95) -> DataFrame:
+def similar_pairs(weights: DataFrame, days: DataFrame, doc: str, threshold: float = 0.95, tail: float = 0.5) -> DataFrame:
     """``(day, a, b, similarity)`` with a before b, for documents of one day with cosine above the threshold.
 
-    Rows of ``weights`` have length one, so two vectors above the threshold share a term of both prefixes: those terms, in
-    one global order from rare to frequent, before the rest of the vector is shorter than the threshold. Only prefixes
-    are joined; what the common words of a day would pair up is never made.
+    Rows of ``weights`` have length one. In one global order from rare to frequent terms, the prefix of a vector ends where
+    the rest is at most ``tail`` long. What two vectors share outside both prefixes is then at most ``tail``, so what
+    they share in them exceeds the threshold less it. Numbers alone are joined to find such pairs, few are left of them,
+    and only these are multiplied out.
     """
     df = weights.groupBy("term").agg(F.count("*").alias("df"))
     order = W.partitionBy(doc).orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    # length of the vector from this term on, towards the frequent ones
+    # square of the length of the vector from this term on, towards the frequent ones
     ranked = weights.join(df, "term").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(order))
-    prefix = ranked.where(F.col("rest") > threshold * threshold - 1e-9).select(doc, "term").join(days, doc)
-    left = prefix.select("day", "term", F.col(doc).alias("a"), F.col("pos").alias("pos_a"))
-    right = prefix.select("day", "term", F.col(doc).alias("b"), F.col("pos").alias("pos_b"))
-    met = left.join(right, ["day", "term"]).where("pos_a < pos_b").select("day", "a", "b").distinct()
-    vectors = weights.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
-    both = met.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
-    return both.withColumn("similarity", dot).where(F.col("similarity") > threshold).select("day", "a", "b", "similarity")
+    prefix = cut_lineage(ranked.where(F.col("rest") > tail * tail).select(doc, "term", "weight").join(days, doc))
+    left = prefix.select("day", "term", F.col(doc).alias("a"), F.col("pos").alias("pos_a"), F.col("weight").alias("wa"))
+    right = prefix.select("day", "term", F.col(doc).alias("b"), F.col("pos").alias("pos_b"), F.col("weight").alias("wb"))
+    shared = left.join(right, ["day", "term"]).where("pos_a < pos_b").groupBy("day", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"))
+    met = shared.where(F.col("part") > threshold - tail - 1e-9).select("day", "a", "b")
+    rows = met.join(weights.select(F.col(doc).alias("a"), "term", F.col("weight").alias("wa")), "a")
+    both = rows.join(weights.select(F.col(doc).alias("b"), "term", F.col("weight").alias("wb")), ["b", "term"])
+    return both.groupBy("day", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def greedy_removed(pairs: DataFrame) -> DataFrame:
