@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,6 +65,24 @@ def encoder_name(ts: Column, default: str = "all-MiniLM-L6-v2") -> Column:
     return F.coalesce(F.try_element_at(table, F.year(ts)), F.lit(default))
 
 
+def parsed_time(c: Column, formats: Sequence[str] = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")) -> Column:
+    """A timestamp from text in the first format that fits; null if none does."""
+    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
+
+
+def merged(older: Column, newer: Column) -> Column:
+    """Entries of two maps; where a key is in both, the newer one's."""
+    return F.map_concat(F.map_filter(older, lambda k, _: ~F.array_contains(F.map_keys(newer), k)), newer)
+
+
+def merged_settings(older: Mapping, newer: Mapping) -> dict:
+    """Two nested tables of settings as one; where both have a value, the newer one's."""
+    both = dict(older)
+    for key, value in newer.items():
+        both[key] = merged_settings(both[key], value) if isinstance(value, Mapping) and isinstance(both.get(key), Mapping) else value
+    return both
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; null if one has no length."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is named and all runs on this machine."""
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    conf = context.getConf()
+    if not conf.contains("spark.checkpoint.dir") and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(conf.get("spark.checkpoint.dir") if conf.contains("spark.checkpoint.dir") else tempfile.mkdtemp(prefix="newsloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names; a temporary folder only where it names none.
+    """A reliable checkpoint in the shared folder: what is read twice afterwards is the same rows in the same partitions.
 
-    What is read twice afterwards is the same rows in the same partitions.
+    Its files go when the session no longer holds them, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        conf = context.getConf()
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir") if conf.contains("spark.checkpoint.dir") else tempfile.mkdtemp(prefix="newsloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

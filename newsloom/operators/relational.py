@@ -60,6 +60,11 @@ def missing_days(df: DataFrame, day: str) -> DataFrame:
     return calendar(df, day).join(seen, "date", "left_anti")
 
 
+def look_ahead(periods: DataFrame, begins: Column, last_used: str) -> DataFrame:
+    """``periods`` with ``clean``: whether the last date that a period's values were made from lies before it begins."""
+    return periods.withColumn("clean", F.col(last_used) < begins)
+
+
 def crosstab(df: DataFrame, row: str, col: str, values: list[str], total: str = "Total") -> DataFrame:
     """Counts of two keys with margins; rows with a null key are left out, totals told from values by the grouping id."""
     cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).cube(row, col).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))

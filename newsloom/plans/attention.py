@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.operators import relational as R
 from newsloom.operators import series as S
+from newsloom.plans.registry import MONTHLY as PRICE_MONTHS
 from newsloom.plans.registry import NEWS, plan, theta_sql
 from newsloom.sources import bindings as B
-from newsloom.sources.readers import columns_like, table
+from newsloom.sources.readers import columns_like, table, union_all
 
 K = 5
 TOPICS = [f"topic_{i:03d}" for i in range(K)]
@@ -27,10 +29,11 @@ MONTHLY = f"""(select d.date, {", ".join(f"coalesce({t}, 0) as {t}" for t in TOP
 LONG = f"(unpivot {MONTHLY} on {', '.join(TOPICS)} into name topic value attention)"
 
 
-def weights(spark, folder, k=K):
-    """Topic weights with their documents' date and length: an inner join on the id, then the lengths."""
-    news = B.news(spark, folder).select("doc_id", F.col("published_at").alias("date"), F.length("content").alias("doc_length"))
-    return B.theta(spark, folder, k).join(news, "doc_id")
+def weights(spark, folder, k=K, first=0):
+    """Topic weights with their documents' date (an inner join on the id) and length (a left join: null where unknown)."""
+    dates = B.news(spark, folder).select("doc_id", F.col("published_at").alias("date"))
+    lengths = table(spark, folder, "documents").where("text is not null").select("doc_id", F.length("text").alias("doc_length"))
+    return B.theta(spark, folder, k, first).join(dates, "doc_id").join(lengths, "doc_id", "left")
 
 
 def monthly(spark, folder):
@@ -84,11 +87,46 @@ def attention_spikes(spark, folder):
     return _rounded(S.spikes(monthly_long(spark, folder), least=1.5), ["attention", "z_score"])
 
 
-@plan(f"""select a.date, round(topic_000, 6) as topic_000, round(r.ret, 8) as ret from {MONTHLY} a join
-    (select last_day(cast(ts as date) - interval 1 month) as date, avg(value) as ret from events group by 1) r on a.date = r.date""")
+_SHIFT = 28 * 12  # the given prices end in 2001 and the news begins in 2023: price months are read 28 years on
+
+
+@plan(f"""select a.date, round(topic_000, 6) as topic_000, round(r.log_return, 8) as log_return from {MONTHLY} a join
+    (select last_day(month_end + interval {_SHIFT} month) as date, ln(price / lag(price) over (order by month_end)) as log_return from {PRICE_MONTHS}) r on a.date = r.date where log_return is not null""")
 def panel_join(spark, folder):
-    market = table(spark, folder, "events").groupBy(F.last_day(F.add_months(F.to_date("ts"), -1)).alias("date")).agg(F.avg("value").alias("ret"))
-    return S.panel(monthly(spark, folder), market).select("date", F.round("topic_000", 6).alias("topic_000"), F.round("ret", 8).alias("ret"))
+    """Topic series with the market's return of the month."""
+    w = W.orderBy("date")  # a row a month
+    prices = B.monthly_prices(spark, folder).select(F.last_day(F.add_months("month_end", _SHIFT)).alias("date"), "price")
+    market = prices.select("date", F.ln(F.col("price") / F.lag("price").over(w)).alias("log_return")).where("log_return is not null")
+    return S.panel(monthly(spark, folder), market).select("date", F.round("topic_000", 6).alias("topic_000"), F.round("log_return", 8).alias("log_return"))
+
+
+def _grid_sql() -> str:
+    cells = []
+    for model, first in _MODELS.items():
+        source = f"(select t.*, n.published_at as date, length(n.content) as doc_length from {theta_sql(K, first)} t join {NEWS} n on t.doc_id = n.doc_id)"
+        for freq, label in (("D", "cast(date as date)"), ("M", "last_day(date)")):
+            for weighting in ("mean", "length_weighted"):
+                means = ", ".join(f"coalesce({t}, 0) as {t}" for t in TOPICS)
+                cells.append(f"""select '{model}' as model, '{freq}' as freq, '{weighting}' as weighting, d.date, {means}, coalesce(n_documents, 0) as n_documents from (select distinct {label} as date from {_DAYS}) d
+                    left join (select {label} as date, {_means(weighting != "mean")}, count(*) as n_documents from {source} group by 1) g on d.date = g.date""")
+    return "(" + " union all ".join(cells) + ")"
+
+
+#: Two topic models' weights: of all documents at once, and of documents in their order.
+_MODELS = {"batch": 0, "online": K}
+
+
+@plan(f"select model, freq, weighting, date, {', '.join(f'round({t}, 6) as {t}' for t in TOPICS)}, n_documents from {_grid_sql()}")
+def attention_grid(spark, folder):
+    """All eight series: by day and month, plain and weighted by length, of either model."""
+    cells = []
+    for model, first in _MODELS.items():
+        rows = weights(spark, folder, first=first)
+        for freq in "DM":
+            for weighting in ("mean", "length_weighted"):
+                series = S.attention(rows, TOPICS, freq, None if weighting == "mean" else "doc_length")
+                cells.append(series.select(F.lit(model).alias("model"), F.lit(freq).alias("freq"), F.lit(weighting).alias("weighting"), "date", *TOPICS, "n_documents"))
+    return _rounded(union_all(cells), TOPICS)
 
 
 @plan(f"select topic, round(var_samp(attention), 8) as variance from {LONG} group by topic order by var_samp(attention) desc, topic limit 5")

@@ -45,7 +45,13 @@ def date_parts(spark, folder):
     )
 
 
-@plan()
+# the second Sunday of March and the first of November, at two o'clock of the exchange's winter and summer time
+_SUNDAY = "m + to_days(cast((7 - isodow(m)) % 7 as integer))"
+_SUMMER = f"""published_at >= (select {_SUNDAY} + interval 7 day + interval 7 hour from (select make_timestamp(year(published_at), 3, 1, 0, 0, 0) as m))
+    and published_at < (select {_SUNDAY} + interval 6 hour from (select make_timestamp(year(published_at), 11, 1, 0, 0, 0) as m))"""
+
+
+@plan(f"select doc_id, cast(published_at - (case when {_SUMMER} then interval 4 hour else interval 5 hour end) as date) as exchange_date from {NEWS}")
 def exchange_dates(spark, folder):
     """Dates at the exchange, with daylight saving."""
     return B.news(spark, folder).select("doc_id", V.exchange_date(F.col("published_at").cast("timestamp")).alias("exchange_date"))
@@ -75,11 +81,21 @@ def near_zero_variance(spark, folder):
     return monthly_long(spark, folder).groupBy("topic").agg((F.var_samp("attention") < 1e-8).alias("dropped"))
 
 
-@plan(f"select last_day(date) as month_end, count(*) as n, max(cast(date as date)) <= last_day(date) as clean from {WEIGHTS} group by all".replace("group by all", "group by 1, last_day(date)"))
+@plan(f"""with y as (select doc_id, cast(year(published_at) as integer) as year, published_at from {NEWS}), first as (select min(year) as year from y)
+    select a.year as period, count(*) as n_used, max(cast(b.published_at as date)) as last_used, max(cast(b.published_at as date)) < make_date(a.year, 1, 1) as clean
+    from (select distinct year from y) a join y b on b.year < a.year or (b.year = a.year and a.year = (select year from first)) group by a.year""")
 def look_ahead_audit(spark, folder):
-    """Months whose series use no document dated after their end."""
-    w = weights(spark, folder).select(F.to_date("date").alias("d"))
-    return w.groupBy(F.last_day("d").alias("month_end")).agg(F.count("*").alias("n"), (F.max("d") <= F.last_day(F.max("d"))).alias("clean"))
+    """What the weights of each year's documents are made from (see ``tfidf_past_years``), and whether all of it is older.
+
+    The first year has nothing older and uses itself: the audit finds that, as it must.
+    """
+    dated = B.news(spark, folder).select(F.year("published_at").alias("year"), F.to_date("published_at").alias("used"))
+    years = dated.groupBy("year").agg(F.count("*").alias("n"), F.max("used").alias("last"))  # a row a year
+    first = years.agg(F.min("year").alias("first"))
+    later = years.select(F.col("year").alias("period")).crossJoin(F.broadcast(first))  # one row beside each
+    uses = later.join(years, (F.col("year") < F.col("period")) | ((F.col("year") == F.col("period")) & (F.col("period") == F.col("first"))))
+    totals = uses.groupBy("period").agg(F.sum("n").alias("n_used"), F.max("last").alias("last_used"))
+    return R.look_ahead(totals, F.make_date("period", F.lit(1), F.lit(1)), "last_used")
 
 
 @plan(f"select symbol_query as symbol, last_day(published_at) as month_end, {', '.join(f'round(avg(t.{t}), 6) as {t}' for t in TOPICS)}, count(*) as n from {NEWS} n join (select * from {WEIGHTS}) t on t.doc_id = n.doc_id group by 1, 2")
@@ -131,7 +147,25 @@ def set_difference(spark, folder):
     return o.select("symbol", "month_end").subtract(o.where("o_orderstatus = 'F'").select("symbol", "month_end"))
 
 
-@plan()
+@plan(f"select date, topic as variable, round(attention, 6) as value from {LONG}")
 def melted_series(spark, folder):
     """The wide series as rows, smoothed columns left out."""
-    return R.melt(monthly(spark, folder).select("date", *TOPICS), ["date"], TOPICS)
+    return R.melt(monthly(spark, folder).select("date", *TOPICS), ["date"], TOPICS).withColumn("value", F.round("value", 6))
+
+
+@plan(f"select doc_id, strptime(strftime(published_at, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') as published_at, cast(published_at as date) as day from {NEWS}")
+def parsed_dates(spark, folder):
+    """Dates as vendors write them, of two kinds, read back."""
+    at = F.col("published_at")
+    said = F.when(F.col("doc_id") % 2 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+    day = V.parsed_time(F.date_format(at, "yyyy-MM-dd")).cast("date")
+    return B.news(spark, folder).select("doc_id", V.parsed_time(said).cast("timestamp_ntz").alias("published_at"), day.alias("day"))
+
+
+@plan("select event_id, coalesce(json_extract_string(props, '$.k'), '0') as k, 'vendor' as source from events")
+def merged_fields(spark, folder):
+    """Defaults, overridden by what a record says."""
+    said = F.from_json("props", "map<string,string>")
+    fields = V.merged(F.create_map(F.lit("k"), F.lit("0"), F.lit("source"), F.lit("vendor")), F.coalesce(said, F.create_map().cast("map<string,string>")))
+    rows = table(spark, folder, "events").select("event_id", fields.alias("f"))
+    return rows.select("event_id", F.try_element_at("f", F.lit("k")).alias("k"), F.try_element_at("f", F.lit("source")).alias("source"))

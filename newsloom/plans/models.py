@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators import forecast as P
 from newsloom.operators import models as M
+from newsloom.operators import readout as O
 from newsloom.operators import relational as R
 from newsloom.operators import series as S
 from newsloom.operators import vocabulary as T
+from newsloom.operators.lineage import cut_lineage, shared_folder
+from newsloom.plans.attention import _SHIFT as PRICE_SHIFT
 from newsloom.plans.attention import weights
 from newsloom.plans.corpus import cleaned, counted
 from newsloom.plans.market import BENCH, predictions
@@ -24,17 +25,16 @@ from newsloom.streaming import events as ES
 VOCABULARY, TOPIC_COUNT = 20_000, 50
 
 
-def shared(spark) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir") if conf.contains("spark.checkpoint.dir") else tempfile.mkdtemp(prefix="newsloom-")
-
-
 def bags(spark, folder):
     """Sparse counts of the processed documents over the most frequent terms."""
+    return read_bags(spark, folder)[0]
+
+
+def read_bags(spark, folder):
+    """The bags, from a checkpoint, with the vocabulary, the counts and the number of documents behind them."""
     counts, totals, n = counted(spark, folder)
     vocab = T.vocabulary(totals, n, size=VOCABULARY)
-    return M.sparse_rows(T.document_term_matrix(counts, vocab, "doc_id"), "doc_id", VOCABULARY).cache()
+    return cut_lineage(M.sparse_rows(T.document_term_matrix(counts, vocab, "doc_id"), "doc_id", VOCABULARY)), vocab, counts, n
 
 
 def vectors(spark, folder):
@@ -47,9 +47,25 @@ def lda_topics(spark, folder):
     return M.theta_of(M.fit_lda(features, TOPIC_COUNT, VOCABULARY), features, "doc_id")
 
 
+@plan()
+def lda_readout(spark, folder):
+    """The fitted topics: name, ten top words, coherence, and the fit's log-likelihood a document and perplexity."""
+    features, vocab, counts, n = read_bags(spark, folder)
+    model = M.fit_lda(features, TOPIC_COUNT, VOCABULARY)
+    phi = cut_lineage(O.probabilities(O.phi_of(model, vocab)))
+    top = O.top_words(phi, 10)
+    listed = top.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("words"))
+    quality = M.lda_quality(model, features)
+    rows = O.names(top).join(listed, "topic").join(O.coherence(counts, phi, "doc_id", n), "topic", "left")
+    return rows.select("topic", "label", "words", "coherence", *(F.lit(v).alias(k) for k, v in quality.items()))
+
+
 @plan()
 def lda_cross_validation(spark, folder):
-    return M.lda_cross_validation(bags(spark, folder), "doc_id", [TOPIC_COUNT], VOCABULARY)
+    """Mean held-out log-likelihood by number of topics (the configured grid has one), and which is best."""
+    scores = M.lda_cross_validation(bags(spark, folder), "doc_id", [TOPIC_COUNT], VOCABULARY)
+    chosen = O.best(scores).select(F.col("k").alias("best_k"))
+    return scores.crossJoin(F.broadcast(chosen))  # one row
 
 
 @plan()
@@ -129,8 +145,7 @@ def lasso_backtest(spark, folder):
 def return_panel(spark, folder):
     """Monthly attention of the five topics of largest variance with the monthly log return, and the topics' names.
 
-    They are chosen among ten: five topics in all would have weights that sum to one, and no regression. Prices end in
-    2001 and the news begins in 2023, so price months are read 28 years on.
+    They are chosen among ten: five topics in all would have weights that sum to one, and no regression.
     """
     from pyspark.sql import Window as W
 
@@ -138,7 +153,7 @@ def return_panel(spark, folder):
     series = S.attention(weights(spark, folder, len(names)), names, "M", "doc_length")
     chosen = sorted(r.topic for r in S.top_variance(R.melt(series.select("date", *names), ["date"], names, "topic", "attention"), 5).collect())
     w = W.orderBy("date")  # a row a month
-    m = B.monthly_prices(spark, folder).select(F.last_day(F.add_months("month_end", 28 * 12)).alias("date"), "price")
+    m = B.monthly_prices(spark, folder).select(F.last_day(F.add_months("month_end", PRICE_SHIFT)).alias("date"), "price")
     market = m.select("date", F.ln(F.col("price") / F.lag("price").over(w)).alias("log_return"))
     return S.panel(series.select("date", *chosen), market), chosen
 
@@ -165,12 +180,12 @@ def diebold_mariano(spark, folder):
 def stream_daily_counts(spark, folder):
     """The stream's result over all files is the batch result."""
     counts = ES.daily_counts(ES.event_stream(spark, folder))
-    return ES.drain(counts, shared(spark), "complete").select("day", "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    return ES.drain(counts, shared_folder(spark), "complete").select("day", "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
 @plan("""select user_id, event_id, round(case when rn <= 20 then 1.0 else 1 - len(list_filter(past, lambda t: t = event_type)) / 20.0 end, 6) as novelty from
     (select user_id, event_id, event_type, row_number() over w as rn, list(event_type) over (partition by user_id order by ts, event_id rows between 20 preceding and 1 preceding) as past
     from events window w as (partition by user_id order by ts, event_id))""")
 def stream_novelty(spark, folder):
-    rows = ES.drain(ES.novelty(ES.event_stream(spark, folder)), shared(spark))
+    rows = ES.drain(ES.novelty(ES.event_stream(spark, folder)), shared_folder(spark))
     return rows.withColumn("novelty", F.round("novelty", 6))

@@ -48,9 +48,9 @@ def clean_sql(column: str) -> str:
     return f"trim({t})"
 
 
-def theta_sql(k: int) -> str:
+def theta_sql(k: int, first: int = 0) -> str:
     names = ", ".join(f"exp(e{i} - m) / s as topic_{i:03d}" for i in range(k))
-    dims = ", ".join(f"cast(embedding[{i + 1}] as double) as e{i}" for i in range(k))
+    dims = ", ".join(f"cast(embedding[{first + i + 1}] as double) as e{i}" for i in range(k))
     total = " + ".join(f"exp(e{i} - m)" for i in range(k))
     top = ", ".join(f"e{i}" for i in range(k))
     return f"(select doc_id, {names} from (select *, {total} as s from (select *, greatest({top}) as m from (select vec_id as doc_id, {dims} from embeddings))))"

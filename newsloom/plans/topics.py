@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicon as L
 from newsloom.functions import text as X
 from newsloom.operators import guided as G
+from newsloom.operators import readout as O
 from newsloom.operators import vocabulary as T
 from newsloom.operators.lineage import cut_lineage
-from newsloom.plans.corpus import COUNTS, GARBAGE, N_DOCS, SMOOTH, TOKENS, cleaned, counted, smooth
+from newsloom.plans.corpus import COUNTS, GARBAGE, N_DOCS, SMOOTH, TOKENS, VOCAB, cleaned, counted, smooth
 from newsloom.plans.registry import plan
 from newsloom.sources.readers import table
 
@@ -122,3 +123,46 @@ def guided_assignment(spark, folder):
     chosen = spark.createDataFrame(sorted(G.assign_one_to_one(table_).items()), "label int, topic string")
     docs = found.join(F.broadcast(chosen), "label")
     return docs.join(scores.select("doc_id", "topic", "score"), ["doc_id", "topic"], "left").select("doc_id", "label", "topic", F.coalesce("score", F.lit(0.0)).alias("topic_confidence"))
+
+
+# a topic-word table that SQL can state as well: term counts of the given clusters over the vocabulary
+PHI = f"(select cast(label as integer) as topic, term, cast(sum(n) as double) as weight from {COUNTS} join {CLUSTERS} using (doc_id) where term in (select term from {VOCAB}) group by all)"
+_PROBS = f"(select topic, term, weight / sum(weight) over (partition by topic) as weight from {PHI})"
+_WORDS = f"(select *, row_number() over (partition by topic order by weight desc, term) as rank from {PHI})"
+
+
+def phi(spark, folder):
+    """Terms' weights by topic, the counts behind them and the number of documents."""
+    counts, totals, n = counted(spark, folder)
+    kept = counts.join(F.broadcast(T.vocabulary(totals, n).select("term")), "term", "left_semi")  # the vocabulary is capped
+    weights = kept.join(clusters(spark, folder), "doc_id").groupBy(F.col("label").alias("topic"), "term").agg(F.sum("n").cast("double").alias("weight"))
+    return cut_lineage(weights), counts, n
+
+
+@plan(f"select topic, term, round(weight, 8) as weight from {_PROBS}")
+def phi_probabilities(spark, folder):
+    """The topic-word table with rows scaled to probabilities."""
+    weights, _, _ = phi(spark, folder)
+    return O.probabilities(weights).withColumn("weight", F.round("weight", 8))
+
+
+@plan(f"select topic, cast(rank as integer) as rank, term from {_WORDS} where rank <= 15")
+def phi_top_words(spark, folder):
+    weights, _, _ = phi(spark, folder)
+    return O.top_words(weights).select("topic", "rank", "term")
+
+
+@plan(f"select topic, string_agg(term, '_' order by rank) as label from {_WORDS} where rank <= 3 group by topic")
+def phi_labels(spark, folder):
+    weights, _, _ = phi(spark, folder)
+    return O.names(O.top_words(weights, 3))
+
+
+_PHI_PMI = _PMI.replace(f"top as (select label, term from {_RANKED} where rank <= 10)", f"top as (select topic as label, term from {_WORDS} where rank <= 10)")
+
+
+@plan(f"select topics, round(coherence, 6) as coherence from (select count(*) as topics, avg(c) as coherence from (select label, avg(pmi) as c from ({_PHI_PMI}) group by label))")
+def phi_coherence(spark, folder):
+    """Mean coherence of all topics, each by its ten heaviest words."""
+    weights, counts, n = phi(spark, folder)
+    return O.coherence(counts, weights, "doc_id", n).agg(F.count("*").alias("topics"), F.round(F.avg("coherence"), 6).alias("coherence"))

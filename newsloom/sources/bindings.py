@@ -36,13 +36,13 @@ def monthly_prices(spark: SparkSession, folder: str) -> DataFrame:
     return orders.groupBy(F.last_day(F.to_date("o_orderdate")).alias("month_end")).agg(F.round(F.avg("o_totalprice"), 4).alias("price"))
 
 
-def softmax_weights(embedding: Column, k: int) -> list[Column]:
-    return values.softmax([F.get(embedding, F.lit(i)).cast("double") for i in range(k)])
+def softmax_weights(embedding: Column, k: int, first: int = 0) -> list[Column]:
+    return values.softmax([F.get(embedding, F.lit(first + i)).cast("double") for i in range(k)])
 
 
-def theta(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
-    """Topic weights of documents: ``(doc_id, topic_000..)``, the softmax of the first k dimensions of their vectors."""
-    weights = softmax_weights(F.col("embedding"), k)
+def theta(spark: SparkSession, folder: str, k: int = 3, first: int = 0) -> DataFrame:
+    """Topic weights of documents: ``(doc_id, topic_000..)``, the softmax of k dimensions of their vectors from ``first`` on."""
+    weights = softmax_weights(F.col("embedding"), k, first)
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), *(w.alias(f"topic_{i:03d}") for i, w in enumerate(weights)))
 
 

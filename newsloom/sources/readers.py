@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +78,19 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f.select("*") for f in frames))
 
 
+def readable(paths: list[str], read: Callable[[str], DataFrame]) -> tuple[list[DataFrame], dict[str, str]]:
+    """Frames of the inputs that can be read, and why the others cannot: one vendor answer missing does not stop the rest."""
+    frames, skipped = [], {}
+    for path in paths:
+        try:
+            frame = read(path)
+            frame.limit(1).collect()  # files are opened here, not when a frame is made
+            frames.append(frame)
+        except (PySparkException, Py4JJavaError) as error:
+            skipped[path] = str(error).split("\n")[0]
+    return frames, skipped
+
+
 def paging_windows(bounds: DataFrame, start: Column, end: Column, stride: int = 31) -> DataFrame:
     """``(window_from, window_to)``: strides from start, each ``stride - 1`` days long at most, none past the end."""
     starts = bounds.select(F.explode(F.sequence(start, end, F.expr(f"interval {stride} days"))).alias("window_from"), end.alias("end"))

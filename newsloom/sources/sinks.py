@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,11 +27,21 @@ def write_triples(counts: DataFrame, path: str, mode: str = "errorifexists") ->
     counts.select("row_idx", "col_idx", "count").repartition("row_idx").sortWithinPartitions("row_idx", "col_idx").write.mode(mode).parquet(path)
 
 
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """``(row_idx, col_idx, count)`` as ``write_triples`` left it."""
+    return spark.read.parquet(path).select("row_idx", "col_idx", "count")
+
+
 def save_model(model, path: str) -> None:
     """A Spark ML model, overwriting an older one."""
     model.write().overwrite().save(path)
 
 
+def load_model(kind, path: str):
+    """A model of a Spark ML class as ``save_model`` left it."""
+    return kind.load(path)
+
+
 def markdown_report(title: str, sections: dict[str, DataFrame], rows: int = 50) -> str:
     """Small tables as a markdown text; every section shows at most ``rows`` rows, as a report does."""
     out = [f"# {title}"]
@@ -41,5 +51,12 @@ def markdown_report(title: str, sections: dict[str, DataFrame], rows: int = 50)
     return "\n".join(out) + "\n"
 
 
-def json_report(facts: dict) -> str:
-    return json.dumps(facts, indent=2, default=str, sort_keys=True)
+def pipeline_report(steps: dict[str, str | None], documents: DataFrame, at: str, models: dict[str, dict], results: dict[str, dict]) -> str:
+    """A run as a JSON text: steps done and those that failed (with their error), the data's size and dates, measures of models and results."""
+    first, last, n = documents.agg(F.min(at), F.max(at), F.count("*")).first()
+    facts = {
+        "pipeline_run": {"steps_completed": [s for s, error in steps.items() if error is None], "errors": [{"step": s, "error": e} for s, e in steps.items() if e is not None]},
+        "data_summary": {"n_documents": n, "date_range": f"{first} to {last}" if n else None},
+        "model_summary": models, "results_summary": results,
+    }
+    return json.dumps(facts, indent=2, default=str)

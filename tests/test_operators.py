@@ -1,6 +1,7 @@
 """Small cases: edges, ties, gaps, orders."""
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -15,6 +16,7 @@ from newsloom.operators import forecast as P
 from newsloom.operators import guided as G
 from newsloom.operators import models as M
 from newsloom.operators import near_duplicates as N
+from newsloom.operators import readout as O
 from newsloom.operators import relational as R
 from newsloom.operators import series as S
 from newsloom.operators import vocabulary as T
@@ -274,3 +276,75 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     got = ES.drain(ES.daily_counts(ES.event_stream(spark, str(tmp_path / "in"), "*.parquet")), str(tmp_path), "complete")
     want = events.limit(300).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
     assert sorted((r.day, r.event_type, r.n) for r in got.collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_settings(tmp_path):
+    from newsloom.sources import config
+
+    (tmp_path / "s.yaml").write_text("lda:\n  n_topics: 50\n  folds: 2\nsymbols: [A, B]\n")
+    found = config.read_settings(f"{tmp_path}/s.yaml", {"lda": {"n_topics": 10, "seed": 42}, "name": "x"})
+    assert found["lda.n_topics"] == 50 and found["lda.seed"] == 42 and found.get("lda.none", 7) == 7 and found["symbols"] == ["A", "B"] and set(found) == {"lda", "name", "symbols"}
+    (tmp_path / "bad.yaml").write_text("- a\n")
+    with pytest.raises(ValueError):
+        config.read_settings(f"{tmp_path}/bad.yaml")
+
+
+def test_unreadable_inputs_are_skipped(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    (tmp_path / "b").write_text("no parquet")
+    frames, skipped = readers.readable([f"{tmp_path}/{n}" for n in "abc"], spark.read.parquet)
+    assert [f.count() for f in frames] == [3] and sorted(p[-1] for p in skipped) == ["b", "c"]
+
+
+def test_triples_and_models_are_read_back(spark, tmp_path):
+    from pyspark.ml.clustering import KMeansModel
+
+    rows = [(0, 1, 2), (0, 3, 1), (5, 0, 9)]
+    sinks.write_triples(spark.createDataFrame(rows, "row_idx long, col_idx long, count long"), f"{tmp_path}/m")
+    assert sorted(map(tuple, sinks.read_triples(spark, f"{tmp_path}/m").collect())) == rows
+    features = M.dense_rows(spark.createDataFrame([(i, [float(i % 2), 0.5]) for i in range(8)], "doc_id long, embedding array<double>"), "doc_id", "embedding")
+    model = M.fit_kmeans(features, 2, starts=1)
+    sinks.save_model(model, f"{tmp_path}/k")
+    assert [list(c) for c in sinks.load_model(KMeansModel, f"{tmp_path}/k").clusterCenters()] == [list(c) for c in model.clusterCenters()]
+
+
+def test_pipeline_report(spark):
+    docs = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-03-01")], "doc_id long, day string")
+    report = json.loads(sinks.pipeline_report({"read": None, "fit": "no data"}, docs, "day", {"lda": {"k": 5}}, {}))
+    assert report["pipeline_run"] == {"steps_completed": ["read"], "errors": [{"step": "fit", "error": "no data"}]}
+    assert report["data_summary"] == {"n_documents": 2, "date_range": "2024-01-01 to 2024-03-01"} and report["model_summary"]["lda"]["k"] == 5
+
+
+def test_novelty_in_blocks_is_novelty(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(t), ["a", "b", None][rng.integers(0, 3)], f"t{rng.integers(0, 3)}") for i, t in enumerate(rng.integers(0, 500, 400))]
+    df = spark.createDataFrame(rows, "event_id long, ts long, symbol string, topic string").repartition(5)
+    want = {r.event_id: r.n for r in df.select("event_id", E.novelty("topic", ["ts", "event_id"], "symbol").alias("n")).collect()}
+    for block in (20, 33, 1000):
+        assert {r.event_id: r.novelty_score for r in E.novelty_in_blocks(df, "topic", ["ts", "event_id"], "symbol", block=block).collect()} == want
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [(1, ["b", "a", "b", None, "b"]), (2, []), (3, None), (4, ["x"]), (5, ["a", "a"])]
+    got = sorted(tuple(r) for r in T.term_counts(spark.createDataFrame(rows, "doc_id long, terms array<string>"), "doc_id", "terms").collect())
+    assert got == [(1, "a", 1), (1, "b", 3), (4, "x", 1), (5, "a", 2)]
+
+
+def test_audit_finds_a_look_ahead(spark):
+    uses = spark.createDataFrame([(2023, "2022-12-31"), (2024, "2024-01-01"), (2025, "2024-06-01")], "period int, used string").withColumn("used", F.to_date("used"))
+    got = {r.period: r.clean for r in R.look_ahead(uses, F.make_date("period", F.lit(1), F.lit(1)), "used").collect()}
+    assert got == {2023: True, 2024: False, 2025: True}
+
+
+def test_best_number_of_topics_and_read_out(spark):
+    scores = spark.createDataFrame([(50, -2.0), (80, -1.0), (120, -1.0)], "k int, mean_ll double")
+    assert O.best(scores).first().k == 80
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate("abcd")], "term string, index long")
+    bags = spark.createDataFrame([(i, j, 5.0) for i in range(40) for j in ((0, 1) if i % 2 else (2, 3))], "doc_id long, col_idx int, count double")
+    model = M.fit_lda(M.sparse_rows(bags, "doc_id", 4), 2, 4, iterations=10)
+    phi = O.probabilities(O.phi_of(model, vocab))
+    assert all(abs(r.s - 1) < 1e-9 for r in phi.groupBy("topic").agg(F.sum("weight").alias("s")).collect()) and phi.count() == 8
+    assert {frozenset(r.label.split("_")) for r in O.names(O.top_words(phi, 2)).collect()} == {frozenset("ab"), frozenset("cd")}
+    counts = bags.join(vocab, bags["col_idx"] == vocab["index"]).select("doc_id", "term")
+    pmi = {r.topic: r.coherence for r in O.coherence(counts, phi, "doc_id", 40, 2).collect()}
+    assert len(pmi) == 2 and all(abs(v - np.log(2)) < 1e-6 for v in pmi.values())
