@@ -348,3 +348,12 @@ def test_best_number_of_topics_and_read_out(spark):
     counts = bags.join(vocab, bags["col_idx"] == vocab["index"]).select("doc_id", "term")
     pmi = {r.topic: r.coherence for r in O.coherence(counts, phi, "doc_id", 40, 2).collect()}
     assert len(pmi) == 2 and all(abs(v - np.log(2)) < 1e-6 for v in pmi.values())
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=501), "b": rng.integers(0, 4, 40).astype(float), "c": np.array([7.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("d", None)]
+    got = {r.name: r for r in R.quantiles(spark.createDataFrame(rows, "name string, v double").repartition(6), "name", "v", [0.25, 0.5, 0.9]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert all(np.allclose([got[k].q0, got[k].q1, got[k].q2], np.quantile(v, [0.25, 0.5, 0.9])) for k, v in values.items())
