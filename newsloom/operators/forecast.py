@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 1000, tol: float = 1e-10) -> tuple[float, np.ndarray]:
-    """Intercept and weights minimising RSS / 2n + alpha * |w|_1 by coordinate descent."""
+def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 1000, tol: float = 1e-10, mix: float = 1.0) -> tuple[float, np.ndarray]:
+    """Intercept and weights minimising RSS / 2n + alpha * (mix * |w|_1 + (1 - mix) / 2 * |w|_2^2) by coordinate descent.
+
+    ``mix`` of one is the LASSO, less an elastic net.
+    """
     mx, my = x.mean(0), y.mean()
     xc, rest = x - mx, y - my
     w, norms = np.zeros(x.shape[1]), (xc**2).mean(0)
@@ -19,7 +23,7 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 1000, tol: f
         moved = 0.0
         for j in np.flatnonzero(norms > 0):
             rho = (xc[:, j] * rest).mean() + norms[j] * w[j]
-            new = math.copysign(max(abs(rho) - alpha, 0.0), rho) / norms[j]
+            new = math.copysign(max(abs(rho) - alpha * mix, 0.0), rho) / (norms[j] + alpha * (1 - mix))
             if new != w[j]:
                 rest -= xc[:, j] * (new - w[j])
                 moved, w[j] = max(moved, abs(new - w[j])), new
@@ -34,27 +38,30 @@ def _scaled(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
     return [(a - mean) / std for a in (train, *others)]
 
 
-def lasso_select(panel: DataFrame, features: list[str], target: str = "y", at: str = "date", alphas: int = 20, folds: int = 5, most: int = 10) -> DataFrame:
-    """``(feature, coefficient)`` of the non-zero weights, the largest ``most``; alpha by cross-validation over blocks of time.
+def lasso_select(panel: DataFrame, features: list[str], target: str = "y", at: str = "date", alphas: int = 20, folds: int = 5, most: int = 10, mix: float = 1.0) -> DataFrame:
+    """``(feature, coefficient, r2, mse, mse_of_mean)`` of the non-zero weights, the largest ``most``.
 
-    The panel has a row a period and is read once.
+    Alpha is chosen by cross-validation over blocks of time; the fit's measures stand beside those of the mean alone. The
+    panel has a row a period and is read once.
     """
     pdf = panel.orderBy(at).select(*features, target).toPandas()
     x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
     (z,) = _scaled(x)
-    top = np.abs(z.T @ (y - y.mean())).max() / len(y)
+    top = np.abs(z.T @ (y - y.mean())).max() / len(y) / mix
     grid = top * np.logspace(0, -3, alphas)
     blocks = np.array_split(np.arange(len(y)), folds)
-    loss = [np.mean([_loss(x, y, b, a) for b in blocks]) for a in grid]
-    _, w = lasso(z, y, grid[int(np.argmin(loss))])
+    loss = [np.mean([_loss(x, y, b, a, mix) for b in blocks]) for a in grid]
+    b, w = lasso(z, y, grid[int(np.argmin(loss))], mix=mix)
+    mse, mean = float(((y - b - z @ w) ** 2).mean()), float(((y - y.mean()) ** 2).mean())
     chosen = sorted(((f, float(c)) for f, c in zip(features, w) if c), key=lambda r: (-abs(r[1]), r[0]))[:most]
-    return panel.sparkSession.createDataFrame(chosen, "feature string, coefficient double")
+    rows = [(*c, 1 - mse / mean if mean else 0.0, mse, mean) for c in chosen]
+    return panel.sparkSession.createDataFrame(rows, "feature string, coefficient double, r2 double, mse double, mse_of_mean double")
 
 
-def _loss(x, y, block, alpha) -> float:
+def _loss(x, y, block, alpha, mix) -> float:
     keep = np.setdiff1d(np.arange(len(y)), block)
     train, test = _scaled(x[keep], x[block])
-    b, w = lasso(train, y[keep], alpha)
+    b, w = lasso(train, y[keep], alpha, mix=mix)
     return float(((y[block] - b - test @ w) ** 2).mean())
 
 
@@ -116,6 +123,36 @@ def variance_decomposition(responses: np.ndarray) -> np.ndarray:
     return total / total.sum(axis=2, keepdims=True)
 
 
+def sparse_var(x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A vector autoregression whose equations keep a variable with all its lags or not at all, as ``fit_var`` returns it.
+
+    Each equation starts with its own lags; the group that lowers the AIC most is added until none does.
+    """
+    n, k = x.shape
+    y, rest = x[lags:], [np.column_stack([x[lags - i - 1 : n - i - 1, j] for i in range(lags)]) for j in range(k)]
+    intercepts, coefficients, residuals = np.zeros(k), np.zeros((lags, k, k)), np.zeros_like(y)
+
+    def fit(groups: list[int], target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        design = np.hstack([np.ones((len(target), 1)), *(rest[j] for j in groups)])
+        beta, *_ = np.linalg.lstsq(design, target, rcond=None)
+        e = target - design @ beta
+        return math.log(max(float(e @ e) / len(e), 1e-300)) + 2 * design.shape[1] / len(e), beta, e
+
+    for i in range(k):
+        chosen = [i]
+        score, beta, e = fit(chosen, y[:, i])
+        while others := [j for j in range(k) if j not in chosen]:
+            found = min((fit([*chosen, j], y[:, i])[0], j) for j in others)
+            if found[0] >= score:
+                break
+            chosen.append(found[1])
+            score, beta, e = fit(chosen, y[:, i])
+        intercepts[i], residuals[:, i] = beta[0], e
+        for at, j in enumerate(chosen):
+            coefficients[:, i, j] = beta[1 + at * lags : 1 + (at + 1) * lags]
+    return intercepts, coefficients, residuals
+
+
 def f_survival(f: float, d1: int, d2: int) -> float:
     """P(F > f) by the regularised incomplete beta function (continued fraction)."""
     if not f > 0:
@@ -168,6 +205,47 @@ def var_irf(panel: DataFrame, cols: list[str], at: str = "date", most_lags: int
     return panel.sparkSession.createDataFrame(rows, "shock string, response string, h int, value double, share double")
 
 
+def var_groups(panel: DataFrame, cols: list[str], at: str = "date", most_lags: int = 3) -> DataFrame:
+    """``(response, variable, lag, coefficient)`` of the groups that a sparse vector autoregression keeps."""
+    x = _matrix(panel, cols, at)
+    _, coefficients, _ = sparse_var(x, var_order(x, most_lags))
+    rows = [(cols[i], cols[j], lag + 1, float(coefficients[lag, i, j])) for i in range(len(cols)) for j in range(len(cols)) if coefficients[:, i, j].any() for lag in range(len(coefficients))]
+    return panel.sparkSession.createDataFrame(rows, "response string, variable string, lag int, coefficient double")
+
+
+def irf_bands(panel: DataFrame, cols: list[str], at: str = "date", most_lags: int = 3, steps: int = 12, draws: int = 1000, level: float = 0.9, seed: int = 42) -> DataFrame:
+    """``(shock, response, h, value, low, high)``: impulse responses with percentile bands of a residual bootstrap.
+
+    Draws are numbered rows that tasks work on by themselves, each from its own seed; the panel, of a row a period, goes
+    to them with the fitted model.
+    """
+    x = _matrix(panel, cols, at)
+    lags = var_order(x, most_lags)
+    intercepts, coefficients, residuals = fit_var(x, lags)
+    values = impulse_responses(coefficients, residuals, steps)
+    k, sent = len(cols), panel.sparkSession.sparkContext.broadcast((x, intercepts, coefficients, residuals))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, intercepts, coefficients, residuals = sent.value
+        for batch in batches:
+            for number in batch["id"]:
+                rng = np.random.default_rng((seed, int(number)))
+                shocks = (residuals - residuals.mean(0))[rng.integers(0, len(residuals), len(residuals))]
+                made = list(x[:lags])
+                for e in shocks:
+                    made.append(intercepts + sum(coefficients[i] @ made[-1 - i] for i in range(lags)) + e)
+                _, c, r = fit_var(np.array(made), lags)
+                out = impulse_responses(c, r, steps)
+                h, i, j = np.indices(out.shape).reshape(3, -1)
+                yield pd.DataFrame({"h": h, "i": i, "j": j, "v": out.reshape(-1)})
+
+    drawn = panel.sparkSession.range(draws).mapInPandas(draw, "h int, i int, j int, v double")
+    tails = [(1 - level) / 2, (1 + level) / 2]
+    bands = drawn.groupBy("h", "i", "j").agg(*(F.percentile("v", F.lit(p)).alias(name) for name, p in zip(("low", "high"), tails)))  # a group has a row a draw
+    point = panel.sparkSession.createDataFrame([(h, i, j, cols[j], cols[i], float(values[h, i, j])) for h in range(steps + 1) for i in range(k) for j in range(k)], "h int, i int, j int, shock string, response string, value double")
+    return point.join(bands, ["h", "i", "j"]).select("shock", "response", "h", "value", "low", "high")
+
+
 def granger(panel: DataFrame, causes: list[str], effect: str, at: str = "date", most_lags: int = 3) -> DataFrame:
     """``(cause, p_value)`` for each series, at the order by AIC of the autoregression of all of them."""
     x = _matrix(panel, [*causes, effect], at)

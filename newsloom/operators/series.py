@@ -95,15 +95,17 @@ def oos_r2(predictions: DataFrame) -> DataFrame:
     )
 
 
-def trading_curve(predictions: DataFrame, cost_bps: float = 15.0, at: str = "date") -> DataFrame:
+def trading_curve(predictions: DataFrame, cost_bps: float = 15.0, at: str = "date", cash: Column | None = None) -> DataFrame:
     """Long when the forecast is positive: signal, trades, costs, net returns, curves and drawdown.
 
+    Out of the market the return is that of ``cash`` (bills), or nothing.
+
     The first row has no trade before it: its trade, cost and net return are null and the curves skip it.
     """
     w = W.orderBy(at)
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
     rows = predictions.withColumn("signal", F.when(F.col("predicted") > 0, 1).otherwise(0))
-    rows = rows.withColumn("strategy_return", F.col("signal") * F.col("actual")).withColumn("trade", F.abs(F.col("signal") - F.lag("signal").over(w)))
+    rows = rows.withColumn("strategy_return", F.col("signal") * F.col("actual") + (0 if cash is None else (1 - F.col("signal")) * cash)).withColumn("trade", F.abs(F.col("signal") - F.lag("signal").over(w)))
     rows = rows.withColumn("transaction_cost", F.col("trade") * cost_bps / 10000).withColumn("net_return", F.col("strategy_return") - F.col("transaction_cost"))
     curve = lambda c: F.when(F.col(c).isNotNull(), F.exp(F.sum(F.log1p(c)).over(so_far)))
     rows = rows.withColumn("cum_strategy", curve("net_return")).withColumn("cum_market", curve("actual"))

@@ -203,6 +203,19 @@ def trading_curve(spark, folder):
     return c.select("date", "signal", "trade", *(F.round(x, 8).alias(x) for x in ("net_return", "cum_strategy", "cum_market", "drawdown")))
 
 
+_BILLS = "0.02e0 / 12 + 0.0001e0 * month(date)"
+
+
+@plan(f"""select date, round(net_return, 8) as net_return, round(exp(sum(ln(1 + net_return)) over (order by date)), 8) as cum_strategy from
+    (select date, signal * actual + (1 - signal) * ({_BILLS}) - abs(signal - lag(signal) over (order by date)) * 15.0e0 / 10000 as net_return from
+    (select *, case when predicted > 0 then 1 else 0 end as signal from {PREDICTIONS})) where net_return is not null""")
+def trading_curve_bills(spark, folder):
+    """The strategy with bills while out of the market (a stated rate by month stands in for the series)."""
+    bills = F.lit(0.02) / 12 + 0.0001 * F.month("date")
+    c = S.trading_curve(predictions(spark, folder), cash=bills).where("net_return is not null")
+    return c.select("date", F.round("net_return", 8).alias("net_return"), F.round("cum_strategy", 8).alias("cum_strategy"))
+
+
 @plan(f"""select round(avg(net_return) * 12, 6) as strategy_annual_return, round(stddev_samp(net_return) * sqrt(12), 6) as strategy_annual_vol,
     round(avg(net_return) * 12 / (stddev_samp(net_return) * sqrt(12)), 6) as strategy_sharpe, round(avg(actual) * 12, 6) as market_annual_return,
     round(stddev_samp(actual) * sqrt(12), 6) as market_annual_vol, round(avg(actual) * 12 / (stddev_samp(actual) * sqrt(12)), 6) as market_sharpe,

@@ -137,6 +137,11 @@ def lasso_selection(spark, folder):
     return P.lasso_select(forecast_panel(spark, folder), ["lag_0", "lag_1", "lag_2"])
 
 
+@plan()
+def elastic_net_selection(spark, folder):
+    return P.lasso_select(forecast_panel(spark, folder), ["lag_0", "lag_1", "lag_2"], mix=0.5)
+
+
 @plan()
 def lasso_backtest(spark, folder):
     return P.lasso_backtest(forecast_panel(spark, folder), ["lag_0", "lag_1", "lag_2"], least=40, alpha=0.001)
@@ -164,6 +169,19 @@ def var_irf(spark, folder):
     return P.var_irf(panel, [*chosen, "log_return"])
 
 
+@plan()
+def var_sparse(spark, folder):
+    panel, chosen = return_panel(spark, folder)
+    return P.var_groups(panel, [*chosen, "log_return"])
+
+
+@plan()
+def irf_bands(spark, folder):
+    """A thousand draws."""
+    panel, chosen = return_panel(spark, folder)
+    return P.irf_bands(panel, [*chosen[:2], "log_return"])
+
+
 @plan()
 def granger(spark, folder):
     panel, chosen = return_panel(spark, folder)

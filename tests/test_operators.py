@@ -357,3 +357,33 @@ def test_quantiles_are_exact(spark):
     got = {r.name: r for r in R.quantiles(spark.createDataFrame(rows, "name string, v double").repartition(6), "name", "v", [0.25, 0.5, 0.9]).collect()}
     assert set(got) == {"a", "b", "c"}
     assert all(np.allclose([got[k].q0, got[k].q1, got[k].q2], np.quantile(v, [0.25, 0.5, 0.9])) for k, v in values.items())
+
+
+def test_elastic_net_meets_its_conditions():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 5))
+    y = x @ [1.0, 0, -0.5, 0, 0] + 0.1 * rng.normal(size=80)
+    for mix in (1.0, 0.5, 0.2):
+        b, w = P.lasso(x, y, 0.1, mix=mix)
+        slope = x.T @ (y - b - x @ w) / 80 - 0.1 * (1 - mix) * w
+        assert all(np.isclose(s, 0.1 * mix * np.sign(c)) if c else abs(s) <= 0.1 * mix + 1e-9 for s, c in zip(slope, w))
+
+
+def test_sparse_var_drops_what_says_nothing():
+    rng = np.random.default_rng(7)
+    x = np.zeros((400, 3))
+    for t in range(1, 400):
+        x[t] = [0.5 * x[t - 1, 0] + 0.4 * x[t - 1, 1], 0.6 * x[t - 1, 1], -0.3 * x[t - 1, 2]] + rng.normal(size=3)
+    _, c, e = P.sparse_var(x, 1)
+    assert abs(c[0][0, 1] - 0.4) < 0.15 and c[0][1, 0] == c[0][2, 0] == 0 and e.shape == (399, 3)
+
+
+def test_bands_of_impulse_responses(spark):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.normal(size=(60, 2)), axis=0) * 0.1 + rng.normal(size=(60, 2))
+    panel = spark.createDataFrame([(D(2020, 1, 1) + dt.timedelta(days=i), float(a), float(b)) for i, (a, b) in enumerate(x)], "date date, a double, b double")
+    rows = P.irf_bands(panel, ["a", "b"], steps=3, draws=60).collect()
+    assert len(rows) == 16 and all(r.low <= r.high for r in rows)
+    assert sum(r.low <= r.value <= r.high for r in rows) >= 12
+    again = {(r.shock, r.response, r.h): r.low for r in P.irf_bands(panel, ["a", "b"], steps=3, draws=60).collect()}
+    assert all(np.isclose(again[r.shock, r.response, r.h], r.low) for r in rows)
