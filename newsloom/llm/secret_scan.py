@@ -1,14 +1,16 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Strong finds are reported as they are: assignments, access identifiers, long hexadecimal runs. Weak ones - tokens that
-look random, and endpoints - say little alone. They are linked by an interval join: access identifiers, tokens and
-endpoints of one text that lie within ``scope`` characters of each other meet in buckets of that width, and a weak find
-is reported only where its complements stand beside it. The secret beside an endpoint's identifier may be a strong find.
+look random, names of users, clients and accounts, and endpoints - say little alone. They are linked by an interval
+join: parts of one text that lie within ``scope`` characters of each other meet in buckets of that width, and a weak
+find is reported only where a complement stands beside it. An identifier and an endpoint complement a secret, and a
+secret, strong or weak, complements both.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import staged
@@ -23,9 +25,14 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ENDPOINT = r"(?:[a-z][a-z0-9+.-]{1,15}://|(?<![A-Za-z0-9@.-])(?:api|db|s3|smtp|ftp|vault)\.)[A-Za-z0-9./_:@-]{4,}+"
 
+NAMED = r"""(?i)(?<![a-z0-9])(?:user(?:_?name)?|login|account(?:_?(?:name|id))?|client_?id|(?:access_?)?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
+_RUN = r"[A-Za-z0-9+/_-]{20}"
+
 #: Kinds in the order of a report.
-KINDS = ("assign", "access", "hex", "secret", "endpoint")
+KINDS = ("assign", "access", "hex", "secret", "endpoint", "identifier")
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
+#: Matches whose places are summed at once.
+_SUMMED = 100
 
 
 def _span(start: Column, kind: int, stop: Column) -> Column:
@@ -40,13 +47,23 @@ def find_all(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -
     inside = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), 1, F.size(inside))
     sizes = F.zip_with(between, inside, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size")))
-    begin = F.struct(F.array().cast(SPANS).alias("spans"), F.lit(0).alias("at"))
+    begin = lambda at: F.struct(F.array().cast(SPANS).alias("spans"), at.alias("at"))
 
     def add(acc: Column, x: Column) -> Column:
         first = acc["at"] + x["gap"]
         return F.struct(F.concat(acc["spans"], F.array(_span(first, kind, first + x["size"]))).alias("spans"), (first + x["size"]).alias("at"))
 
-    spans = F.aggregate(sizes, begin, add, lambda acc: acc["spans"])
+    # an array grows by copying, so places are summed in groups that start where the ones before end
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _SUMMED).cast("int")), lambda g: F.slice(all_, g * _SUMMED + 1, _SUMMED))
+    groups = F.get(F.transform(F.array(sizes), cut), F.lit(0))  # an array of one, so that the matches are found once
+    long = lambda group: F.aggregate(group, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+
+    def after(acc: Column, group: Column) -> Column:
+        found = F.aggregate(group, begin(acc["at"]), add, lambda a: a["spans"])
+        return F.struct(F.concat(acc["done"], F.array(found)).alias("done"), (acc["at"] + long(group)).alias("at"))
+
+    whole = F.aggregate(groups, F.struct(F.array().cast(f"array<{SPANS}>").alias("done"), F.lit(0).alias("at")), after, lambda acc: F.flatten(acc["done"]))
+    spans = F.when(F.size(inside) > 0, whole).otherwise(F.array().cast(SPANS))
     if keep is None:
         return spans
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -58,56 +75,76 @@ def _only_if(test: Column, spans: Column) -> Column:
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, h, assign, access, hex, token, endpoint)``: the spans of every part of every whole text."""
+    """``(id, h, assign, access, hex, token, endpoint, named)``: the spans of every part of every whole text."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     text, low = F.col("text"), F.lower("text")
     named = low.contains(ASSIGN_WORDS[0])
     for word in ASSIGN_WORDS[1:]:
         named = named | low.contains(word)
-    access = text.contains("AKIA")
     mixed = lambda t: t.rlike("[0-9]") & t.rlike("[a-z]") & t.rlike("[A-Z]")
     return rows.select(
         "id", "h",
         _only_if(named, find_all(text, ASSIGN, 0, lambda t: F.length(t) >= 12, group=2)).alias("assign"),
-        _only_if(access, find_all(text, ACCESS, 1)).alias("access"),
+        _only_if(text.contains("AKIA"), find_all(text, ACCESS, 1)).alias("access"),
         _only_if(text.rlike(HEX), find_all(text, HEX, 2)).alias("hex"),
-        # weak parts are only reported beside an access identifier
-        _only_if(access, find_all(text, TOKEN, 3, mixed)).alias("token"),
-        _only_if(access, find_all(text, ENDPOINT, 4)).alias("endpoint"),
+        _only_if(text.rlike(_RUN), find_all(text, TOKEN, 3, mixed)).alias("token"),
+        _only_if(text.rlike(ENDPOINT), find_all(text, ENDPOINT, 4)).alias("endpoint"),
+        _only_if(text.rlike(NAMED), find_all(text, NAMED, 5)).alias("named"),
     )
 
 
-def _beside(weak: DataFrame, strong: DataFrame, scope: int) -> DataFrame:
-    """Interval join: pairs of one text with at most ``scope`` characters between them, met in buckets of that width.
+#: What a weak find of a kind is reported beside: kinds of parts.
+_SECRET, _IDENTIFIER, _ENDPOINT = "secret", "identifier", "endpoint"
+
+
+def _edges(spans: DataFrame, before: str, behind: str) -> DataFrame:
+    """The ends of each span that a neighbour's gap is counted from: one neighbour lies ``before``, one ``behind``."""
+    edge = lambda at, side: F.struct(F.col(at).alias("at"), F.lit(side).alias("side"))
+    return spans.withColumn("edge", F.explode(F.array(edge("span.start", before), edge("span.stop", behind)))).select("*", "edge.at", "edge.side").drop("edge")
+
+
+def beside(weak: DataFrame, found: DataFrame, scope: int) -> DataFrame:
+    """Interval join: the rows of ``weak(key, span, wants)`` that have a part of ``found(key, span, part)`` beside them.
 
-    The spans of a pair do not overlap, so the gap is from the end of one to the start of the other, however long they are.
+    At most ``scope`` characters are between the two, counted from the end of one to the start of the other, however
+    long they are. Ends meet in buckets of that width, which hold few spans as those of a kind do not overlap.
     """
-    edge = lambda at, after: F.struct(F.col(at).alias("at"), F.lit(after).alias("after"))
-    bucket = F.floor(F.col("edge.at") / scope).cast("int")
-    left = weak.select("key", F.col("span").alias("weak"), F.explode(F.array(edge("span.start", True), edge("span.stop", False))).alias("edge"))
-    left = left.select("key", "weak", F.col("edge.at").alias("weak_at"), F.col("edge.after").alias("after"), bucket.alias("bucket"))
-    right = strong.select("key", F.col("span").alias("strong"), F.explode(F.array(edge("span.stop", True), edge("span.start", False))).alias("edge"))
-    right = right.select("key", "strong", F.col("edge.at").alias("strong_at"), F.col("edge.after").alias("after"), F.explode(F.array(*(bucket + d for d in (-1, 0, 1)))).alias("bucket"))
-    return left.join(right, ["key", "after", "bucket"]).where(F.abs(F.col("weak_at") - F.col("strong_at")) <= scope).select("key", "weak", "strong").distinct()
+    bucket = F.floor(F.col("at") / scope).cast("int")
+    left = _edges(weak, "left", "right").withColumn("bucket", bucket)
+    right = _edges(found, "right", "left").select(F.col("key").alias("key_"), F.col("part"), F.col("side").alias("side_"), F.col("at").alias("at_"), F.explode(F.array(*(bucket + d for d in (-1, 0, 1)))).alias("bucket_"))
+    met = (F.col("key") == F.col("key_")) & (F.col("wants") == F.col("part")) & (F.col("side") == F.col("side_")) & (F.col("bucket") == F.col("bucket_"))
+    gap = F.when(F.col("side") == "left", F.col("at") - F.col("at_")).otherwise(F.col("at_") - F.col("at"))
+    return left.join(right, met & gap.between(0, scope), "left_semi").select("key", "span")
 
 
 def link(found: DataFrame, scope: int = 300) -> DataFrame:
-    """``(key, linked)``: weak spans with their complements beside them, by text.
+    """``(key, linked)``: weak spans with a complement beside them, by text.
 
-    A token counts beside an access identifier; an endpoint beside an access identifier that has a secret: such a token,
-    an assignment or a hexadecimal run. Weak spans that overlap a strong one are that one's and are left out; so are
-    assignments and runs that overlap an access identifier, which is no secret of its own.
+    A token counts beside an identifier or an endpoint, a name and an endpoint beside a secret: a token, an assignment
+    or a hexadecimal run. Weak spans that overlap a strong one are that one's and are left out, and so are tokens and
+    names in an endpoint; assignments and runs that overlap an access identifier are no secrets of their own.
     """
-    off = lambda spans, others: F.filter(spans, lambda w: ~F.exists(others, lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
-    free = lambda name: off(F.col(name), F.concat("assign", "access", "hex")).alias(name)
-    known = off(F.concat("assign", "hex"), F.col("access")).alias("known")
-    texts = found.where("size(access) > 0").select(F.struct("id", "h").alias("key"), "access", known, free("token"), free("endpoint")).distinct()
-    one = lambda name: texts.select("key", F.explode(name).alias("span"))
-    secrets = _beside(one("token"), one("access"), scope)
-    holders = secrets.unionByName(_beside(one("known"), one("access"), scope)).select("key", F.col("strong").alias("span")).distinct()
-    endpoints = _beside(one("endpoint"), holders, scope)
-    spans = secrets.select("key", "weak").unionByName(endpoints.select("key", "weak"))
-    return spans.groupBy("key").agg(F.collect_set("weak").alias("linked"))
+    some = lambda *names: F.size(F.concat(*names)) > 0
+    able = found.where((some("token", "assign", "hex") & some("named", "endpoint")) | (some("token") & some("access")))
+    rows = able.select(F.struct("id", "h").alias("key"), F.explode(F.concat("assign", "access", "hex", "token", "endpoint", "named")).alias("span")).distinct()
+    rows = rows.select("key", "span", F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), F.col("span.kind").alias("kind"))
+    # what starts at or before a span and reaches into it, or starts behind its start and before its end
+    up_to = W.partitionBy("key").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
+    behind = W.partitionBy("key").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, -1)
+
+    def meets(*kinds: int) -> Column:
+        among = F.col("kind").isin(*kinds)
+        reach, follow = F.max(F.when(among, F.col("stop"))).over(up_to), F.min(F.when(among, F.col("start"))).over(behind)
+        return F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(follow < F.col("stop"), F.lit(False))
+
+    first = rows.select("*", meets(0, 1, 2).alias("on_strong"), meets(1).alias("on_access"))
+    free = first.where(F.when(F.col("kind").isin(0, 2), ~F.col("on_access")).when(F.col("kind") > 2, ~F.col("on_strong")).otherwise(True))
+    kept = free.select("*", meets(4).alias("on_endpoint")).where(~(F.col("kind").isin(3, 5) & F.col("on_endpoint")))
+    part = F.when(F.col("kind").isin(1, 5), _IDENTIFIER).when(F.col("kind") == 4, _ENDPOINT).otherwise(_SECRET)
+    parts_ = staged(kept.select("key", "span", "kind", part.alias("part")), "credential-parts")
+    wants = F.when(F.col("kind") == 3, F.array(F.lit(_IDENTIFIER), F.lit(_ENDPOINT))).otherwise(F.array(F.lit(_SECRET)))
+    weak = parts_.where("kind > 2").select("key", "span", F.explode(wants).alias("wants"))
+    return beside(weak, parts_, scope).groupBy("key").agg(F.collect_set("span").alias("linked"))
 
 
 def text_of(spans: Column) -> Column:
@@ -124,7 +161,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (id, text): repeated rows have the same ones, a null id is an id like others. Other columns are not read; an empty
     table gives an empty result.
     """
-    found = staged(parts(docs, id_col, text_col), "secret-parts")
+    found = staged(parts(docs, id_col, text_col), "secret-finds")
     linked = link(found, scope).select(F.col("key.id").alias("id_"), F.col("key.h").alias("h_"), "linked")
     joined = found.join(linked, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left")
     base = F.array_sort(F.concat("assign", "access", "hex"))
