@@ -1,9 +1,11 @@
 """License scans by diagonal voting.
 
-Documents and licence templates are cut into words; every rolling k-gram of words is hashed and joined to the places
-where templates have it. A match at document word p and template word t votes for diagonal p - t; votes of neighbouring
-diagonals are merged, so inserted or lost words do not split a find, and a merged span is reported if it covers enough
-of its template without being stretched. DataFrame functions only.
+Documents and licence templates (whole texts, their paragraphs, usual statements) are cut into words; every rolling
+k-gram of words is hashed and joined to the places where templates have it. A match at document word p and template
+word t, confirmed by its words, votes for diagonal p - t. From each diagonal, the votes of its neighbours up to a bounded
+drift are merged, so inserted or lost words do not split a find. A merged span is verified by words: so many of the
+template's words, and of its own, must stand in confirmed matches; of spans that compete the one with most is reported.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,31 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.llm.license_texts import templates
+
 # Phrases whose places count as the base scan, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Passages of public licence texts and usual notices, with the label a find of them gives.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc", "this work is licensed under a creative commons attribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("proprietary", "all rights reserved no part of this work may be reproduced without permission"),
-)
+TEMPLATES = templates()
 
 GRAM = 3
 #: Every ASCII character that ends a word, and A-Z, with what they become.
@@ -58,36 +41,47 @@ def phrase_places(w: Column, phrase: str) -> Column:
 
 
 def grams(w: Column, k: int = GRAM) -> Column:
-    """Hashes of all rolling k-grams, by place."""
+    """All rolling k-grams by place: ``struct(gram, words)``, the hash and the words that it stands for."""
     n = F.size(w) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
+    at = lambda i: [F.get(w, i + j) for j in range(k)]
+    rolled = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.struct(F.xxhash64(*at(i)).alias("gram"), F.concat_ws(" ", *at(i)).alias("words")))
+    return F.when(n >= 0, rolled).otherwise(F.array().cast("array<struct<gram:bigint,words:string>>"))
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
-    """``(template, label, size, t, gram)``: a fixed table, as large as the templates' words."""
+    """``(template, label, size, t, gram, said)``: a fixed table, as large as the templates' words; ``size`` counts words."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     w = rows.select("template", "label", words(F.col("text")).alias("w"))
-    return w.select("template", "label", (F.size("w") - (k - 1)).alias("size"), F.posexplode(grams(F.col("w"), k)).alias("t", "gram"))
+    placed = w.select("template", "label", F.size("w").alias("size"), F.posexplode(grams(F.col("w"), k)).alias("t", "g"))
+    return placed.select("template", "label", "size", "t", "g.gram", F.col("g.words").alias("said"))
+
+
+def _covered(places: Column, k: int = GRAM) -> Column:
+    """How many words the k-grams at these places cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(places), lambda t: F.array(*(t + j for j in range(k)))))))
 
 
-def spans(keyed: DataFrame, templates: DataFrame, drift: int = 3, coverage: float = 0.7, stretch: float = 1.5) -> DataFrame:
+def spans(keyed: DataFrame, templates: DataFrame, drift: int = 12, coverage: float = 0.7, stretch: float = 1.5) -> DataFrame:
     """``(id, h, first, last, label, score)`` from ``keyed(id, h, w)``.
 
-    ``first`` and ``last`` are the words a span starts and ends with, ``score`` the share of the template's grams that it
-    has. Diagonals are votes of distinct template places; neighbours at most ``drift`` apart are one chain.
+    ``first`` and ``last`` are the words a span starts and ends with. The span from a diagonal merges those at most
+    ``drift`` beyond it. It is reported if confirmed matches cover ``coverage`` of the template's words (its ``score``)
+    and ``1 / stretch`` of its own, and no span of the template on diagonals within ``drift`` has more (ties: the
+    first diagonal).
     """
-    rolled = keyed.select("id", "h", F.posexplode(grams(F.col("w"))).alias("p", "gram"))
-    votes = rolled.join(F.broadcast(templates), "gram").withColumn("diagonal", F.col("p") - F.col("t"))
-    by_diagonal = votes.groupBy("id", "h", "template", "label", "size", "diagonal").agg(F.collect_set("t").alias("ts"), F.min("p").alias("low"), F.max("p").alias("high"))
-    near = W.partitionBy("id", "h", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > drift, F.lit(True))
-    chained = by_diagonal.withColumn("chain", F.sum(fresh.cast("int")).over(near))
-    merged = chained.groupBy("id", "h", "template", "label", "size", "chain").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("votes"), F.min("low").alias("first"), (F.max("high") + (GRAM - 1)).alias("last")
+    rolled = keyed.select("id", "h", F.posexplode(grams(F.col("w"))).alias("p", "g")).select("id", "h", "p", "g.gram", "g.words")
+    votes = rolled.join(F.broadcast(templates), "gram").where(F.col("words") == F.col("said")).withColumn("diagonal", F.col("p") - F.col("t"))
+    by_diagonal = votes.groupBy("id", "h", "template", "label", "size", "diagonal").agg(F.collect_set("t").alias("ts"), F.collect_set("p").alias("ps"))
+    along = W.partitionBy("id", "h", "template").orderBy("diagonal")
+    near = along.rangeBetween(0, drift)
+    merged = by_diagonal.select("id", "h", "template", "label", "size", "diagonal", F.flatten(F.collect_list("ts").over(near)).alias("ts"), F.flatten(F.collect_list("ps").over(near)).alias("ps"))
+    sized = merged.select(
+        "id", "h", "template", "label", "size", "diagonal", _covered(F.col("ts")).alias("votes"), _covered(F.col("ps")).alias("own"), F.array_min("ps").alias("first"), (F.array_max("ps") + (GRAM - 1)).alias("last")
     )
-    score = F.col("votes") / F.col("size")
-    length = F.col("last") - F.col("first") + 1
-    return merged.where((score >= coverage) & (length <= stretch * (F.col("size") + GRAM - 1))).select("id", "h", "first", "last", "label", F.least(score, F.lit(1.0)).alias("score"))
+    verified = sized.where((F.col("votes") >= coverage * F.col("size")) & (F.col("own") * stretch >= F.col("last") - F.col("first") + 1))
+    rank = F.struct("votes", -F.col("diagonal"))
+    best = verified.withColumn("best", F.max(rank).over(along.rangeBetween(-drift, drift)))
+    return best.where(rank == F.col("best")).select("id", "h", "first", "last", "label", (F.col("votes") / F.col("size")).alias("score"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
