@@ -99,7 +99,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_rotation.rotate(_table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["stop"].cast("string"))), ",")
-    return rows.select("conv_id", "perspective", "part", "n_turns", "n_own", "rendered", mask.alias("mask"))
+    return rows.select("conv_id", "perspective", "n_turns", "n_own", "rendered", mask.alias("mask"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -140,15 +140,15 @@ ORACLE = {
                           replace(coalesce(text, ''), '<|', '< |') as text from conversations),
         o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as ord from t),
         p as (select distinct conv_id, role as perspective from t where role <> 'system'),
-        s as (select o.conv_id, perspective, ord // 512 as part, ord, role = perspective as own, text || '<|im_end|>' as body,
+        s as (select o.conv_id, perspective, ord, role = perspective as own, text || '<|im_end|>' as body,
                      '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then role else 'user name=' || role end || chr(10) as head
               from o join p on o.conv_id is not distinct from p.conv_id),
-        c as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, perspective, part order by ord
+        c as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, perspective order by ord
                      rows between unbounded preceding and 1 preceding), 0) + length(head) as start from s)
-        select conv_id, perspective, cast(part as integer) as part, count(*) as n_turns, count(*) filter (own) as n_own,
+        select conv_id, perspective, count(*) as n_turns, count(*) filter (own) as n_own,
                string_agg(head || body || chr(10), '' order by ord) as rendered,
                coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(body) as bigint), ',' order by ord) filter (own), '') as mask
-        from c group by conv_id, perspective, part""",
+        from c group by conv_id, perspective""",
 }
 
 
