@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import byte_column
+from newsloom.llm.common import byte_column, free_name
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "longest_word", "upper_share", "digit_share", "bang_share", "symbol_share",
@@ -64,16 +64,16 @@ def statistics(raw: bytes) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``__statistics`` (array of doubles in the order of ``STATISTICS``) of every whole text."""
+def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "__statistics") -> DataFrame:
+    """``docs`` with a column (array of doubles in the order of ``STATISTICS``) of every whole text's statistics."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [list(statistics(raw or b"")) for raw in byte_column(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*names, "__statistics"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__statistics", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
     return docs.mapInArrow(run, schema)
 
 
@@ -149,13 +149,14 @@ class RuleModel:
     rules: list[Rule] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
 
-    def score(self) -> Column:
-        """Probability of label 1 as an expression over ``__statistics``."""
+    def score(self, statistics: str = "__statistics") -> Column:
+        """Probability of label 1 as an expression over the column of statistics."""
+        value = lambda f: F.get(F.col(f"`{statistics}`"), F.lit(f))
         z = F.lit(float(self.bias))
         for rule, weight in zip(self.rules, self.weights):
             holds = None
             for f, above, edge in rule:
-                one = F.get(F.col("__statistics"), F.lit(f)) > edge if above else F.get(F.col("__statistics"), F.lit(f)) <= edge
+                one = value(f) > edge if above else value(f) <= edge
                 holds = one if holds is None else holds & one
             z = z + F.when(holds, F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
@@ -222,4 +223,5 @@ def keep_quality(
 ) -> DataFrame:
     """The rows of ``docs``, unchanged, that ``quality_scores`` predicts to be of label 1; no join and no shuffle."""
     model = fit_quality(docs, labels, id_col, text_col, label_col, held_fold, sample_rows)
-    return with_statistics(docs, text_col).where(model.score() >= threshold).drop("__statistics")
+    name = free_name(docs, "statistics")
+    return with_statistics(docs, text_col, name).where(model.score(name) >= threshold).drop(name)
