@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from newsloom.llm.common import byte_column, scan_buckets, slices, slot, staged_by
 
 #: Bounds of a block: distinct words, and words.
-BLOCK_WORDS, BLOCK_TOKENS = 400_000, 6_000_000
-_ZSTD = pa.Codec("zstd", 1)
+BLOCK_WORDS, BLOCK_TOKENS = 600_000, 8_000_000
+_ZSTD = pa.Codec("zstd", 3)
 
 
 def squeeze(data: bytes) -> bytes:
@@ -67,13 +67,21 @@ def placed(data: bytes) -> np.ndarray:
     return np.frombuffer(unsqueeze(data), "<u4")
 
 
-def codes_to(codes: np.ndarray) -> bytes:
-    """Codes below 2^24 as their low, middle and high bytes."""
-    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+_PLANES = ("low", "middle", "high")
 
 
-def codes_of(raw: bytes) -> np.ndarray:
-    low, middle, high = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.uint32)
+def codes_to(rows: list[np.ndarray]) -> pa.StructArray:
+    """Codes below 2^24 as their low, middle and high bytes, each in a column of its own."""
+    planes = [[], [], []]
+    for codes in rows:
+        of = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        for plane, one in zip(planes, of):
+            plane.append(one.tobytes())
+    return pa.StructArray.from_arrays([pa.array(p, pa.binary()) for p in planes], _PLANES)
+
+
+def codes_of(row: dict[str, bytes]) -> np.ndarray:
+    low, middle, high = (np.frombuffer(row[plane], np.uint8).astype(np.uint32) for plane in _PLANES)
     return low | middle << 8 | high << 16
 
 
@@ -112,8 +120,9 @@ def coded(
     names = [f.name for f in carried]
     buckets = scan_buckets(docs)
     owners = 4 * buckets
-    schema = T.StructType([T.StructField("block", T.IntegerType()), *carried, *T._parse_datatype_string("codes binary, size long, owner int, places binary, words binary, learnt binary").fields])
+    schema = T.StructType([T.StructField("block", T.IntegerType()), *carried, *T._parse_datatype_string("codes struct<low:binary,middle:binary,high:binary>, size long, owner int, places binary, words binary, learnt binary").fields])
     learnt_at = names.index(learn) if learn else None
+    codes_type = pa.struct([(plane, pa.binary()) for plane in _PLANES])
     said_types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
     if block_words + block_tokens >= 1 << 24:
         raise ValueError("codes have 24 bits")
@@ -124,7 +133,7 @@ def coded(
 
         def row_batch(block: int, n: int, columns: list[pa.Array], codes=None, message=None) -> pa.RecordBatch:
             said = [pa.array(c, t) for c, t in zip(message, said_types)] if message else [pa.nulls(n, t) for t in said_types]
-            found = [pa.array([codes_to(c) for c in codes], pa.binary()), pa.array(list(map(len, codes)), pa.int64())] if codes is not None else [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
+            found = [codes_to(codes), pa.array(list(map(len, codes)), pa.int64())] if codes is not None else [pa.nulls(n, codes_type), pa.nulls(n, pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), *columns, *found, *said], names=schema.names)
 
         def out() -> Iterator[pa.RecordBatch]:

@@ -1,32 +1,27 @@
 """SentencePiece encoding and decoding through a table of distinct marked words.
 
 In a model whose pieces carry the whitespace marker only at their front, no merge joins the end of one word to the
-marker of the next, so every maximal run "markers + following characters" (a chunk) is segmented alone. The corpus is
-counted into a table of its distinct chunks, each is segmented and decoded once, and the ids and surfaces are joined
-back by position. Chunks are kept without their first marker and with spaces for further ones, which is exactly the
-text that the library turns back into the chunk.
-
-The table goes to every task, so its size has a proven bound: ``table_rows`` rows of chunks of at most
-``chunk_bytes`` bytes, the most frequent first (whole frequency classes). Rarer or longer chunks are segmented where
-they stand by the same function, with a memo of bounded size; no chunk is left out and no text is shuffled.
+marker of the next, so every maximal run "markers + following characters" (a chunk) is segmented alone. Texts become
+codes of chunks, block by block; the table of the corpus' distinct chunks is dealt by hash, each is segmented and decoded
+there once, whatever their number or length, and ids (and surfaces that differ from the chunk) are joined back by
+position in their block. Chunks are
+kept without their first marker and with spaces for further ones, which is exactly the text that the library turns
+back into the chunk.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import byte_column, slices, staged
+from newsloom.llm.blocks import BLOCK_TOKENS, BLOCK_WORDS, coded, codes_of, met, numbering, numbers, pack, placed, places, unpack
 
 MARK = "▁".encode()
-#: Most distinct chunks a counting task holds before it hands them on.
-_HELD = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -72,108 +67,85 @@ def chunk_keys(raw: bytes) -> list[bytes]:
     return out
 
 
-def segment(sp, key: bytes) -> tuple[bytes, bytes]:
-    """Ids (little-endian unsigned 32-bit) and decoded bytes of one chunk."""
-    text = key.decode()
-    ids = sp.encode(text) if text else [sp.piece_to_id("▁")]
-    return np.asarray(ids, dtype="<u4").tobytes(), sp.decode(ids).encode()
+def segment(sp, keys: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Ids (little-endian unsigned 16-bit) and decoded bytes of every chunk."""
+    alone = [sp.piece_to_id("▁")]
+    ids = [found or alone for found in sp.encode([key.decode() for key in keys], num_threads=1)]
+    return [np.asarray(found, "<u2").tobytes() for found in ids], [text.encode() for text in sp.decode(ids, num_threads=1)]
 
 
-class _Table(dict):
-    """The chunk table; segments what it lacks and remembers a bounded number of short chunks."""
+def segment_table(messages: DataFrame, model: bytes, batch: int = 10_000) -> DataFrame:
+    """The distinct chunks' table, answered to the blocks: ``(block, owner, ids, odd, surfaces, made)``.
 
-    def __init__(self, rows, sp, room: int, longest: int):
-        super().__init__(rows)
-        self.sp, self.most, self.longest = sp, len(self) + room, longest
-
-    def __missing__(self, key: bytes):
-        found = segment(self.sp, key)
-        if len(self) < self.most and len(key) <= self.longest:
-            self[key] = found
-        return found
-
-
-def chunk_counts(docs: DataFrame, text_col: str = "text", chunk_bytes: int = 64) -> DataFrame:
-    """``(chunk binary, n)`` over the whole corpus, for chunks of at most ``chunk_bytes`` bytes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            keys = [k for k in held if len(k) <= chunk_bytes]
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([held[k] for k in part], pa.int64())], names=["chunk", "n"])
-            held.clear()
-
-        for batch in batches:
-            for raw in byte_column(batch, "text"):
-                if raw:
-                    held.update(chunk_keys(raw))
-                    if len(held) > _HELD:
-                        yield from out()
-        yield from out()
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "chunk binary, n long")
-    return rows.groupBy("chunk").agg(F.sum("n").alias("n"))
-
-
-def chunk_table(counts: DataFrame, model: bytes, table_rows: int = 262_144) -> DataFrame:
-    """The most frequent chunks with ids and surface: ``(chunk, n, ids binary, surface binary)``.
-
-    Whole frequency classes (eighths of a power of two) are taken from the top while at most ``table_rows`` chunks
-    come together; chunks seen once are left to the tasks, as a table saves nothing for them.
+    ``surfaces`` are only those of the message's chunks numbered ``odd``, which are not decoded to themselves. ``made``
+    counts the chunks that an owner segmented (on the first of its replies), so its sum is the table's size.
     """
-    level = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(((r["level"], r["count"]) for r in counts.where("n > 1").groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, total = None, 0
-    for at, n in sizes:
-        if total + n > table_rows:
-            break
-        least, total = at, total + n
-    chosen = counts.where("n > 1").where(level >= F.lit(least) if least is not None else F.lit(False))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(model)
-        for batch in batches:
-            made = [segment(sp, key) for key in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
-                names=["chunk", "n", "ids", "surface"],
-            )
-
-    return chosen.mapInArrow(encode, "chunk binary, n long, ids binary, surface binary")
+
+    def run(asked: pa.Table) -> pa.Table:
+        index = numbering()
+        wanted = [numbers(index, unpack(m)) for m in asked["words"].to_pylist()]
+        keys, ids, surfaces = list(index), [], []
+        for at in range(0, len(keys), batch):
+            some = segment(_processor(model), keys[at : at + batch])
+            ids += some[0]
+            surfaces += some[1]
+        is_odd = np.fromiter((k != s for k, s in zip(keys, surfaces)), bool, len(keys))
+        odd = [np.flatnonzero(is_odd[want]) for want in wanted]
+        binary = lambda parts: pa.array(list(parts), pa.binary())
+        return pa.table({
+            "block": asked["block"], "owner": asked["owner"], "ids": binary(pack([ids[i] for i in want.tolist()]) for want in wanted),
+            "odd": binary(map(places, odd)), "surfaces": binary(pack([surfaces[i] for i in want[o].tolist()]) for want, o in zip(wanted, odd)),
+            "made": pa.array([len(keys)] + [0] * (len(wanted) - 1), pa.int64()),
+        })
+
+    schema = "block int, owner int, ids binary, odd binary, surfaces binary, made long"
+    return messages.select("block", "owner", "words").groupBy("owner").applyInArrow(run, schema)
 
 
 def encode_documents(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 262_144, chunk_bytes: int = 64
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
     """Encode every whole text with begin and end ids, and decode it again.
 
     Returns one row per input row: the id column, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded``.
     A null text counts as empty (begin and end only, decoded to ''); null ids stay null; repeated rows give repeated
-    results; other columns, whatever their names, are not read. An empty table gives an empty result.
+    results; other columns, whatever their names, are not read. An empty table gives an empty result. ``block_words``
+    and ``block_tokens`` bound what a task holds, not what is done.
     """
     model = read_model(model_path)
     check_model(model)
-    spark = docs.sparkSession
-    counts = staged(chunk_counts(docs, text_col, chunk_bytes), "chunks")
-    rows = staged(chunk_table(counts, model, table_rows), "chunk-table").select("chunk", "ids", "surface").toArrow().to_pydict()
-    table = spark.sparkContext.broadcast((rows["chunk"], rows["ids"], rows["surface"]))
     sp = _processor(model)
+    if sp.get_piece_size() > 1 << 16:
+        raise ValueError("ids are exchanged in 16 bits")
+    texts = coded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chunk_keys, "chunks", block_words=block_words, block_tokens=block_tokens)
+    replies = segment_table(texts.messages, model).drop("made")
     begin, end = (np.asarray([i], dtype="<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
 
-    def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, surfaces = table.value
-        look = _Table(zip(keys, zip(ids, surfaces)), _processor(model), 100_000, chunk_bytes)
-        for whole in batches:
-            for batch in slices(whole, 500):
-                all_ids, texts = [], []
-                for raw in byte_column(batch, "text"):
-                    found = list(map(look.__getitem__, chunk_keys(raw or b"")))
-                    all_ids.append(begin + b"".join([f[0] for f in found]) + end)
-                    texts.append(b" ".join([f[1] for f in found]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], names=[id_col, "ids", "decoded"])
+    def join_back(rows: pa.Table, said: pa.Table) -> pa.Table:
+        listed = rows.filter(pc.is_valid(rows["owner"]))
+        rows = rows.filter(pc.is_null(rows["owner"]))
+        own = {row["owner"]: row for row in listed.select(["owner", "places", "words"]).to_pylist()}
+        ids: list[bytes] = []
+        surfaces: list[bytes] = []
+        codes: list[np.ndarray] = []
+        for reply in said.to_pylist():
+            mine = own[reply["owner"]]
+            codes.append(placed(mine["places"]))
+            ids += unpack(reply["ids"])
+            found = unpack(mine["words"])
+            for at, surface in zip(placed(reply["odd"]).tolist(), unpack(reply["surfaces"])):
+                found[at] = surface
+            surfaces += found
+        where = np.empty(len(ids), np.int64)
+        if codes:
+            where[np.concatenate(codes)] = np.arange(len(ids))
+        all_ids, decoded = [], []
+        for raw in rows["codes"].to_pylist():
+            at = where[codes_of(raw)].tolist()
+            all_ids.append(begin + np.frombuffer(b"".join([ids[i] for i in at]), "<u2").astype("<u4").tobytes() + end)
+            decoded.append(b" ".join([surfaces[i] for i in at]))
+        return pa.table({id_col: rows["id"], "ids": pa.array(all_ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(join_back, f"`{id_col}` {kind}, ids binary, decoded string")
+    # a block's own words lie beside its codes, so only ids travel back
+    return met(texts.table.select("block", "id", "codes", "owner", "places", "words"), replies, join_back, f"`{id_col}` {kind}, ids binary, decoded string")
