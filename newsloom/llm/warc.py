@@ -2,7 +2,8 @@
 
 ARC (version 1 and 2) announces its record line in a version block; each record is one such line and then exactly the
 declared number of bytes. The converter parses both versions and makes up what WARC asks for and ARC lacks: record
-identifiers, ISO timestamps, record types and digests. Archives are rows ``(archive, content)`` of a table, content
+identifiers, ISO timestamps, record types and digests. Records that cannot be read are reported and the rest goes on.
+Archives are rows ``(archive, content)`` of a table, content
 being the file's bytes with a gzip member per record, so they live wherever Spark can write; ``export_archives`` writes
 them as files.
 """
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import byte_column, staged
+from newsloom.llm.common import byte_column, join_hot, staged
 
 #: The field names of ARC record lines, by version (fixed by the format).
 ARC_FIELDS = {
@@ -42,12 +43,31 @@ def _member(data: bytes, level: int = 1) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def unzipped(content: bytes) -> Iterator[bytes]:
-    """The gzip members of an archive, one record each; members after a broken one are not looked for."""
+_GZIP = b"\x1f\x8b\x08"
+
+
+def unzipped(content: bytes) -> Iterator[bytes | zlib.error]:
+    """The gzip members of an archive, or all of one that is not compressed.
+
+    A broken member is given as the error it made; the next one is looked for behind it.
+    """
+    if not content.startswith(_GZIP):
+        if content:
+            yield content
+        return
     while content:
         z = zlib.decompressobj(31)
-        yield z.decompress(content) + z.flush()
-        content = z.unused_data
+        try:
+            yield z.decompress(content) + z.flush()
+            if not z.eof:
+                yield zlib.error("a gzip member is cut off")
+            content = z.unused_data
+            if content and not content.startswith(_GZIP):
+                raise zlib.error("no gzip member follows")
+        except zlib.error as error:
+            yield error
+            at = content.find(_GZIP, 1)
+            content = content[at:] if at >= 0 else b""
 
 
 def http_message(payload: bytes, page_id: int | None) -> bytes:
@@ -84,37 +104,80 @@ class ArcRecord:
     body: bytes
 
 
-def parse_arc(content: bytes) -> Iterator[ArcRecord]:
+@dataclass
+class BadRecord:
+    """What cannot be read of an archive: where (in its content without compression), and why."""
+
+    at: int
+    reason: str
+
+
+#: A record line: a URL, an address, a date, what the version has besides, and the length.
+_LINE = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*:[^\n]* [0-9A-Fa-f.:]+ \d{4,14} [^\n]*\d+\r?\n")
+
+
+def record_line(line: bytes, names: tuple[str, ...]) -> dict[str, str]:
+    """The fields of a record line. Only the URL in front may hold blanks, so the line is split from the right."""
+    found = line.decode("latin-1").rstrip("\r").rsplit(" ", len(names) - 1)
+    if len(found) != len(names):
+        raise ValueError(f"ARC record line has {len(found)} fields, not {len(names)}")
+    if not found[-1].isdecimal():
+        raise ValueError(f"ARC record declares no length but {found[-1][:40]!r}")
+    return dict(zip(names, found))
+
+
+def arc_version(body: bytes) -> tuple[str, ...]:
+    """The field names that the body of a version block announces."""
+    first, _, rest = body.partition(b"\n")
+    version = first.split(b" ", 1)[0]
+    names = ARC_FIELDS.get(int(version)) if version.isdigit() else None
+    if names is None:
+        raise ValueError(f"ARC version {version[:20]!r} is not known")
+    if tuple(rest.split(b"\n")[0].decode("latin-1").split()) != names:
+        raise ValueError(f"ARC version {int(version)} block names other fields")
+    return names
+
+
+def parse_arc(content: bytes) -> Iterator[ArcRecord | BadRecord]:
     """The records of an archive after its version block, which says how their lines are to be read.
 
-    A record ends where its declared length says, whatever its bytes are. Raises ValueError on a line that does not
-    fit the version or a length that does not fit the archive.
+    Archives may be compressed by record, as a whole, or not at all. A record ends where its declared length says,
+    whatever its bytes are. What does not fit is reported as a ``BadRecord``, and reading goes on with the next gzip
+    member or the next line that looks like a record's. Without a version block nothing can be read.
     """
     names: tuple[str, ...] | None = None
+    before = 0
     for data in unzipped(content):
+        if isinstance(data, zlib.error):
+            yield BadRecord(before, str(data))
+            continue
         at = 0
         while at < len(data):
-            if data[at : at + 1] == b"\n":
+            if data[at : at + 1] in (b"\n", b"\r"):
                 at += 1
                 continue
-            end = data.index(b"\n", at)
-            line = data[at:end].decode("latin-1").split(" ")
-            known = names or ARC_FIELDS[1 if len(line) == len(ARC_FIELDS[1]) else 2]
-            if len(line) != len(known):
-                raise ValueError(f"ARC record line has {len(line)} fields, not {len(known)}")
-            fields = dict(zip(known, line))
-            size = int(fields["Archive-length"])
-            body = data[end + 1 : end + 1 + size]
-            if len(body) != size:
-                raise ValueError(f"ARC record declares {size} bytes, {len(body)} are left")
-            at = end + 1 + size
-            if names is None:
-                version = int(body.split(b" ", 1)[0])
-                names = ARC_FIELDS[version]
-                if tuple(body.split(b"\n")[1].decode().split(" ")) != names:
-                    raise ValueError(f"ARC version {version} block names other fields")
-                continue
-            yield ArcRecord(fields, body)
+            end = data.find(b"\n", at)
+            try:
+                if end < 0:
+                    raise ValueError("ARC record line does not end")
+                # both versions' lines end in the length, which is all that is needed of the first one
+                fields = record_line(data[at:end], names or ("line", "Archive-length"))
+                size = int(fields["Archive-length"])
+                body = data[end + 1 : end + 1 + size]
+                if len(body) != size:
+                    raise ValueError(f"ARC record declares {size} bytes, {len(body)} are left")
+                if names is None:
+                    names = arc_version(body)
+                else:
+                    yield ArcRecord(fields, body)
+                at = end + 1 + size
+            except ValueError as error:
+                yield BadRecord(before + at, str(error))
+                if names is None:
+                    return
+                found = _LINE.search(data, max(at + 1, end))
+                at = found.start() if found else len(data)
+        before += len(data)
 
 
 # --- WARC --------------------------------------------------------------------------------------------------------
@@ -126,8 +189,10 @@ def warc_time(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(archive: str, index: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{archive}/{index}')}>"
+def record_id(archive: str, index: int, record: ArcRecord | None = None) -> str:
+    """An identifier of its own for everything that differs in place, address, date or content."""
+    said = "" if record is None else " ".join([*record.fields.values(), hashlib.sha1(record.body).hexdigest()])
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{archive}/{index} {said}')}>"
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -135,13 +200,13 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def convert_record(record: ArcRecord, archive: str, index: int, original: tuple[str, int, int | None] | None) -> bytes:
-    """A WARC response record, or a revisit of ``original`` (archive, index, page id) that leaves the payload out."""
+def convert_record(record: ArcRecord, archive: str, index: int, original: dict | None) -> bytes:
+    """A WARC response record, or a revisit of ``original`` (record, uri, date, page) that leaves the payload out."""
     http, payload = split_http(record.body)
     head = record.body[: len(record.body) - len(payload)]
     headers = [
         ("WARC-Type", "revisit" if original else "response"),
-        ("WARC-Record-ID", record_id(archive, index)),
+        ("WARC-Record-ID", record_id(archive, index, record)),
         ("WARC-Date", warc_time(record.fields["Archive-date"])),
         ("WARC-Target-URI", record.fields["URL"]),
         ("WARC-IP-Address", record.fields["IP-address"]),
@@ -153,8 +218,10 @@ def convert_record(record: ArcRecord, archive: str, index: int, original: tuple[
         block = head
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(original[0], original[1])),
-            ("X-Refers-To-Page", "" if original[2] is None else str(original[2])),
+            ("WARC-Refers-To", original["record"]),
+            ("WARC-Refers-To-Target-URI", original["uri"]),
+            ("WARC-Refers-To-Date", original["date"]),
+            ("X-Refers-To-Page", "" if original["page"] is None else str(original["page"])),
         ]
     headers.append(("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"))
     return warc_record(headers, block)
@@ -168,6 +235,8 @@ def warcinfo(archive: str, source: str) -> bytes:
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """``(headers with lower-case names, block)`` of every record; raises on a bad version line, length or digest."""
     for data in unzipped(content):
+        if isinstance(data, zlib.error):
+            raise ValueError(f"not a WARC archive: {data}")
         at = 0
         while at < len(data):
             end = data.index(b"\r\n\r\n", at)
@@ -220,45 +289,62 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def arc_payloads(arcs: DataFrame) -> DataFrame:
-    """``(archive, idx, page_id, size, digest)`` of every ARC record."""
+    """``(archive, idx, page_id, size, digest, record, uri, date, bad)`` of every ARC record.
+
+    ``bad`` says why a record cannot be read, and ``idx`` then where it lies; it is null for all others.
+    """
+    names = ["archive", "idx", "page_id", "size", "digest", "record", "uri", "date", "bad"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                for i, record in enumerate(parse_arc(content)):
+                rows, i = [], 0
+                for record in parse_arc(content):
+                    if isinstance(record, BadRecord):
+                        rows.append((archive, record.at, *[None] * 6, record.reason))
+                        continue
                     http, payload = split_http(record.body)
-                    rows.append((archive, i, int(http["x-page-id"]) if http.get("x-page-id") else None, len(payload), hashlib.sha1(payload).hexdigest()))
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["archive", "idx", "page_id", "size", "digest"])
+                    rows.append((
+                        archive, i, number(http.get("x-page-id")), len(payload), hashlib.sha1(payload).hexdigest(),
+                        record_id(warc_name(archive), i, record), record.fields["URL"], warc_time(record.fields["Archive-date"]), None,
+                    ))
+                    i += 1
+                cols = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
+
+    return arcs.mapInArrow(run, "archive string, idx long, page_id long, size long, digest string, record string, uri string, date string, bad string")
+
 
-    return arcs.mapInArrow(run, "archive string, idx int, page_id long, size long, digest string")
+def number(value: str | None) -> int | None:
+    return int(value) if value and value.lstrip("-").isdecimal() else None
 
 
 def revisits(payloads: DataFrame, least: int = 1000) -> DataFrame:
-    """Per archive, which of its records revisit which other: ``(archive, refers array<struct<idx, to_archive, to_idx, to_page>>)``.
+    """Per archive, which of its records revisit which other: ``(archive, refers array<struct<idx, record, uri, date, page>>)``.
 
     Of equal payloads of at least ``least`` bytes the largest page id is the response (ties: the last archive and
-    place); groups are aggregated before any join, and joined as one row each.
+    place); groups are aggregated before any join, and joined as one row each, those of very many payloads apart.
     """
-    big = payloads.where(F.col("size") >= least)
-    groups = big.groupBy("digest", "size").agg(F.max(F.struct("page_id", "archive", "idx")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = big.join(groups, ["digest", "size"]).where((F.col("archive") != F.col("o.archive")) | (F.col("idx") != F.col("o.idx")))
-    refer = F.struct("idx", F.col("o.archive").alias("to_archive"), F.col("o.idx").alias("to_idx"), F.col("o.page_id").alias("to_page"))
+    big = payloads.where((F.col("size") >= least) & F.col("bad").isNull())
+    original = F.struct("page_id", "archive", "idx", "record", "uri", "date")
+    groups = staged(big.groupBy("digest").agg(F.max(original).alias("o"), F.count("*").alias("n")).where("n > 1"), "originals")
+    hits = join_hot(big.select("archive", "idx", "digest"), groups, "digest", payloads.count()).where((F.col("archive") != F.col("o.archive")) | (F.col("idx") != F.col("o.idx")))
+    refer = F.struct("idx", "o.record", "o.uri", "o.date", F.col("o.page_id").alias("page"))
     return hits.groupBy("archive").agg(F.collect_list(refer).alias("refers"))
 
 
 def convert_arcs(arcs: DataFrame, refers: DataFrame) -> DataFrame:
-    """ARC archives to WARC archives, one for one."""
+    """ARC archives to WARC archives, one for one; records that cannot be read are left to ``arc_payloads``' report."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content, refer in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                to = {r["idx"]: (warc_name(r["to_archive"]), r["to_idx"], r["to_page"]) for r in refer or ()}
+                to = {r["idx"]: r for r in refer or ()}
                 name = warc_name(archive)
                 out = io.BytesIO()
                 out.write(_member(warcinfo(name, archive)))
-                for i, record in enumerate(parse_arc(content)):
+                for i, record in enumerate(r for r in parse_arc(content) if isinstance(r, ArcRecord)):
                     out.write(_member(convert_record(record, name, i, to.get(i))))
                 yield _archives([(name, out.getvalue())])
 
@@ -290,10 +376,9 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
                     digest = headers["warc-payload-digest"].partition(":")[2]
                     if kind == "response" and digest != hashlib.sha1(payload).hexdigest():
                         raise ValueError("payload does not match its digest")
-                    number = lambda v: int(v) if v else None
                     rows.append((
                         number(http.get("x-page-id")), headers.get("warc-target-uri"), headers["warc-record-id"], kind, headers["warc-date"],
-                        int(http["content-length"]), digest, number(headers.get("x-refers-to-page")), payload if kind == "response" else None,
+                        len(payload) if kind == "response" else number(http.get("content-length")), digest, number(headers.get("x-refers-to-page")), payload if kind == "response" else None,
                     ))
                 for at in range(0, len(rows), 100):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at : at + 100]), types)], names=names)

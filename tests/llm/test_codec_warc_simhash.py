@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from newsloom.llm import simhash, warc
+from newsloom.llm.blocks import coded, pack, unpack
 from newsloom.llm.queries import codec_digest, op2_warc, op3_simhash, tokenizer_path
-from newsloom.llm.sentencepiece_codec import _processor, check_model, chunk_keys, encode_documents, read_model, segment
+from newsloom.llm.sentencepiece_codec import _processor, check_model, chunk_keys, encode_documents, read_model, segment, segment_table
 
 ODD = ["", " ", "  a  b ", "a\tb\nc", "▁x ▁▁ y", "ﬁ Å① \x00 z", "   ", "x" * 5000, "word " * 3000, "ééé ñ", "\n\n", "🙂🙂 🙂", "<s> </s> <0x0A> <unk>", "a ▁", "▁", " ▁ "]
 
@@ -23,8 +24,8 @@ def test_codec_equals_library(spark, sf):
     rows = [(i, t, "clash") for i, t in enumerate([*ODD, None, ODD[2], ODD[2]])] + [(None, "null id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     sp = _processor(read_model(tokenizer_path()))
-    for small in (10, 262_144):
-        got = {r[0]: tuple(r[1:]) for r in codec_digest(encode_documents(docs, tokenizer_path(), table_rows=small)).collect()}
+    for small in (1, 3, 400_000):
+        got = {r[0]: tuple(r[1:]) for r in codec_digest(encode_documents(docs, tokenizer_path(), block_words=small)).collect()}
         assert got == {i: brute(sp, t) for i, t, _ in rows}
     corpus = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r[0]: tuple(r[1:]) for r in codec_digest(encode_documents(corpus, tokenizer_path())).collect()}
@@ -41,10 +42,25 @@ def test_chunks_join_to_the_whole(text):
     model = read_model(tokenizer_path())
     check_model(model)
     sp = _processor(model)
-    found = [segment(sp, k) for k in chunk_keys(text.encode())]
+    found, surfaces = segment(sp, chunk_keys(text.encode()))
     ids = sp.encode(text)
-    assert b"".join(f[0] for f in found) == np.asarray(ids, "<u4").tobytes()
-    assert b" ".join(f[1] for f in found).decode() == sp.decode(ids)
+    assert b"".join(found) == np.asarray(ids, "<u2").tobytes()
+    assert b" ".join(surfaces).decode() == sp.decode(ids)
+
+
+@pytest.mark.parametrize("words", [50, 400_000])
+def test_every_distinct_chunk_is_segmented_once(spark, words):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(5)
+    model = read_model(tokenizer_path())
+    messages = coded(docs.select("doc_id", "text"), chunk_keys, "probe", block_words=words).messages
+    distinct = {k for r in docs.collect() for k in chunk_keys((r.text or "").encode())}
+    assert segment_table(messages, model).agg({"made": "sum"}).first()[0] == len(distinct)
+    assert messages.select("block").distinct().count() >= (5 if words > 50 else 100)
+
+
+@given(st.lists(st.binary(max_size=12), max_size=30))
+def test_packed_words_round_trip(words):
+    assert unpack(pack(words)) == words
 
 
 def brute_pages(pages):
@@ -94,8 +110,80 @@ def test_arc_parses_declared_lengths(version):
     data = warc.arc_version_block(version, "f", "20240101000000") + warc.arc_record(version, "http://u", "2023", body, "f", 0) * 2
     assert [r.body for r in warc.parse_arc(warc._member(data))] == [body, body]
     assert warc.warc_time("2023") == "2023-01-01T00:00:00Z"
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(warc._member(data[:-10])))
+    good, bad = warc.parse_arc(warc._member(data[:-10]))
+    assert good.body == body and "are left" in bad.reason
+
+
+#: Archives as other writers made them: not compressed, a blank in a URL, an address of a version 2 line with more fields.
+ARC_1 = b"""filedesc://IA-001102.arc 0.0.0.0 19960923142103 text/plain 76
+1 0 Alexa Internet
+URL IP-address Archive-date Content-type Archive-length
+
+http://www.example.com:80/some file.html 207.241.224.241 19961104142103 text/html 61
+HTTP/1.0 200 Document follows
+Content-Type: text/html
+
+hello
+
+dns:www.example.com 207.241.224.241 19961104142104 text/dns 5
+A 1 2
+"""
+ARC_2 = b"""filedesc://IA-2.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 IA-2.arc 122
+2 0 Alexa Internet
+URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length
+
+http://b.example/ 10.0.0.1 2001 text/html 200 fac069150613fe55599cc7fa88aa089d - 209 IA-2.arc 18
+HTTP/1.0 200 OK
+
+x
+"""
+
+
+def test_arcs_of_other_writers():
+    first, second = warc.parse_arc(ARC_1)
+    assert first.fields["URL"] == "http://www.example.com:80/some file.html" and first.body.endswith(b"hello\n")
+    assert second.fields["URL"] == "dns:www.example.com" and second.body == b"A 1 2"
+    (only,) = warc.parse_arc(ARC_2)
+    assert only.fields["Result-code"] == "200" and only.fields["Filename"] == "IA-2.arc" and only.body == b"HTTP/1.0 200 OK\n\nx"
+    assert warc.warc_time(only.fields["Archive-date"]) == "2001-01-01T00:00:00Z"
+    whole = [warc._member(ARC_1), *warc.unzipped(b"")]
+    assert [r.body for r in warc.parse_arc(whole[0])] == [first.body, second.body]
+
+
+def test_bad_records_are_reported_and_the_rest_goes_on(spark):
+    broken = ARC_1.replace(b"text/html 61", b"text/html 6100")
+    kinds = [type(r).__name__ for r in warc.parse_arc(broken)]
+    assert kinds == ["BadRecord", "ArcRecord"]
+    assert [type(r).__name__ for r in warc.parse_arc(b"no archive at all\n")] == ["BadRecord"]
+    assert list(warc.parse_arc(b"")) == []
+    name, rows = "x.arc.gz", [warc.arc_version_block(1, "x", "2020")] + [warc.arc_record(1, "http://u/", "2020", warc.http_message(b"p" * 1000, i), "x", 0) for i in range(4)]
+    members = [warc._member(r) for r in rows]
+    members[2] = members[2][:40] + b"\x00" * 30
+    arcs = spark.createDataFrame([(name, bytearray(b"".join(members))), ("plain.arc", bytearray(ARC_1)), ("bad.arc", bytearray(b"\x1f\x8b\x08 zip"))], warc.ARCHIVES)
+    payloads = warc.arc_payloads(arcs)
+    assert {(r.archive, r.idx) for r in payloads.where("bad is null").collect()} == {(name, 0), (name, 1), (name, 2), ("plain.arc", 0), ("plain.arc", 1)}
+    assert {r.archive for r in payloads.where("bad is not null").collect()} == {name, "bad.arc"}
+    got = warc.read_warcs(warc.convert_arcs(arcs, warc.revisits(payloads))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id is not None) == [(0, "revisit", 3), (2, "revisit", 3), (3, "response", None)]
+    assert len(got) == 5 and len({r.record_id for r in got}) == 5
+
+
+def test_record_identifiers_differ_between_tables(spark):
+    ids = set()
+    for word in ("one", "two"):
+        pages = spark.createDataFrame([(i, f"http://{word}/{i}", f"{word} {i}") for i in range(20)], "page_id long, url string, html string").repartition(2)
+        ids |= {r.record_id for r in warc.read_warcs(warc.archive_pages(pages)).collect()}
+    assert len(ids) == 40
+
+
+def test_revisits_name_what_they_revisit(spark):
+    same = spark.createDataFrame([(i, f"http://u/{i}", "x" * 1000) for i in range(3)], "page_id long, url string, html string")
+    (row,) = warc.archive_pages(same).collect() if same.rdd.getNumPartitions() == 1 else [r for r in warc.archive_pages(same.coalesce(1)).collect()]
+    heads = [h for h, _ in warc.parse_warc(bytes(row.content))]
+    response = [h for h in heads if h["warc-type"] == "response"][0]
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            assert h["warc-refers-to"] == response["warc-record-id"] and h["warc-refers-to-target-uri"] == "http://u/2" and h["warc-refers-to-date"] == response["warc-date"]
 
 
 def brute_fp(text):
