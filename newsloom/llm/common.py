@@ -96,6 +96,12 @@ def staged_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _delete(found: Staged) -> None:
     while found:
         ref, path, name = found.pop()
@@ -103,8 +109,7 @@ def _delete(found: Staged) -> None:
         try:
             if name:
                 spark.sql(f"drop table if exists {name}")
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove_folder(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: nothing can be deleted through it
             continue
 

@@ -9,6 +9,8 @@ secret, strong or weak, complements both.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ENDPOINT = r"(?:[a-z][a-z0-9+.-]{1,15}://|(?<![A-Za-z0-9@.-])(?:api|db|s3|smtp|ftp|vault)\.)[A-Za-z0-9./_:@-]{4,}+"
 
 NAMED = r"""(?i)(?<![a-z0-9])(?:user(?:_?name)?|login|account(?:_?(?:name|id))?|client_?id|(?:access_?)?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
+#: What a text with a name or an endpoint has in it.
+NAMED_WORDS, ENDPOINT_MARKS = ("user", "login", "account", "client", "key"), ("://", "api.", "db.", "s3.", "smtp.", "ftp.", "vault.")
 _RUN = r"[A-Za-z0-9+/_-]{20}"
 
 #: Kinds in the order of a report.
@@ -75,21 +79,25 @@ def _only_if(test: Column, spans: Column) -> Column:
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, h, assign, access, hex, token, endpoint, named)``: the spans of every part of every whole text."""
+    """``(id, h, assign, access, hex, token, endpoint, named)``: the spans of the parts of every whole text.
+
+    Strong parts are looked for everywhere, weak ones where the text has letters of a complement.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     text, low = F.col("text"), F.lower("text")
-    named = low.contains(ASSIGN_WORDS[0])
-    for word in ASSIGN_WORDS[1:]:
-        named = named | low.contains(word)
+    has = lambda c, words: reduce(lambda a, b: a | b, map(c.contains, words))
+    named, access, run = has(low, ASSIGN_WORDS), text.contains("AKIA"), text.rlike(_RUN)
+    may_name, may_end = has(low, NAMED_WORDS), has(text, ENDPOINT_MARKS)
+    secret = named | text.rlike(HEX) | run
     mixed = lambda t: t.rlike("[0-9]") & t.rlike("[a-z]") & t.rlike("[A-Z]")
     return rows.select(
         "id", "h",
         _only_if(named, find_all(text, ASSIGN, 0, lambda t: F.length(t) >= 12, group=2)).alias("assign"),
-        _only_if(text.contains("AKIA"), find_all(text, ACCESS, 1)).alias("access"),
+        _only_if(access, find_all(text, ACCESS, 1)).alias("access"),
         _only_if(text.rlike(HEX), find_all(text, HEX, 2)).alias("hex"),
-        _only_if(text.rlike(_RUN), find_all(text, TOKEN, 3, mixed)).alias("token"),
-        _only_if(text.rlike(ENDPOINT), find_all(text, ENDPOINT, 4)).alias("endpoint"),
-        _only_if(text.rlike(NAMED), find_all(text, NAMED, 5)).alias("named"),
+        _only_if((access | may_name | may_end) & run, find_all(text, TOKEN, 3, mixed)).alias("token"),
+        _only_if(may_end & secret & text.rlike(ENDPOINT), find_all(text, ENDPOINT, 4)).alias("endpoint"),
+        _only_if(may_name & secret & text.rlike(NAMED), find_all(text, NAMED, 5)).alias("named"),
     )
 
 
