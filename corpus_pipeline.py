@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm.common import release_staged, shared_folder
+from newsloom.llm.common import remove_folder, shared_folder, staging
 from newsloom.llm.decontaminate import drop_contaminated
 from newsloom.llm.exact_dedup import drop_exact
 from newsloom.llm.quality_rules import keep_quality
@@ -57,11 +57,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
+    """All stages over the documents table, each written to the shared folder and read again; the last one's output stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        release_staged()
+        with staging():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what a stage has read is not needed once it has written
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
