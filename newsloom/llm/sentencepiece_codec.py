@@ -124,6 +124,7 @@ def encode_documents(
     def join_back(rows: pa.Table, said: pa.Table) -> pa.Table:
         listed = rows.filter(pc.is_valid(rows["owner"]))
         rows = rows.filter(pc.is_null(rows["owner"]))
+        id_at, codes_at = rows.column_names.index("id"), rows.column_names.index("codes")
         own = {row["owner"]: row for row in listed.select(["owner", "places", "words"]).to_pylist()}
         ids: list[bytes] = []
         surfaces: list[bytes] = []
@@ -139,12 +140,16 @@ def encode_documents(
         where = np.empty(len(ids), np.int64)
         if codes:
             where[np.concatenate(codes)] = np.arange(len(ids))
-        all_ids, decoded = [], []
-        for raw in rows["codes"].to_pylist():
-            at = where[codes_of(raw)].tolist()
-            all_ids.append(begin + np.frombuffer(b"".join([ids[i] for i in at]), "<u2").astype("<u4").tobytes() + end)
-            decoded.append(b" ".join([surfaces[i] for i in at]))
-        return pa.table({id_col: rows["id"], "ids": pa.array(all_ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())})
+        out = []
+        for some in rows.to_batches(max_chunksize=200):  # what is made of a block's texts stays in Arrow's buffers only
+            all_ids, decoded = [], []
+            for raw in some.column(codes_at).to_pylist():
+                at = where[codes_of(raw)].tolist()
+                all_ids.append(begin + np.frombuffer(b"".join([ids[i] for i in at]), "<u2").astype("<u4").tobytes() + end)
+                decoded.append(b" ".join([surfaces[i] for i in at]))
+            out.append(pa.RecordBatch.from_arrays([some.column(id_at), pa.array(all_ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[id_col, "ids", "decoded"]))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out, pa.schema([(id_col, rows["id"].type), ("ids", pa.binary()), ("decoded", pa.string())]))
 
     kind = docs.schema[id_col].dataType.simpleString()
     # a block's own words lie beside its codes, so only ids travel back
