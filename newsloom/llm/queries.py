@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_rotation, decontaminate, exact_dedup, hmm_lm, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, warc
+from newsloom.llm import chat_rotation, decontaminate, exact_dedup, hmm_lm, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, spelling, warc
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -102,8 +102,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "perspective", "n_turns", "n_own", "rendered", mask.alias("mask"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_simhash, op4_quality, op5_hmm, op6_exact_dedup, op7_license, op8_secrets, op9_decontaminate, op10_chat)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_simhash, op4_quality, op5_hmm, op6_exact_dedup, op7_license, op8_secrets, op9_decontaminate, op10_chat, op13_spelling)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
