@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_rotation, decontaminate, exact_dedup, hmm_lm, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, spelling, warc
+from newsloom.llm import chat_rotation, decontaminate, exact_dedup, hmm_lm, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, spelling, vector_codes, warc
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -102,12 +102,36 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "perspective", "n_turns", "n_own", "rendered", mask.alias("mask"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_simhash, op4_quality, op5_hmm, op6_exact_dedup, op7_license, op8_secrets, op9_decontaminate, op10_chat, op13_spelling)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_simhash, op4_quality, op5_hmm, op6_exact_dedup, op7_license, op8_secrets, op9_decontaminate, op10_chat, op12_vector_codes, op13_spelling)}
+
+
+def vector_codes_sql(entries: int = 16, rounds: int = 6, positions: int = 8, width: int = 8) -> str:
+    """The rounds one after the other, over integers; a floor of negative quotients is made from their remainder."""
+    axes = range(width)
+    far = " + ".join(f"(x{i} - c{i}) * (x{i} - c{i})" for i in axes)
+    steps = [
+        "v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"p as materialized (select vec_id, pos, {', '.join(f'v[pos * {width} + {i + 1}] as x{i}' for i in axes)} from v, (select unnest(range({positions})) as pos))",
+        f"c0 as materialized (select pos, row_number() over (partition by pos order by vec_id) - 1 as e, {', '.join(f'x{i} as c{i}' for i in axes)} from p where vec_id in (select vec_id from v order by vec_id limit {entries}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select vec_id, p.pos, {', '.join(f'any_value(x{i}) as x{i}' for i in axes)}, min(struct_pack(d := {far}, e := e)) as best from p join c{r} on p.pos = c{r}.pos group by vec_id, p.pos)")
+        if r < rounds:
+            floors = ", ".join(f"cast((sum(x{i}) - ((sum(x{i}) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as m{i}" for i in axes)
+            steps.append(f"m{r} as (select pos, best.e as e, {floors} from a{r} group by pos, best.e)")
+            steps.append(f"c{r + 1} as materialized (select c.pos, c.e, {', '.join(f'coalesce(m{i}, c{i}) as c{i}' for i in axes)} from c{r} c left join m{r} m on c.pos = m.pos and c.e = m.e)")
+    steps.append(f"coded as (select vec_id, string_agg(printf('%02x', best.e), '' order by pos) as code, cast(sum(best.d) as bigint) as error from a{rounds} group by vec_id)")
+    steps.append(f"book as (select sha256(string_agg({" || ',' || ".join(f'cast(c{i} as varchar)' for i in axes)}, ',' order by pos, e)) as sha from c{rounds})")
+    return f"with {', '.join(steps)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha as codebooks_sha256 from coded join v using (vec_id), book"
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -153,6 +177,7 @@ ORACLE = {
                string_agg(head || body || chr(10), '' order by ord) as rendered,
                coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(body) as bigint), ',' order by ord) filter (own), '') as mask
         from c group by conv_id, perspective""",
+    "op12_vector_codes": vector_codes_sql(),
 }
 
 
