@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_rotation, decontaminate, exact_dedup, hmm_lm, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, spelling, vector_codes, warc
+from newsloom.llm import chat_rotation, decontaminate, exact_dedup, hmm_lm, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, spelling, vector_codes, warc, weak_supervision
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -102,6 +102,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "perspective", "n_turns", "n_own", "rendered", mask.alias("mask"))
 
 
+def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weak_supervision.quality_votes(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
@@ -111,7 +116,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_simhash, op4_quality, op5_hmm, op6_exact_dedup, op7_license, op8_secrets, op9_decontaminate, op10_chat, op12_vector_codes, op13_spelling)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_simhash, op4_quality, op5_hmm, op6_exact_dedup, op7_license, op8_secrets, op9_decontaminate, op10_chat, op11_weak_supervision, op12_vector_codes, op13_spelling)}
 
 
 def vector_codes_sql(entries: int = 16, rounds: int = 6, positions: int = 8, width: int = 8) -> str:
