@@ -1,8 +1,11 @@
-"""Reliable checkpoints."""
+"""Reliable checkpoints, and folders for what operators write themselves."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_WRITTEN: list[tuple[weakref.ref, str]] = []
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes with ``release_written`` or when the process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/newsloom-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((weakref.ref(spark), path))
+    return path
+
+
+def release_written() -> None:
+    """Delete what operators wrote; only for callers that have written all results which read it."""
+    while _WRITTEN:
+        ref, path = _WRITTEN.pop()
+        spark = ref()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended: nothing can be deleted through it
+            continue
+
+
+atexit.register(release_written)

@@ -8,77 +8,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sparse_rows(matrix: DataFrame, doc: str, size: int, value: str = "count") -> DataFrame:
-    """``(doc, features)`` from ``(doc, col_idx, value)``: a sparse vector of each document, absent terms being zero."""
-    entries = F.sort_array(F.collect_list(F.struct(F.col("col_idx").cast("int").alias("i"), F.col(value).cast("double").alias("v"))))
-    rows = matrix.groupBy(doc).agg(entries.alias("e"))
-    # building sparse vectors has no column function; this is one small call a document, not a term
-    return rows.select(doc, _to_vector(size)(F.transform("e", lambda x: x["i"]), F.transform("e", lambda x: x["v"])).alias("features"))
-
-
-def _to_vector(size: int):
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    return F.udf(lambda i, v: SparseVector(size, i, v), VectorUDT())
-
-
-def fit_lda(features: DataFrame, k: int, vocabulary: int, alpha: float = 1.0, beta: float = 0.01, iterations: int = 100, seed: int = 42):
-    """Online variational LDA with symmetric priors alpha / k and beta / vocabulary.
-
-    Every iteration draws as many documents as there are. Spark draws with replacement, so one iteration misses a document
-    with a chance of 1 / e; all of n iterations do with exp(-n).
-    """
-    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha / k] * k, topicConcentration=max(beta / vocabulary, 1e-12), subsamplingRate=1.0)
-    return lda.fit(features)
-
-
-def theta_of(model, features: DataFrame, doc: str) -> DataFrame:
-    """``(doc, topic_000..)``: topic weights of documents."""
-    k = model.getK()
-    rows = model.transform(features).select(doc, vector_to_array("topicDistribution").alias("t"))
-    return rows.select(doc, *(F.get("t", F.lit(i)).alias(f"topic_{i:03d}") for i in range(k)))
-
-
-def lda_quality(model, features: DataFrame) -> dict[str, float]:
-    n = features.count()
-    return {"log_likelihood": model.logLikelihood(features) / max(n, 1), "perplexity": math.exp(model.logPerplexity(features))}
-
-
-def lda_cross_validation(features: DataFrame, doc: str, grid: list[int], vocabulary: int, folds: int = 2, iterations: int = 100, seed: int = 42) -> DataFrame:
-    """``(k, mean_ll, std_ll)`` over folds by a hash of the id; the best k has the largest mean."""
-    fold = F.pmod(F.xxhash64(F.col(doc), F.lit(seed)), F.lit(folds))
-    rows = []
-    for k in grid:
-        scores = []
-        for i in range(folds):
-            model = fit_lda(features.where(fold != i), k, vocabulary, iterations=iterations, seed=seed)
-            scores.append(lda_quality(model, features.where(fold == i))["log_likelihood"])
-        rows.append((k, float(np.mean(scores)), float(np.std(scores))))
-    return features.sparkSession.createDataFrame(rows, "k int, mean_ll double, std_ll double")
-
-
-def lda_without_look_ahead(features: DataFrame, dates: DataFrame, doc: str, periods: list[tuple], k: int, vocabulary: int, iterations: int = 100, seed: int = 42) -> DataFrame:
-    """Topic weights of each period's documents by a model that has read nothing later than the period's start.
-
-    ``periods`` are (first, last) dates in order; the first period can only be described by its own model.
-    """
-    dated = features.join(dates, doc)
-    out = None
-    for i, (first, last) in enumerate(periods):
-        known = dated.where(F.col("date") < F.lit(first)) if i else dated.where(F.col("date") <= F.lit(last))
-        model = fit_lda(known.select(doc, "features"), k, vocabulary, iterations=iterations, seed=seed)
-        now = theta_of(model, dated.where(F.col("date").between(F.lit(first), F.lit(last))).select(doc, "features"), doc).withColumn("period", F.lit(i))
-        out = now if out is None else out.unionByName(now)
-    return out
-
-
 def fit_kmeans(features: DataFrame, k: int, seed: int = 42, starts: int = 10, iterations: int = 30):
     """The cheapest of several k-means fits."""
     best = None

@@ -30,10 +30,15 @@ LONG = f"(unpivot {MONTHLY} on {', '.join(TOPICS)} into name topic value attenti
 
 
 def weights(spark, folder, k=K, first=0):
+    """Topic weights from the documents' vectors, dated."""
+    return dated(spark, folder, B.theta(spark, folder, k, first))
+
+
+def dated(spark, folder, theta):
     """Topic weights with their documents' date (an inner join on the id) and length (a left join: null where unknown)."""
     dates = B.news(spark, folder).select("doc_id", F.col("published_at").alias("date"))
     lengths = table(spark, folder, "documents").where("text is not null").select("doc_id", F.length("text").alias("doc_length"))
-    return B.theta(spark, folder, k, first).join(dates, "doc_id").join(lengths, "doc_id", "left")
+    return theta.join(dates, "doc_id").join(lengths, "doc_id", "left")
 
 
 def monthly(spark, folder):
@@ -112,13 +117,13 @@ def _grid_sql() -> str:
     return "(" + " union all ".join(cells) + ")"
 
 
-#: Two topic models' weights: of all documents at once, and of documents in their order.
-_MODELS = {"batch": 0, "online": K}
+#: Two sets of weights, from the first and the next dimensions of the vectors; ``attention_grid_lda`` has those of fitted models.
+_MODELS = {"leading": 0, "following": K}
 
 
 @plan(f"select model, freq, weighting, date, {', '.join(f'round({t}, 6) as {t}' for t in TOPICS)}, n_documents from {_grid_sql()}")
 def attention_grid(spark, folder):
-    """All eight series: by day and month, plain and weighted by length, of either model."""
+    """All eight series: by day and month, plain and weighted by length, of either set of weights."""
     cells = []
     for model, first in _MODELS.items():
         rows = weights(spark, folder, first=first)

@@ -6,35 +6,49 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators import forecast as P
+from newsloom.operators import lda as L
 from newsloom.operators import models as M
 from newsloom.operators import readout as O
 from newsloom.operators import relational as R
 from newsloom.operators import series as S
 from newsloom.operators import vocabulary as T
 from newsloom.operators.lineage import cut_lineage, shared_folder
+from newsloom.operators.passes import dealt
 from newsloom.plans.attention import _SHIFT as PRICE_SHIFT
-from newsloom.plans.attention import weights
+from newsloom.plans.attention import dated, weights
 from newsloom.plans.corpus import cleaned, counted
 from newsloom.plans.market import BENCH, predictions
 from newsloom.plans.registry import MONTHLY, plan
 from newsloom.sources import bindings as B
-from newsloom.sources.readers import table
+from newsloom.sources.readers import table, union_all
 from newsloom.streaming import events as ES
 
-#: The reference's configuration (``experiment.yaml``); iterations are the default of the fits.
-VOCABULARY, TOPIC_COUNT = 20_000, 50
-
-
-def bags(spark, folder):
-    """Sparse counts of the processed documents over the most frequent terms."""
-    return read_bags(spark, folder)[0]
+#: The configured size of the topic models; rounds and folds are the defaults of the fits.
+VOCABULARY, TOPIC_COUNT, TOPIC_GRID = 20_000, 50, (50, 80, 120)
 
 
 def read_bags(spark, folder):
-    """The bags, from a checkpoint, with the vocabulary, the counts and the number of documents behind them."""
+    """The processed documents' bags over the most frequent terms, from a checkpoint, with the vocabulary, its size, the counts and the number of documents."""
     counts, totals, n = counted(spark, folder)
-    vocab = T.vocabulary(totals, n, size=VOCABULARY)
-    return cut_lineage(M.sparse_rows(T.document_term_matrix(counts, vocab, "doc_id"), "doc_id", VOCABULARY)), vocab, counts, n
+    vocab = cut_lineage(T.vocabulary(totals, n, size=VOCABULARY))
+    return cut_lineage(L.bag_rows(T.document_term_matrix(counts, vocab, "doc_id"), "doc_id")), vocab, vocab.count(), counts, n
+
+
+def batch_model(bags, terms, n, k=TOPIC_COUNT):
+    with dealt(bags, n, "doc_id") as held:
+        return L.fit_batch(held, [L.Lda.begin(k, terms)])[0]
+
+
+def batch_topics(spark, folder):
+    bags, _, terms, _, n = read_bags(spark, folder)
+    return L.describe(batch_model(bags, terms, n), bags, "doc_id")
+
+
+def online_topics(spark, folder):
+    """Documents without a term of the vocabulary have no bag; batches are of the others."""
+    bags, _, terms, _, _ = read_bags(spark, folder)
+    dates = B.news(spark, folder).select("doc_id", "published_at")
+    return L.online(bags.join(dates, "doc_id"), bags.count(), "doc_id", "published_at", TOPIC_COUNT, terms)[0]
 
 
 def vectors(spark, folder):
@@ -43,36 +57,50 @@ def vectors(spark, folder):
 
 @plan()
 def lda_topics(spark, folder):
-    features = bags(spark, folder)
-    return M.theta_of(M.fit_lda(features, TOPIC_COUNT, VOCABULARY), features, "doc_id")
+    return batch_topics(spark, folder)
 
 
 @plan()
 def lda_readout(spark, folder):
     """The fitted topics: name, ten top words, coherence, and the fit's log-likelihood a document and perplexity."""
-    features, vocab, counts, n = read_bags(spark, folder)
-    model = M.fit_lda(features, TOPIC_COUNT, VOCABULARY)
-    phi = cut_lineage(O.probabilities(O.phi_of(model, vocab)))
+    bags, vocab, terms, counts, n = read_bags(spark, folder)
+    with dealt(bags, n, "doc_id") as held:
+        model = L.fit_batch(held, [L.Lda.begin(TOPIC_COUNT, terms)])[0]
+        quality = L.quality([model], held)[0]
+    phi = cut_lineage(O.probabilities(L.phi(spark, model, vocab)))
     top = O.top_words(phi, 10)
     listed = top.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("words"))
-    quality = M.lda_quality(model, features)
     rows = O.names(top).join(listed, "topic").join(O.coherence(counts, phi, "doc_id", n), "topic", "left")
     return rows.select("topic", "label", "words", "coherence", *(F.lit(v).alias(k) for k, v in quality.items()))
 
 
 @plan()
 def lda_cross_validation(spark, folder):
-    """Mean held-out log-likelihood by number of topics (the configured grid has one), and which is best."""
-    scores = M.lda_cross_validation(bags(spark, folder), "doc_id", [TOPIC_COUNT], VOCABULARY)
+    """Held-out log-likelihood and perplexity by number of topics, and the number with the largest mean likelihood."""
+    bags, _, terms, _, n = read_bags(spark, folder)
+    scores = L.cross_validate(bags, n, "doc_id", list(TOPIC_GRID), terms)
     chosen = O.best(scores).select(F.col("k").alias("best_k"))
     return scores.crossJoin(F.broadcast(chosen))  # one row
 
 
 @plan()
 def lda_online_no_look_ahead(spark, folder):
-    dates = B.news(spark, folder).select("doc_id", F.to_date("published_at").alias("date"))
-    periods = [("2023-01-01", "2023-12-31"), ("2024-01-01", "2024-12-31"), ("2025-01-01", "2025-12-31")]
-    return M.lda_without_look_ahead(bags(spark, folder), dates, "doc_id", periods, TOPIC_COUNT, VOCABULARY)
+    """Every document by the model as it was when its batch of 128 had been read."""
+    return online_topics(spark, folder)
+
+
+@plan()
+def attention_grid_lda(spark, folder):
+    """All eight series of the fitted topics: by day and month, plain and weighted by length, of the batch and the online model."""
+    names = [f"topic_{i:03d}" for i in range(TOPIC_COUNT)]
+    cells = []
+    for model, theta in (("batch", batch_topics(spark, folder)), ("online", online_topics(spark, folder))):
+        rows = dated(spark, folder, theta)
+        for freq in "DM":
+            for weighting in ("mean", "length_weighted"):
+                series = S.attention(rows, names, freq, None if weighting == "mean" else "doc_length")
+                cells.append(series.select(F.lit(model).alias("model"), F.lit(freq).alias("freq"), F.lit(weighting).alias("weighting"), "date", *names, "n_documents"))
+    return union_all(cells)
 
 
 @plan()

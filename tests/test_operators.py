@@ -204,18 +204,6 @@ def test_autoencoder_reads_every_row(spark):
     assert all(math.isclose(r.error, again[r.doc], rel_tol=1e-6, abs_tol=1e-9) for r in got.collect())
 
 
-def test_lda_reads_all_documents_at_the_configured_size(spark):
-    import inspect
-
-    from newsloom.plans import models as plans
-
-    assert (plans.VOCABULARY, plans.TOPIC_COUNT) == (20_000, 50)
-    for f in (M.fit_lda, M.lda_cross_validation, M.lda_without_look_ahead):
-        assert inspect.signature(f).parameters["iterations"].default == 100
-    rows = M.sparse_rows(spark.createDataFrame([(d, c, 1.0 + (d + c) % 3) for d in range(8) for c in range(4)], "doc int, col_idx int, count double"), "doc", 2500)
-    assert M.fit_lda(rows, 2, 2500, iterations=6).getSubsamplingRate() == 1.0
-
-
 def test_vector_autoregression_takes_five_topics_and_the_return(spark, sf):
     from newsloom.plans import models as plans
 
@@ -336,18 +324,9 @@ def test_audit_finds_a_look_ahead(spark):
     assert got == {2023: True, 2024: False, 2025: True}
 
 
-def test_best_number_of_topics_and_read_out(spark):
+def test_best_number_of_topics(spark):
     scores = spark.createDataFrame([(50, -2.0), (80, -1.0), (120, -1.0)], "k int, mean_ll double")
     assert O.best(scores).first().k == 80
-    vocab = spark.createDataFrame([(t, i) for i, t in enumerate("abcd")], "term string, index long")
-    bags = spark.createDataFrame([(i, j, 5.0) for i in range(40) for j in ((0, 1) if i % 2 else (2, 3))], "doc_id long, col_idx int, count double")
-    model = M.fit_lda(M.sparse_rows(bags, "doc_id", 4), 2, 4, iterations=10)
-    phi = O.probabilities(O.phi_of(model, vocab))
-    assert all(abs(r.s - 1) < 1e-9 for r in phi.groupBy("topic").agg(F.sum("weight").alias("s")).collect()) and phi.count() == 8
-    assert {frozenset(r.label.split("_")) for r in O.names(O.top_words(phi, 2)).collect()} == {frozenset("ab"), frozenset("cd")}
-    counts = bags.join(vocab, bags["col_idx"] == vocab["index"]).select("doc_id", "term")
-    pmi = {r.topic: r.coherence for r in O.coherence(counts, phi, "doc_id", 40, 2).collect()}
-    assert len(pmi) == 2 and all(abs(v - np.log(2)) < 1e-6 for v in pmi.values())
 
 
 def test_quantiles_are_exact(spark):
