@@ -8,29 +8,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_kmeans(features: DataFrame, k: int, seed: int = 42, starts: int = 10, iterations: int = 30):
-    """The cheapest of several k-means fits."""
-    best = None
-    for s in range(starts):
-        model = KMeans(k=k, seed=seed + s, maxIter=iterations).fit(features)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
-
-def elbow(features: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
-    """``(k, cost)`` of a k-means fit for each k."""
-    rows = [(k, float(KMeans(k=k, seed=seed, maxIter=20).fit(features).summary.trainingCost)) for k in ks]
-    return features.sparkSession.createDataFrame(rows, "k int, cost double")
-
-
 def dense_rows(df: DataFrame, doc: str, array: str) -> DataFrame:
     return df.select(doc, array_to_vector(F.col(array).cast("array<double>")).alias("features"))
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
+from newsloom.operators import chain as H
+from newsloom.operators import clusters as K
 from newsloom.operators import forecast as P
 from newsloom.operators import lda as L
 from newsloom.operators import models as M
+from newsloom.operators import networks as N
 from newsloom.operators import readout as O
 from newsloom.operators import relational as R
 from newsloom.operators import series as S
@@ -24,7 +27,7 @@ from newsloom.sources.readers import table, union_all
 from newsloom.streaming import events as ES
 
 #: The configured size of the topic models; rounds and folds are the defaults of the fits.
-VOCABULARY, TOPIC_COUNT, TOPIC_GRID = 20_000, 50, (50, 80, 120)
+VOCABULARY, TOPIC_COUNT, TOPIC_GRID, CLUSTERS = 20_000, 50, (50, 80, 120), 50
 
 
 def read_bags(spark, folder):
@@ -103,15 +106,24 @@ def attention_grid_lda(spark, folder):
     return union_all(cells)
 
 
+def embedded(spark, folder):
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 @plan()
 def kmeans_topics(spark, folder):
-    features = vectors(spark, folder)
-    return M.fit_kmeans(features, 10).transform(features).select("doc_id", F.col("prediction").alias("topic_id"))
+    """The cheapest of ten starts, all in the same passes."""
+    rows = embedded(spark, folder)
+    found = K.fit(rows, "doc_id", "embedding", [CLUSTERS])[0]
+    return K.assign(rows, "embedding", found.centres).select("doc_id", "topic_id")
 
 
 @plan()
 def kmeans_elbow(spark, folder):
-    return M.elbow(vectors(spark, folder), list(range(3, 12)))
+    """The cost of the cheapest of ten starts for every number of clusters, all in the same passes."""
+    ks = list(range(3, 12))
+    fits = K.fit(embedded(spark, folder), "doc_id", "embedding", ks)
+    return spark.createDataFrame([(k, float(f.cost)) for k, f in zip(ks, fits)], "k int, cost double")
 
 
 @plan()
@@ -124,6 +136,68 @@ def autoencoder_latent(spark, folder):
     return M.autoencode(table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding")
 
 
+def _autoencoded(spark, folder, shape):
+    rows = embedded(spark, folder)
+    fitted = N.Autoencoder.fit(rows, "doc_id", "embedding", N.SHAPES[shape])
+    return fitted.transform(rows, "embedding").select("doc_id", "latent", "error")
+
+
+@plan()
+def autoencoder_plain(spark, folder):
+    return _autoencoded(spark, folder, "plain")
+
+
+@plan()
+def autoencoder_temporal(spark, folder):
+    return _autoencoded(spark, folder, "temporal")
+
+
+@plan()
+def autoencoder_past_only(spark, folder):
+    return _autoencoded(spark, folder, "past_only")
+
+
+@plan()
+def autoencoder_guided(spark, folder):
+    return _autoencoded(spark, folder, "guided")
+
+
+#: Periods that a model learns from, and those it is then applied to.
+SPLITS = [
+    ("train_2023", ("2023-01-01", "2023-06-30"), ("2023-07-01", "2023-12-31")),
+    ("train_2024", ("2023-01-01", "2023-12-31"), ("2024-01-01", "2024-12-31")),
+    ("train_2025", ("2023-01-01", "2024-12-31"), ("2025-01-01", "2025-12-31")),
+]
+
+
+@plan()
+def temporal_splits(spark, folder):
+    """Term weights, autoencoder and clusters of each split, fitted on its first period alone."""
+    counts = counted(spark, folder)[0].where(~F.col("term").contains("_"))
+    dates = B.news(spark, folder).select("doc_id", "published_at").join(counts.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = H.expanding_splits(counts, dates, "doc_id", "published_at", SPLITS)
+    if found is None:
+        return spark.createDataFrame([], "split string, side string, doc_id long, error double, cluster int")
+    return found
+
+
+@plan()
+def temporal_splits_kept(spark, folder):
+    """Each document once: where a split tested it, that split's result, else the last that learnt from it."""
+    rows = temporal_splits(spark, folder)
+    last = F.struct((F.col("side") == "test").alias("t"), "split")
+    return rows.groupBy("doc_id").agg(*(F.max_by(c, last).alias(c) for c in ("split", "side", "error", "cluster")))
+
+
+@plan()
+def sentiment_three_classes(spark, folder):
+    """Probabilities of three classes (0: low quality, 1: toxic, 2: neither) by a network over hashed terms."""
+    docs = cleaned(spark, folder).withColumn("tokens", X.tokens(F.col("clean"))).select("doc_id", "tokens")
+    classes = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("label")
+    labelled = docs.join(table(spark, folder, "labels").where("quality is not null").select("doc_id", classes), "doc_id")
+    return N.Classifier.fit(labelled, "doc_id", "tokens", "label").transform(docs, "doc_id", "tokens")
+
+
 @plan()
 def hashed_embeddings(spark, folder):
     return M.embed(cleaned(spark, folder), "doc_id", "clean", M.hashing_encoder())

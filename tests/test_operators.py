@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.functions import values as V
+from newsloom.operators import clusters
 from newsloom.operators import events as E
 from newsloom.operators import forecast as P
 from newsloom.operators import guided as G
@@ -228,13 +229,11 @@ def test_granger_takes_the_order_by_aic(spark):
 
 
 def test_kmeans_keeps_the_cheapest_of_ten_starts(spark, monkeypatch):
-    fits, kmeans = [], M.KMeans
-    monkeypatch.setattr(M, "KMeans", lambda **options: fits.append(options["seed"]) or kmeans(**options))
-    rows = M.dense_rows(spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(60)], "doc int, x array<double>"), "doc", "x")
-    best = M.fit_kmeans(rows, 4)
-    assert len(set(fits)) == 10
-    costs = [kmeans(k=4, seed=s, maxIter=30).fit(rows).summary.trainingCost for s in fits]
-    assert best.summary.trainingCost == pytest.approx(min(costs))
+    fits, lloyd = [], clusters.lloyd
+    monkeypatch.setattr(clusters, "lloyd", lambda *a, **k: fits.extend(lloyd(*a, **k)) or fits)
+    rows = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(60)], "doc int, x array<double>")
+    (best,) = clusters.fit(rows, "doc", "x", [4])
+    assert len(fits) == 10 and best.cost == min(f.cost for f in fits)
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -285,13 +284,13 @@ def test_unreadable_inputs_are_skipped(spark, tmp_path):
 
 
 def test_triples_and_models_are_read_back(spark, tmp_path):
-    from pyspark.ml.clustering import KMeansModel
+    from pyspark.ml.clustering import KMeans, KMeansModel
 
     rows = [(0, 1, 2), (0, 3, 1), (5, 0, 9)]
     sinks.write_triples(spark.createDataFrame(rows, "row_idx long, col_idx long, count long"), f"{tmp_path}/m")
     assert sorted(map(tuple, sinks.read_triples(spark, f"{tmp_path}/m").collect())) == rows
     features = M.dense_rows(spark.createDataFrame([(i, [float(i % 2), 0.5]) for i in range(8)], "doc_id long, embedding array<double>"), "doc_id", "embedding")
-    model = M.fit_kmeans(features, 2, starts=1)
+    model = KMeans(k=2, seed=42).fit(features)
     sinks.save_model(model, f"{tmp_path}/k")
     assert [list(c) for c in sinks.load_model(KMeansModel, f"{tmp_path}/k").clusterCenters()] == [list(c) for c in model.clusterCenters()]
 

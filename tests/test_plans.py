@@ -53,7 +53,7 @@ def test_models_keep_their_invariants(spark):
     for row in run["lda_topics"].collect():
         weights = [v for k, v in row.asDict().items() if k.startswith("topic_")]
         assert math.isclose(sum(weights), 1, abs_tol=1e-6) and min(weights) >= 0
-    assert {r.topic_id for r in run["kmeans_topics"].collect()} <= set(range(10))
+    assert {r.topic_id for r in run["kmeans_topics"].collect()} <= set(range(50))
     costs = [r.cost for r in run["kmeans_elbow"].orderBy("k").collect()]
     assert costs[-1] < costs[0]
     latent = run["pca_latent"].toPandas().drop(columns="doc_id")
