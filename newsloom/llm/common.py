@@ -71,11 +71,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     This cuts lineage: a lost executor costs the reread of a few files, never the whole plan again, and rows keep
     whatever ids were given to them before.
     """
+    return staged_at(df, label)[0]
+
+
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``staged``, with its folder, for those who remove it themselves once it has been read."""
     spark = df.sparkSession
     path = _place(spark, label)
     _SCOPE.get().append((weakref.ref(spark), path, None))
     df.write.options(**_FILES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def staged_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:

@@ -4,21 +4,20 @@ A few latent states emit words and the end of a text. Texts become codes of word
 one owner in the cluster that counts it and answers the blocks that hold it; so counts and emissions of all words, as
 many as the corpus has, live in tables that are dealt by word and never gathered.
 
-Baum-Welch runs over all training texts. Each task returns expected counts, which are summed in the cluster, and only
-the model of bounded size reaches the driver: start, moves, and the emissions of the *listed* words, those with at
-least ``share`` of all training tokens and so at most ``1 / share``. In these rounds all other words are one symbol.
-Then one more expectation step gives every word behind that symbol its own emissions: its owner sums its expected counts
-by state, drawn towards the states' shares where it is rare.
-
-Scoring is the scaled forward recursion over the whole text, so it is the exact likelihood. Behind the symbol of other
-words, known ones have add-half shares by state, and one share stands for the event of any unseen word; so the model is
-a distribution over texts in which all unseen words are one.
+Baum-Welch runs over all training texts, and every word is estimated anew in every round. A block knows its own words'
+emissions, runs the recursions over its texts and tells each owner what share of its words' tokens each state has; the
+owner adds this up over the blocks and answers with the words' shares among states, drawn towards the states' own where a
+word is rare. Only starts, moves, ends and the states' sizes, a few numbers by state, reach the driver.
+
+Scoring is the scaled forward recursion over the whole text, so it is the exact likelihood. A state emits a known word
+by its share of the state's tokens, with add-half shares, and one such share stands for the event of any unseen word; so
+the model is a distribution over texts in which all unseen words are one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.blocks import Coded, coded, codes_of, met, numbering, numbers, placed, places, squeeze, unpack, unsqueeze
-from newsloom.llm.common import space_words, staged
+from newsloom.llm.blocks import coded, codes_of, met, numbering, numbers, placed, squeeze, unpack, unsqueeze
+from newsloom.llm.common import remove_folder, space_words, staged_at, staged_by
 from newsloom.llm.quality_rules import crc_fold
 
 #: Tokens that one recursion holds (a longer text is held alone), and the longest stretch without a cut.
@@ -220,103 +219,116 @@ def updated(model: Hmm, start: np.ndarray, move: np.ndarray, emit: np.ndarray, u
 # --- the cluster's side --------------------------------------------------------------------------------------------
 
 
-def count_words(messages: DataFrame, least: int) -> DataFrame:
-    """Owners count their words over all blocks: replies ``(block, owner, places, counts, ids)`` and the listed words.
-
-    ``counts`` (64-bit) and ``ids`` (32-bit, the owner's own numbers) are of the codes at ``places``. A row without a block is a summary:
-    ``n`` tokens and ``distinct`` words of the owner, or a listed word with its ``id``, ``n`` and ``hash``.
-    """
-
-    def run(asked: pa.Table) -> pa.Table:
-        owner, index = asked["owner"][0].as_py(), numbering()
-        wanted = [numbers(index, unpack(m)) for m in asked["words"].to_pylist()]
-        sums = np.zeros(len(index), np.int64)
-        for want, learnt in zip(wanted, asked["learnt"].to_pylist()):
-            sums[want] += np.frombuffer(unsqueeze(learnt), "<u4")  # the words of a message are distinct
-        listed = np.flatnonzero(sums >= least)
-        words = list(index)
-        rows = len(wanted)
-        hashes = [_hash(words[i]) for i in listed]
-        said = {
-            "block": asked["block"].to_pylist() + [None] * (1 + len(listed)),
-            "owner": [owner] * (rows + 1 + len(listed)),
-            "places": asked["places"].to_pylist() + [None] * (1 + len(listed)),
-            "counts": [squeeze(sums[w].astype("<i8").tobytes()) for w in wanted] + [None] * (1 + len(listed)),
-            "ids": [squeeze(w.astype("<u4").tobytes()) for w in wanted] + [None] * (1 + len(listed)),
-            "id": [None] * (rows + 1) + listed.tolist(),
-            "n": [None] * rows + [int(sums.sum())] + sums[listed].tolist(),
-            "distinct": [None] * rows + [int((sums > 0).sum())] + [None] * len(listed),
-            "hash": [None] * (rows + 1) + hashes,
-        }
-        types = dict(block=pa.int32(), owner=pa.int32(), places=pa.binary(), counts=pa.binary(), ids=pa.binary(), id=pa.int32(), n=pa.int64(), distinct=pa.int64(), hash=pa.int64())
-        return pa.table({name: pa.array(values, types[name]) for name, values in said.items()})
-
-    schema = "block int, owner int, places binary, counts binary, ids binary, id int, n long, distinct long, hash long"
-    return messages.groupBy("owner").applyInArrow(run, schema)
-
-
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
 @dataclass
-class Words:
-    """What is known about the words before states are learnt.
+class States:
+    """What all tasks know: by state its start, moves, chance to end, and tokens of words; ``total`` and ``distinct`` of training.
 
-    ``keys`` are the listed words' (owner, id) in order and ``symbols`` their symbols; then come the symbol of other words
-    and the end. ``total`` and ``distinct`` count training tokens and types, ends included.
+    ``total`` tokens and ``distinct`` types include the ends, ``ends`` are the training texts.
     """
 
-    keys: np.ndarray
-    symbols: np.ndarray
+    start: np.ndarray
+    move: np.ndarray
+    end: np.ndarray
+    tokens: np.ndarray
     total: int
     distinct: int
     ends: int
-    unigram: np.ndarray
 
-    @property
-    def other(self) -> int:
-        return len(self.keys)
+    def prior(self) -> np.ndarray:
+        """The states' shares of all words' tokens."""
+        some = self.tokens + 1e-6 * self.tokens.sum() + 1e-12
+        return some / some.sum()
+
+    def emission(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """By word and state: a known word's tokens in the state and half a token; of an unknown one the half alone."""
+        half = 0.5 * self.prior()
+        types = self.distinct - (self.ends > 0)
+        return (1 - self.end) * (counts[:, None] * shares + half) / (self.tokens + (types + 1) * half)
+
+
+def steps(parts: np.ndarray) -> np.ndarray:
+    """Rows of fractions that sum to one, without the last, in steps that never add up to more than all."""
+    return np.floor(parts[:, :-1] * _STEPS).astype("<u2")
+
+
+def fractions(found: np.ndarray, k: int) -> np.ndarray:
+    some = found.reshape(-1, k - 1).astype(np.float64) / _STEPS
+    return np.concatenate([some, 1 - some.sum(1, keepdims=True)], axis=1)
+
+
+def first_shares(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Where rounds begin: uneven shares among states that a word's hash alone decides."""
+    h = hashes[:, None] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    some = np.log(1 / (u + 1e-12)) ** 2 + 1e-3
+    return some / some.sum(1, keepdims=True)
+
+
+_ANSWER = "block int, owner int, counts binary, parts binary, sums array<double>"
+_ANSWER_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
 
-    @property
-    def end(self) -> int:
-        return len(self.keys) + 1
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    names = ("block", "owner", "counts", "parts", "sums")
+    return pa.table({name: pa.array(c, t) for name, t, c in zip(names, _ANSWER_TYPES, zip(*rows))})
+
+
+def count_words(messages: DataFrame, k: int, seed: int, owners: int) -> DataFrame:
+    """Owners count their words over all blocks; staged by owner.
+
+    Rows ``(owner, block, ids, learnt)`` stay with the owner: its numbers of a block's words and their training tokens
+    there. Rows with ``parts`` are the first answers, see ``_ANSWER``: counts (64-bit) and shares of a block's words. A
+    row without a block has ``sums``: the owner's training tokens by state, and its distinct training words.
+    """
+
+    def run(asked: pa.Table) -> pa.Table:
+        owner, index = asked["owner"][0].as_py(), numbering()
+        wanted = [numbers(index, unpack(m)) for m in asked["words"].to_pylist()]
+        words, sums = list(index), np.zeros(len(index), np.int64)
+        for want, learnt in zip(wanted, asked["learnt"].to_pylist()):
+            sums[want] += np.frombuffer(unsqueeze(learnt), "<u4")  # the words of a message are distinct
+        kept = steps(first_shares(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), k, seed))
+        by_state = (sums[:, None] * fractions(kept, k)).sum(0)
+        rows = [(b, owner, squeeze(sums[w].astype("<i8").tobytes()), squeeze(kept[w].tobytes()), None) for b, w in zip(asked["block"].to_pylist(), wanted)]
+        out = _answers([*rows, (None, owner, None, None, [*by_state, float((sums > 0).sum())])])
+        stay = [squeeze(w.astype("<u4").tobytes()) for w in wanted]
+        return out.append_column("ids", pa.array([*stay, None], pa.binary())).append_column("learnt", pa.array([*asked["learnt"].to_pylist(), None], pa.binary()))
+
+    told = messages.groupBy("owner").applyInArrow(run, f"{_ANSWER}, ids binary, learnt binary")
+    return staged_by(told, "word-owners", "owner", owners)
 
 
 class Block:
-    """A block's words as the replies describe them, and its texts."""
-
-    def __init__(self, rows: pa.Table, replies: pa.Table, words: Words):
-        said = [r for r in replies.to_pylist() if r["counts"]]
-        # an owner's part of the block: its codes, and its own numbers for them
-        self.parts = [(r["owner"], placed(r["places"]), placed(r["ids"])) for r in said]
-        size = sum(len(at) for _, at, _ in self.parts)
-        self.counts, self.keys = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for r, (owner, at, ids) in zip(said, self.parts):
-            self.counts[at] = np.frombuffer(unsqueeze(r["counts"]), "<i8")
-            self.keys[at] = owner << 32 | ids.astype(np.int64)
-        at = np.searchsorted(words.keys, self.keys)
-        at[at == len(words.keys)] = 0
-        listed = words.keys[at] == self.keys if len(words.keys) else np.zeros(len(at), bool)
-        self.listed = listed
-        # by code, the end of a text behind them
-        self.symbols = np.append(np.where(listed, words.symbols[at] if len(words.keys) else 0, words.other), words.end)
-        self.texts = rows["codes"].to_pylist()
-
-    def groups(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Texts up to ``_TOKENS`` tokens: place of the first, codes with ends, sizes."""
-        first, held, n, end = 0, [], 0, np.array([len(self.symbols) - 1], "<u4")
+    """A block's texts, and its words with the emissions that answers give them."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table, states: States):
+        rows, said = table.to_pylist(), {r["owner"]: r for r in answers.to_pylist()}
+        # an owner's words of the block by their codes here
+        self.parts = [(r["owner"], placed(r["places"])) for r in rows if r["owner"] is not None]
+        self.texts = [r["codes"] for r in rows if r["owner"] is None]
+        size, k = sum(len(at) for _, at in self.parts), len(states.start)
+        self.counts, shares = np.zeros(size, np.int64), np.zeros((size, k))
+        for owner, at in self.parts:
+            self.counts[at] = np.frombuffer(unsqueeze(said[owner]["counts"]), "<i8")
+            shares[at] = fractions(np.frombuffer(unsqueeze(said[owner]["parts"]), "<u2"), k)
+        self.end = size
+        self.emit = np.concatenate([states.emission(self.counts, shares), states.end[None]])
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Texts up to ``_TOKENS`` tokens: codes with ends, sizes."""
+        held, n, end = [], 0, np.array([self.end], "<u4")
         for i, raw in enumerate(self.texts):
             held += [codes_of(raw), end]
             n += len(held[-2]) + 1
             if n >= _TOKENS or i + 1 == len(self.texts):
-                sizes = np.array([len(c) + 1 for c in held[::2]])
-                yield first, np.concatenate(held), sizes
-                first, held, n = i + 1, [], 0
+                yield np.concatenate(held), np.array([len(c) + 1 for c in held[::2]])
+                held, n = [], 0
 
 
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, states: int = 4, share: float = 1e-5, rounds: int = 5, seed: int = 7, shrink: float = 4.0,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, states: int = 4, rounds: int = 5, seed: int = 7, shrink: float = 4.0,
     block_words: int = 400_000, block_tokens: int = 4_000_000,
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
@@ -334,166 +346,117 @@ def lm_scores(
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), (~held_out).alias("learn"), F.col(text_col).alias("text"))
     texts = coded(rows, space_words, "words", learn="learn", block_words=block_words, block_tokens=block_tokens)
     n, ends = texts.rows.where("learn").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    answers = staged(count_words(texts.messages, max(1, math.ceil(share * (n + ends)))), "word-counts")
-    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    # at most 1 / share words, of whom only numbers are fetched; their order does not depend on owners
-    listed = answers.where("id is not null").select("owner", "id", "n", "hash").orderBy(F.desc("n"), "hash").toArrow()
-    keys = listed["owner"].to_numpy().astype(np.int64) << 32 | listed["id"].to_numpy()
-    order, listed_n = np.argsort(keys), listed["n"].to_numpy()
-    unigram = np.array([*listed_n.tolist(), n - listed_n.sum() + 0.5, ends + 0.5], dtype=np.float64)
-    words = Words(keys[order], order, n + ends, distinct + (ends > 0), ends, unigram / unigram.sum())
-    replies = texts.by_block(answers.where("block is not null").select("block", "owner", "places", "counts", "ids"), "word-replies")
-    model = Hmm.begin(words.unigram, states, seed)
-    learn = texts.rows.where("learn").select("block", "codes")
+    owners = count_words(texts.messages, states, seed, min(4 * texts.buckets, 100_000))
+    begun = _summed(owners, states + 1)
+    model = _begin(states, seed, begun[:-1], n + ends, round(begun[-1]) + (ends > 0), ends)
+    learn = texts.table.where("owner is not null or learn").select("block", "owner", "places", "codes")
+    answers, path = owners.where("parts is not null").select("block", "owner", "counts", "parts", "sums"), None
     for _ in range(rounds if ends else 0):
-        model = baum_welch(learn, replies, model, words)
-    shares = emissions(learn, replies, model, words, shrink)
-    return _scored(texts, replies, shares, model, words).withColumnRenamed("id", id_col)
-
-
-def baum_welch(learn: DataFrame, replies: DataFrame, model: Hmm, words: Words) -> Hmm:
-    """One round: expected counts in every block, summed by position in the cluster, a new model on the driver."""
-    sent = learn.sparkSession.sparkContext.broadcast((model, words))
-    k, size, piece = len(model.start), len(model.emit), 4096
-
-    def count(rows: pa.Table, said: pa.Table) -> pa.Table:
-        now, known = sent.value
-        block = Block(rows, said, known)
-        sums = np.zeros(k + k * k + size * k)
-        for _, flat, sizes in block.groups():
-            symbols = block.symbols[flat]
-            run = Recursion(now.start, now.move, now.emit, symbols, sizes)
-            start, moves, gamma = run.smooth()
-            counts = np.stack([np.bincount(symbols[run.lay.at], g, size) for g in gamma], axis=1)
-            sums += np.concatenate([start, moves.reshape(-1), counts.reshape(-1)])
-        parts = [sums[a : a + piece] for a in range(0, len(sums), piece)] if block.texts else []
-        return pa.table({"piece": pa.array(range(len(parts)), pa.int32()), "sums": pa.array(parts, pa.list_(pa.float64()))})
-
-    counts = met(learn, replies, count, "piece int, sums array<double>")
-    summed = counts.select("piece", F.posexplode("sums").alias("at", "v")).groupBy("piece", "at").agg(F.sum("v").alias("v")).toArrow()
-    flat = np.zeros(k + k * k + size * k)
-    flat[summed["piece"].to_numpy().astype(np.int64) * piece + summed["at"].to_numpy()] = summed["v"].to_numpy()
-    sent.destroy()
-    return updated(model, flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(size, k), words.unigram)
+        answers, model, written = baum_welch(learn, owners, answers, model, shrink)
+        if path:  # the round has read what the one before wrote
+            remove_folder(docs.sparkSession, path)
+        path = written
+    return _scored(texts.table.select("block", "owner", "places", "id", "held_out", "codes", "size"), answers, model).withColumnRenamed("id", id_col)
 
 
-def steps(parts: np.ndarray) -> np.ndarray:
-    """Rows of fractions that sum to one, without the last, in steps that never add up to more than all."""
-    return np.floor(parts[:, :-1] * _STEPS).astype("<u2")
+def _begin(k: int, seed: int, tokens: np.ndarray, total: int, distinct: int, ends: int) -> States:
+    move = np.full((k, k), 0.1 / (k - 1))
+    np.fill_diagonal(move, 0.9)
+    # ends are as uneven among states as words are
+    share = first_shares(np.array([0], np.uint64), k, seed)[0]
+    return States(np.full(k, 1 / k), move, (ends * share + ends / max(1, total)) / (ends * share + tokens + 1), tokens, total, distinct, ends)
 
 
-def fractions(found: np.ndarray, k: int) -> np.ndarray:
-    some = found.reshape(-1, k - 1).astype(np.float64) / _STEPS
-    return np.concatenate([some, 1 - some.sum(1, keepdims=True)], axis=1)
+def _summed(answers: DataFrame, size: int) -> np.ndarray:
+    """The sums of the rows without a block, place by place: a few numbers by state."""
+    out = np.zeros(size)
+    for row in answers.where("block is null").select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[row["at"]] = row["v"]
+    return out
 
 
-def emissions(learn: DataFrame, replies: DataFrame, model: Hmm, words: Words, shrink: float) -> DataFrame:
-    """What states say each known word behind the symbol of others, by its owner: staged ``(block, places, parts, sums)``.
+def baum_welch(learn: DataFrame, owners: DataFrame, answers: DataFrame, model: States, shrink: float) -> tuple[DataFrame, States, str]:
+    """One round: new answers for every word, the new states, and where the answers were written.
 
-    For the codes at ``places`` ``parts`` has the states' shares of the word's tokens, in steps.
-    A row without a block has an owner's ``sums`` of tokens by state.
+    Blocks tell owners the states' shares of each of their words' training tokens; what they say of starts, moves and
+    ends travels with it, to the first owner.
     """
-    sent = learn.sparkSession.sparkContext.broadcast((model, words))
+    sent = learn.sparkSession.sparkContext.broadcast(model)
     k = len(model.start)
-    prior = _prior(model, words)
-
-    def count(rows: pa.Table, said: pa.Table) -> pa.Table:
-        now, known = sent.value
-        block = Block(rows, said, known)
-        sums = np.zeros((len(block.symbols), k))
-        for _, flat, sizes in block.groups():
-            run = Recursion(now.start, now.move, now.emit, block.symbols[flat], sizes)
-            _, _, gamma = run.smooth()
+    size = 2 * k + k * k
+
+    def count(table: pa.Table, said: pa.Table) -> pa.Table:
+        block = Block(table, said, sent.value)
+        sums, totals = np.zeros((block.end + 1, k)), np.zeros(size)
+        for flat, sizes in block.groups():
+            run = Recursion(sent.value.start, sent.value.move, block.emit, flat, sizes)
+            start, moves, gamma = run.smooth()
             sums += np.stack([np.bincount(flat[run.lay.at], g, len(sums)) for g in gamma], axis=1)
-        sums, n = sums[:-1], np.rint(sums[:-1].sum(1)).astype(np.int64)
-        wanted = ~block.listed & (block.counts > 0)
-        out: dict[str, list] = {name: [] for name in ("owner", "block", "places", "ids", "n", "parts")}
-        for owner, at, ids in block.parts:
-            mine = wanted[at]
-            here = at[mine]
-            if len(here):
-                parts = np.where(n[here, None] > 0, sums[here] / np.maximum(n[here, None], 1), 0)
-                for name, value in zip(out, (owner, said["block"][0].as_py(), places(here), places(ids[mine]), places(n[here]), squeeze(steps(parts).tobytes()))):
-                    out[name].append(value)
-        types = [pa.int32()] * 2 + [pa.binary()] * 4
-        return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), types)})
-
-    def owned(told: pa.Table) -> pa.Table:
-        told_rows = told.to_pylist()
-        ids = [placed(r["ids"]) for r in told_rows]
-        top = max(int(i.max()) for i in ids) + 1
-        n, sums = np.zeros(top, np.int64), np.zeros((top, k))
-        for i, r in zip(ids, told_rows):
-            m = placed(r["n"])
-            n[i] += m
-            sums[i] += m[:, None] * fractions(np.frombuffer(unsqueeze(r["parts"]), "<u2"), k)
-        drawn = (sums + shrink * prior) / (n[:, None] + shrink)
-        kept = steps(drawn)
-        totals = (n[:, None] * fractions(kept, k)).sum(0)
-        said = {
-            "block": [r["block"] for r in told_rows] + [None], "places": [r["places"] for r in told_rows] + [None],
-            "parts": [squeeze(kept[i].tobytes()) for i in ids] + [None], "sums": [None] * len(ids) + [totals.tolist()],
-        }
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
-        return pa.table({name: pa.array(values, t) for (name, values), t in zip(said.items(), types)})
-
-    # blocks without a training text ask for the emissions of their words as well
-    told = met(learn, replies, count, "owner int, block int, places binary, ids binary, n binary, parts binary")
-    return staged(told.groupBy("owner").applyInArrow(owned, "block int, places binary, parts binary, sums array<double>"), "emissions")
-
-
-def _prior(model: Hmm, words: Words) -> np.ndarray:
-    """The states' shares of the tokens behind the symbol of others, by the stationary shares of the moves."""
-    mix = np.full(len(model.start), 1 / len(model.start))
-    for _ in range(200):
-        mix = mix @ model.move
-    found = mix * model.emit[words.other]
-    return found / found.sum()
-
-
-def _scored(texts: Coded, replies: DataFrame, shares: DataFrame, model: Hmm, words: Words) -> DataFrame:
+            totals[:-k] += np.concatenate([start, moves.reshape(-1)])
+        totals[-k:] = sums[-1]
+        n = np.rint(sums[:-1].sum(1))
+        parts = steps(sums[:-1] / np.maximum(n, 1)[:, None])
+        number = table["block"][0].as_py() if table.num_rows else None
+        rows = [(number, owner, None, squeeze(parts[at].tobytes()), None) for owner, at in block.parts if n[at].any()]
+        first = block.parts[0][0] if block.parts else 0
+        return _answers([*rows, (None, first, None, None, totals.tolist())] if block.texts else rows or [(None, 0, None, None, [0.0] * size)])
+
+    def owned(told: pa.Table, mine: pa.Table) -> pa.Table:
+        now, out, totals = sent.value, [], np.zeros(size)
+        said = {}
+        for r in told.to_pylist():
+            if r["block"] is None:
+                totals += r["sums"]
+            else:
+                said[r["block"]] = r["parts"]
+        stay = [(r["block"], np.frombuffer(unsqueeze(r["ids"]), "<u4"), np.frombuffer(unsqueeze(r["learnt"]), "<u4")) for r in mine.to_pylist() if r["block"] is not None]
+        tokens = np.zeros(k)
+        if stay:
+            top = max(int(ids.max()) for _, ids, _ in stay) + 1
+            n, sums = np.zeros(top, np.int64), np.zeros((top, k))
+            for number, ids, learnt in stay:
+                n[ids] += learnt
+                if number in said:
+                    sums[ids] += learnt[:, None] * fractions(np.frombuffer(unsqueeze(said[number]), "<u2"), k)
+            kept = steps((sums + shrink * now.prior()) / (n + shrink)[:, None])
+            tokens = (n[:, None] * fractions(kept, k)).sum(0)
+            owner = mine["owner"][0].as_py()
+            out = [(number, owner, squeeze(n[ids].astype("<i8").tobytes()), squeeze(kept[ids].tobytes()), None) for number, ids, _ in stay]
+        return _answers([*out, (None, None, None, None, [*totals, *tokens])])
+
+    told = met(learn, answers, count, _ANSWER)
+    stay = owners.select("owner", "block", "ids", "learnt")
+    new, path = staged_at(told.groupBy("owner").cogroup(stay.groupBy("owner")).applyInArrow(owned, _ANSWER), "word-answers")
+    found = _summed(new, size + k)
+    start, move, ends, tokens = np.split(found, [k, k + k * k, size])
+    start, move = start + 0.1, move.reshape(k, k) + 0.1
+    end = (ends + model.ends / max(1, model.total)) / (ends + tokens + 1)
+    sent.destroy()
+    return new.where("block is not null"), States(start / start.sum(), move / move.sum(1, keepdims=True), end, tokens, model.total, model.distinct, model.ends), path
+
+
+def _scored(table: DataFrame, answers: DataFrame, model: States) -> DataFrame:
     """Every text's base score and exact log10 likelihood, in its block."""
-    k = len(model.start)
-    sums = shares.where("block is null").select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
-    by_state = np.zeros(k)
-    for row in sums:
-        by_state[row["at"]] = row["v"]
-    listed_types = len(words.keys)
-    types = words.distinct - (words.ends > 0) - listed_types
-    prior = by_state + (1e-6 * by_state.sum() or _prior(model, words))
-    prior /= prior.sum()
-    rest = by_state + 0.5 * (types + 1) * prior
-    divisor = words.total + 0.5 * (words.distinct + 1)
-    base_of: Callable = lambda c: np.log10((c + 0.5) / divisor)
-    sent = texts.rows.sparkSession.sparkContext.broadcast((model, words))
-
-    def score(rows: pa.Table, said: pa.Table) -> pa.Table:
-        now, known = sent.value
-        block = Block(rows, said, known)
-        emit = now.emit[block.symbols]
-        tail = np.flatnonzero(~block.listed)
-        behind = np.zeros((len(block.counts), k))
-        for row in said.to_pylist():
-            if row["parts"]:
-                at = placed(row["places"])
-                behind[at] = block.counts[at, None] * fractions(np.frombuffer(unsqueeze(row["parts"]), "<u2"), k)
-        emit[tail] *= (behind[tail] + 0.5 * prior) / rest
-        base = np.append(base_of(block.counts), base_of(known.ends))
-        is_known = np.append(block.counts > 0, known.ends > 0)
+    divisor = model.total + 0.5 * (model.distinct + 1)
+    sent = table.sparkSession.sparkContext.broadcast(model)
+
+    def score(table: pa.Table, said: pa.Table) -> pa.Table:
+        now = sent.value
+        block, rows = Block(table, said, now), table.filter(pc.is_null(table["owner"]))
+        base = np.log10((np.append(block.counts, now.ends) + 0.5) / divisor)
+        is_known = np.append(block.counts > 0, now.ends > 0)
         scores, bases, knowns = [], [], []
-        for _, flat, sizes in block.groups():
+        for flat, sizes in block.groups():
             heads = np.cumsum(sizes) - sizes
-            scores.append(Recursion(now.start, now.move, emit, flat, sizes).log_likelihoods() / math.log(10))
+            scores.append(Recursion(now.start, now.move, block.emit, flat, sizes).log_likelihoods() / math.log(10))
             bases.append(np.add.reduceat(base[flat], heads))
             knowns.append(np.add.reduceat(is_known[flat].astype(np.int64), heads))
         joined = lambda parts, t: pa.array(np.concatenate(parts), t) if parts else pa.array([], t)
         return pa.table({
             "id": rows["id"], "held_out": rows["held_out"], "n_tokens": pc.add(rows["size"], 1), "n_known": joined(knowns, pa.int64()),
-            "train_tokens": pa.array([known.total] * rows.num_rows, pa.int64()), "base_score": joined(bases, pa.float64()), "score": joined(scores, pa.float64()),
+            "train_tokens": pa.array([now.total] * rows.num_rows, pa.int64()), "base_score": joined(bases, pa.float64()), "score": joined(scores, pa.float64()),
         })
 
-    told = texts.by_block(shares.where("block is not null").select("block", "places", "parts"), "emission-replies")
-    both = replies.unionByName(told, allowMissingColumns=True)
-    kind = texts.rows.schema["id"].dataType.simpleString()
+    kind = table.schema["id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return met(texts.rows.select("block", "id", "held_out", "codes", "size"), both, score, schema)
+    return met(table, answers, score, schema)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from newsloom.llm import blocks, common, hmm_lm, quality_rules
 from newsloom.llm.queries import op4_quality, op5_hmm
@@ -108,13 +109,13 @@ def brute_lm(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("words, share", [(40, 1e-3), (400_000, 1e-5), (400_000, 1.0)])
-def test_lm_counts_and_base_equal_brute_force(spark, sf, words, share):
+@pytest.mark.parametrize("words", [40, 400_000])
+def test_lm_counts_and_base_equal_brute_force(spark, sf, words):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(1001, None), (1002, ""), (1003, "zzz zzz qqq"), (1003, "zzz zzz qqq"), (None, "THE the \x0b of"), (1004, "unseen-word " * 3000)], "doc_id long, text string")
     both = docs.union(odd)
     rows = [(r.doc_id, r.text) for r in both.collect()]
-    got = hmm_lm.lm_scores(both.selectExpr("*", "1 as score", "2 as word"), block_words=words, share=share, rounds=2).collect()
+    got = hmm_lm.lm_scores(both.selectExpr("*", "1 as score", "2 as word"), block_words=words, rounds=2).collect()
     assert sorted([(*tuple(r)[:5], round(r.base_score, 6)) for r in got], key=str) == brute_lm(rows)
     assert all(r.score < 0 for r in got)
 
@@ -131,72 +132,80 @@ def test_lm_beats_counts_and_is_a_distribution(spark):
     assert 0.3 < total < 1
 
 
-def toy_corpus(spark, parts=3):
+def brute_hmm(rows, k=4, rounds=5, seed=7, shrink=4.0):
+    """The whole model by hand: every word's shares among states kept in one dictionary, no blocks, owners or stretches."""
+    texts = [(d, re.findall("[^\x20\x09-\x0d]+", lower(t))) for d, t in rows]
+    train = [t for d, t in texts if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    counts, ends = Counter(w for t in train for w in t), len(train)
+    total = sum(counts.values()) + ends
+    shares = {w: hmm_lm.first_shares(np.array([xxhash.xxh64_intdigest(w.encode())], np.uint64), k, seed)[0] for w in counts}
+    tokens = sum(n * shares[w] for w, n in counts.items())
+    end_share = hmm_lm.first_shares(np.array([0], np.uint64), k, seed)[0]
+    start, move = np.full(k, 1 / k), np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1))
+    end = (ends * end_share + ends / total) / (ends * end_share + tokens + 1)
+
+    def emissions(t):
+        prior = tokens + 1e-6 * tokens.sum() + 1e-12
+        prior = prior / prior.sum()
+        words = [(1 - end) * (counts[w] * shares.get(w, 0) + 0.5 * prior) / (tokens + 0.5 * (len(counts) + 1) * prior) for w in t]
+        return prior, np.array([*words, end])
+
+    def sweep(t):
+        prior, e = emissions(t)
+        run = hmm_lm.Recursion(start, move, e, np.arange(len(e)), np.array([len(e)]), stretch=10**9)
+        return prior, run
+
+    for _ in range(rounds):
+        sums, starts, moves, at_end = {w: np.zeros(k) for w in counts}, np.zeros(k), np.zeros((k, k)), np.zeros(k)
+        for t in train:
+            prior, run = sweep(t)
+            first, moved, gamma = run.smooth()
+            gamma = gamma.T[np.argsort(run.lay.at)]
+            starts, moves, at_end = starts + first, moves + moved, at_end + gamma[-1]
+            for w, g in zip(t, gamma):
+                sums[w] += g
+        shares = {w: (s + shrink * prior) / (counts[w] + shrink) for w, s in sums.items()}
+        tokens = sum(counts[w] * shares[w] for w in counts)
+        start, move = (starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True)
+        end = (at_end + ends / total) / (at_end + tokens + 1)
+    return [(d, float(np.log(sweep(t)[1].scales).sum() / math.log(10))) for d, t in texts], start, move
+
+
+def test_whole_scores_equal_a_model_made_by_hand(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(5001, None), (5002, "only here only here"), (None, rows[0][1]), (5003, "the " * 3000)]
+    want, *_ = brute_hmm(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for words in (3000, 400_000):
+        got = sorted((str(r.doc_id), r.score) for r in hmm_lm.lm_scores(docs, block_words=words).collect())
+        assert len(got) == len(want)
+        assert all(i == j and math.isclose(a, b, rel_tol=2e-3) for (i, a), (j, b) in zip(got, sorted((str(d), v) for d, v in want)))
+
+
+def test_rounds_read_every_word_and_count_starts_once(spark):
     rng = np.random.default_rng(4)
     words = ["a", "b", "c", "rare", "x" * 100, "é"]
     texts = [" ".join(rng.choice(words, n, p=[0.4, 0.3, 0.2, 0.05, 0.03, 0.02])) for n in (1700, 513, 4, 0, 90, 700)]
     rows = [(i, False, True, t) for i, t in enumerate(texts)] + [(99, True, False, "a unseen b")]
-    return rows, spark.createDataFrame(rows, "id long, held_out boolean, learn boolean, text string").repartition(parts)
-
-
-def learnt(spark, share):
-    """The exchange's view of the corpus, and the same by hand: symbols of every word."""
-    rows, docs = toy_corpus(spark)
-    texts = blocks.coded(docs, common.space_words, "words", learn="learn", block_words=4)
-    train = [t.split() for _, _, learn, t in rows if learn]
-    counts = Counter(w for t in train for w in t)
-    n, ends = sum(counts.values()), len(train)
-    answers = hmm_lm.count_words(texts.messages, max(1, math.ceil(share * (n + ends)))).cache()
-    assert answers.agg({"n": "sum"}).where("1 = 1").first()[0] >= n
-    listed = answers.where("id is not null").orderBy("owner", "id").collect()
-    assert sorted(r.n for r in listed) == sorted(c for c in counts.values() if c >= share * (n + ends))
-    keys = np.array([r.owner << 32 | r.id for r in listed], np.int64)
-    unigram = np.array([*(r.n for r in listed), n - sum(r.n for r in listed) + 0.5, ends + 0.5])
-    words = hmm_lm.Words(keys, np.arange(len(keys)), n + ends, len(counts) + 1, ends, unigram / unigram.sum())
-    by_n = {r.n: i for i, r in enumerate(listed)}
-    assert len(by_n) == len(listed)
-    symbol = {w: by_n.get(c, words.other) for w, c in counts.items()}
-    return rows, texts, texts.by_block(answers.where("block is not null").select("block", "owner", "places", "counts", "ids"), "replies"), words, counts, symbol
-
-
-@pytest.mark.parametrize("share", [0.1, 1e-3])
-def test_training_counts_starts_and_moves_of_whole_texts(spark, share):
-    rows, texts, replies, words, counts, symbol = learnt(spark, share)
-    model = hmm_lm.Hmm.begin(words.unigram, 2, 3)
-    got = hmm_lm.baum_welch(texts.rows.where("learn").select("block", "codes"), replies, model, words)
-    seqs = [np.array([*(symbol[w] for w in t.split()), words.end]) for _, _, learn, t in rows if learn]
-    start, move, emit, _ = hmm_lm.expected_counts(model, seqs, stretch=10_000)
-    want = hmm_lm.updated(model, start, move, emit, words.unigram)
-    assert math.isclose(start.sum(), len(seqs)) and math.isclose(move.sum(), sum(len(s) - 1 for s in seqs))
-    assert all(np.allclose(getattr(got, f), getattr(want, f)) for f in ("start", "move", "emit"))
-
-
-def test_rare_words_have_their_own_emissions(spark):
-    rows, texts, replies, words, counts, symbol = learnt(spark, 0.1)
-    model = hmm_lm.Hmm.begin(words.unigram, 2, 3)
-    shares = hmm_lm.emissions(texts.rows.where("learn").select("block", "codes"), replies, model, words, shrink=4.0)
-    got = {r.id: r for r in hmm_lm._scored(texts, replies, shares, model, words).collect()}
-    # by hand: expected counts of each rare word, drawn towards the states' shares
-    train = [t.split() for _, _, learn, t in rows if learn]
-    expected = {w: np.zeros(2) for w, s in symbol.items() if s == words.other}
-    for t in train:
-        seq = np.array([*(symbol[w] for w in t), words.end])
-        run = hmm_lm.Recursion(model.start, model.move, model.emit, seq, np.array([len(seq)]), stretch=100)
-        gamma = run.smooth()[2].T[np.argsort(run.lay.at)]
-        for w, g in zip(t, gamma):
-            if w in expected:
-                expected[w] += g
-    prior = hmm_lm._prior(model, words)
-    drawn = {w: counts[w] * (g + 4 * prior) / (counts[w] + 4) for w, g in expected.items()}
-    by_state = sum(drawn.values())
-    mix = by_state / by_state.sum()
-    rest = by_state + 0.5 * (len(drawn) + 1) * mix
-    assert np.allclose(sum((d + 0.5 * mix) / rest for d in drawn.values()) + 0.5 * mix / rest, 1)
-    assert 3 == len(drawn) and not np.allclose(*[drawn[w] / drawn[w].sum() for w in list(drawn)[:2]], atol=1e-4)
-    for i, _, _, t in rows:
-        flat = [model.emit[symbol[w]] if symbol.get(w, words.other) != words.other else model.emit[words.other] * (drawn.get(w, 0) + 0.5 * mix) / rest for w in t.split()]
-        run = hmm_lm.Recursion(model.start, model.move, np.array([*flat, model.emit[words.end]]), np.arange(len(flat) + 1), np.array([len(flat) + 1]))
-        assert math.isclose(got[i].score, run.log_likelihoods()[0] / math.log(10), rel_tol=1e-3), i
+    docs = spark.createDataFrame(rows, "id long, held_out boolean, learn boolean, text string").repartition(3)
+    coded = blocks.coded(docs, common.space_words, "words", learn="learn", block_words=4)
+    owners = hmm_lm.count_words(coded.messages, 3, 7, 8)
+    counts = Counter(w for t in texts for w in t.split())
+    begun = hmm_lm._summed(owners, 4)
+    assert begun[-1] == len(counts) and math.isclose(begun[:-1].sum(), sum(counts.values()))
+    model = hmm_lm._begin(3, 7, begun[:-1], sum(counts.values()) + 6, len(counts) + 1, 6)
+    learn = coded.table.where("owner is not null or learn").select("block", "owner", "places", "codes")
+    answers, after, _ = hmm_lm.baum_welch(learn, owners, owners.where("parts is not null").select("block", "owner", "counts", "parts", "sums"), model, 4.0)
+    assert math.isclose(after.tokens.sum(), sum(counts.values())) and np.allclose(after.move.sum(1), 1) and 0 < after.end.max() < 1
+    # emissions of all known words, one unseen event and the end are a distribution in every state
+    told = {}
+    for r in answers.collect():
+        n, s = np.frombuffer(blocks.unsqueeze(r["counts"]), "<i8"), hmm_lm.fractions(np.frombuffer(blocks.unsqueeze(r["parts"]), "<u2"), 3)
+        told |= {(int(c), tuple(x)): 1 for c, x in zip(n, s) if c}
+    each = np.array([(c, *x) for c, x in told])
+    assert len(each) == len(counts)
+    total = after.emission(each[:, 0], each[:, 1:]).sum(0) + after.emission(np.zeros(1), np.zeros((1, 3)))[0] + after.end
+    assert np.allclose(total, 1)
 
 
 @pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1000])
