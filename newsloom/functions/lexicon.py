@@ -101,13 +101,14 @@ TEMPORAL_SPLITS = {
 KEPT_STOP_WORDS = ("fed", "rate", "earnings", "revenue", "profit", "loss")
 FINANCE_STOP_WORDS = ("stock", "share", "market", "trading", "price", "today", "yesterday", "tomorrow", "week", "month", "year")
 
-#: The usual English stop list, as letters are left of it by cleaning; another can be read from a file (``sources.readers.word_list``).
+# The usual English stop list, with the stems that cleaning leaves of contractions.
+#: Another can be read from a file (``sources.readers.word_list``).
 STOP_WORDS = tuple(
-    """a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does
-    doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just
-    me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the
-    their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom
-    why will with would you your yours yourself yourselves""".split()
+    """a about above after again against ain all am an and any are aren as at be because been before being below between both but by can could couldn d did didn do does doesn
+    doing don down during each few for from further had hadn has hasn have haven having he her here hers herself him himself his how i if in into is isn it its itself just ll m ma
+    me mightn more most mustn my myself needn no nor not now o of off on once only or other our ours ourselves out over own re s same shan she should shouldn so some such t than that the
+    their theirs them themselves then there these they this those through to too under until up ve very was wasn we were weren what when where which while who whom
+    why will with won would wouldn y you your yours yourself yourselves""".split()
 )
 
 # The workload's own stop words, of its trade.

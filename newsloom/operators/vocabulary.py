@@ -185,6 +185,36 @@ def chi2(weights: DataFrame, clusters: DataFrame, doc: str, cluster: str) -> Dat
     return sums.select("term", (F.col("q") / F.col("s") - F.col("s")).alias("score"))
 
 
+def mutual_information(weights: DataFrame, clusters: DataFrame, doc: str, cluster: str, bins: int = 10) -> DataFrame:
+    """``(term, score)``: mutual information, in nats, of a term's binned weight and the cluster, over all documents.
+
+    A weight in (0, 1] is in the bin ``ceil(weight * bins)``, larger ones in the last; a document without the term, or
+    with no positive weight of it, is in bin 0. Those are never made as rows: their numbers by cluster are what the
+    present ones leave of the clusters' sizes. ``clusters`` has a row a document.
+    """
+    sizes = clusters.groupBy(cluster).agg(F.count("*").alias("size"))  # one row a cluster
+    total = sizes.agg(F.sum("size").alias("docs"))  # one number
+    bin_ = F.least(F.lit(bins), F.ceil(F.col("weight") * bins)).cast("int")
+    cells = weights.where("weight > 0").join(clusters, doc).groupBy("term", cluster, bin_.alias("bin")).agg(F.count("*").alias("n"))
+    # by cluster: what is there, and by subtraction what is not
+    there = cells.groupBy("term", cluster).agg(F.sum("n").alias("here"))
+    p = lambda n: F.when(n > 0, n / F.col("docs") * F.ln(n / F.col("docs"))).otherwise(0.0)
+
+    def entropy_sum(frame: DataFrame, n: Column, *keys: str) -> DataFrame:
+        return frame.crossJoin(F.broadcast(total)).groupBy(*keys).agg(F.sum(p(n)).alias("h"))
+
+    joint = entropy_sum(cells, F.col("n"), "term")
+    by_bin = entropy_sum(cells.groupBy("term", "bin").agg(F.sum("n").alias("n")), F.col("n"), "term")
+    # bin 0: clusters with the term lose what is there, others keep their size
+    sized = there.join(F.broadcast(sizes), cluster).crossJoin(F.broadcast(total))
+    absent = sized.groupBy("term").agg(F.sum(p(F.col("size") - F.col("here")) - p(F.col("size"))).alias("moved"), F.sum("here").alias("here"))
+    all_sizes = entropy_sum(sizes, F.col("size")).select(F.col("h").alias("clusters"))
+    rows = absent.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(all_sizes)).join(joint.withColumnRenamed("h", "joint"), "term").join(by_bin.withColumnRenamed("h", "bins"), "term")
+    # sum p ln p of the cells, less that of the bins, less that of the clusters
+    absent_cells, absent_bin = F.col("clusters") + F.col("moved"), p(F.col("docs") - F.col("here"))
+    return rows.select("term", F.greatest(F.lit(0.0), F.col("joint") + absent_cells - F.col("bins") - absent_bin - F.col("clusters")).alias("score"))
+
+
 def pmi_pairs(counts: DataFrame, top: DataFrame, doc: str, group: str, n_docs: int) -> DataFrame:
     """``(group, a, b, pmi)`` of top terms of one group that occur together; ``top`` is small before anything is paired."""
     named = top.select(group, "term")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicon as L
 from newsloom.functions import text as X
 from newsloom.functions import values as V
+from newsloom.operators import lemmas as A
 from newsloom.operators import near_duplicates as N
 from newsloom.operators import vocabulary as T
 from newsloom.operators.lineage import cut_lineage
@@ -93,15 +94,15 @@ def _encoder_sql(column: str, mask: bool) -> str:
     return f"trim({t})"
 
 
-@plan(f"select doc_id, md5({_encoder_sql('text', True)}) as clean_md5 from documents where lang = 'en'")
+@plan(f"select doc_id, md5({_encoder_sql('text', True)}) as clean_md5 from documents")
 def clean_text_domain_mask(spark, folder):
-    docs = table(spark, folder, "documents").where("lang = 'en'")
+    docs = table(spark, folder, "documents")
     return docs.select("doc_id", _md5(X.clean_for_encoder(F.col("text"))).alias("clean_md5"))
 
 
-@plan(f"select doc_id, md5({_encoder_sql('text', False)}) as clean_md5 from documents where lang = 'en'")
+@plan(f"select doc_id, md5({_encoder_sql('text', False)}) as clean_md5 from documents")
 def clean_text_light(spark, folder):
-    docs = table(spark, folder, "documents").where("lang = 'en'")
+    docs = table(spark, folder, "documents")
     return docs.select("doc_id", _md5(X.clean_for_encoder(F.col("text"), mask_domain=False)).alias("clean_md5"))
 
 
@@ -131,6 +132,39 @@ def token_filter(spark, folder):
     return t.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), _md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+#: Distinct words of the processed corpus; those of two documents or more count as base forms.
+_WORDS = f"(select term from {TOTALS} where not contains(term, '_'))"
+_BASE = f"(select term from {TOTALS} where not contains(term, '_') and df >= 2)"
+_LEMMAS = A.lemmas_sql(_WORDS, _BASE)
+
+
+def word_lemmas(totals):
+    words = totals.where(~F.col("term").contains("_"))
+    return cut_lineage(A.lemmas(words, words.where("df >= 2")))
+
+
+@plan(f"select term, lemma from {_LEMMAS}")
+def lemma_table(spark, folder):
+    """Every distinct word with its lemma."""
+    return word_lemmas(counted(spark, folder)[1])
+
+
+@plan(f"select lemma as term, cast(sum(n) as bigint) as count, count(distinct doc_id) as df from {COUNTS} join {_LEMMAS} using (term) group by lemma")
+def lemma_vocabulary(spark, folder):
+    """Words counted by their lemma."""
+    counts, totals, _ = counted(spark, folder)
+    return T.term_totals(A.lemma_counts(counts, word_lemmas(totals), "doc_id"))
+
+
+@plan(f"""select doc_id, count(*) as n_tokens, md5(string_agg(coalesce(lemma, term), ' ' order by place)) as tokens_md5 from
+    (select doc_id, unnest(tokens) as term, unnest(range(len(tokens))) as place from {PROCESSED}) left join {_LEMMAS} using (term) group by doc_id""")
+def lemma_documents(spark, folder):
+    """Processed documents with each token's lemma in its place."""
+    docs = processed(spark, folder).select("doc_id", "tokens")
+    rows = A.lemma_tokens(docs, word_lemmas(counted(spark, folder)[1]), "doc_id", "tokens")
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), _md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 @plan(f"select doc_id, len(bigrams) as n_bigrams, md5(array_to_string(bigrams, ' ')) as bigrams_md5 from {PROCESSED}")
 def bigrams(spark, folder):
     return processed(spark, folder).select("doc_id", F.size("bigrams").cast("long").alias("n_bigrams"), _md5(F.array_join("bigrams", " ")).alias("bigrams_md5"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicon as L
 from newsloom.functions import text as X
 from newsloom.functions import values as V
+from newsloom.operators import asof as J
 from newsloom.operators import relational as R
 from newsloom.plans.attention import K, LONG, MONTHLY, TOPICS, WEIGHTS, monthly, monthly_long, weights
 from newsloom.plans.corpus import CLEAN, cleaned
@@ -169,3 +170,54 @@ def merged_fields(spark, folder):
     fields = V.merged(F.create_map(F.lit("k"), F.lit("0"), F.lit("source"), F.lit("vendor")), F.coalesce(said, F.create_map().cast("map<string,string>")))
     rows = table(spark, folder, "events").select("event_id", fields.alias("f"))
     return rows.select("event_id", F.try_element_at("f", F.lit("k")).alias("k"), F.try_element_at("f", F.lit("source")).alias("source"))
+
+
+#: Days after which each series is published.
+_LAGS = {"month_price": 10, "quarter_discount": 30, "day_orders": 1}
+_FACTS = """(select 'month_price' as series, last_day(cast(o_orderdate as date)) as moment, round(avg(o_totalprice), 4) as value from orders group by 2
+    union all select 'quarter_discount', cast(date_trunc('quarter', l_shipdate) + interval 3 month - interval 1 day as date), round(avg(l_discount), 6) from lineitem group by 2
+    union all select 'day_orders', cast(o_orderdate as date), count(*) from orders group by 2)"""
+
+
+def macro_facts(spark, folder):
+    """Series of three frequencies in long form, dated by their period's end: ``(series, at, value)``."""
+    orders, items = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    day = F.to_date("o_orderdate")
+    quarter = F.date_sub(F.add_months(F.date_trunc("quarter", "l_shipdate"), 3), 1)
+    month = orders.groupBy(F.last_day(day).alias("at")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    quarters = items.groupBy(quarter.alias("at")).agg(F.round(F.avg("l_discount"), 6).alias("value"))
+    days = orders.groupBy(day.alias("at")).agg(F.count("*").cast("double").alias("value"))
+    named = [df.select(F.lit(name).alias("series"), "at", "value") for name, df in zip(_LAGS, (month, quarters, days))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def _known_sql(rows: str, columns: str) -> str:
+    joins = " ".join(
+        f"asof left join (select moment + interval {lag} day as known, arg_max(value, moment) as {name} from {_FACTS} where series = '{name}' group by 1) {name[0]} on r.moment >= {name[0]}.known" for name, lag in _LAGS.items()
+    )
+    return f"select {columns}, {', '.join(f'round({name}, 6) as {name}' for name in _LAGS)} from {rows} r {joins}"
+
+
+@plan(_known_sql("(select distinct last_day(cast(o_orderdate as date)) as moment from orders)", "r.moment as month_end"))
+def macro_panel(spark, folder):
+    """Every month's end with each series' last published value."""
+    ends = B.monthly_prices(spark, folder).select("month_end")
+    rows = J.as_of(ends.withColumnRenamed("month_end", "at"), macro_facts(spark, folder), "at", _LAGS)
+    return rows.select(F.col("at").alias("month_end"), *(F.round(n, 6).alias(n) for n in _LAGS))
+
+
+@plan(_known_sql("(select o_orderkey, o_orderdate as moment from orders)", "o_orderkey"))
+def orders_as_of(spark, folder):
+    """Every order with what was known when it came."""
+    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"))
+    return J.as_of(rows, macro_facts(spark, folder), "at", _LAGS).select("o_orderkey", *(F.round(n, 6).alias(n) for n in _LAGS))
+
+
+@plan("""select l_orderkey, l_linenumber, round(price, 6) as price from lineitem join orders on l_orderkey = o_orderkey
+    asof left join (select o_orderpriority as p, cast(o_orderdate as date) + interval 2 day as known, round(avg(o_totalprice), 4) as price from orders group by all) d on o_orderpriority = d.p and l_shipdate >= d.known""")
+def items_as_of(spark, folder):
+    """Every item with the last price published for its order's priority when it was shipped; five keys hold all rows."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("symbol"))
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at")).join(orders, "l_orderkey")
+    facts = B.daily_prices(spark, folder).select("symbol", F.lit("price").alias("series"), F.col("date").alias("at"), F.col("adjusted_close").alias("value"))
+    return J.as_of(items, facts, "at", {"price": 2}, "symbol").select("l_orderkey", "l_linenumber", F.round("price", 6).alias("price"))

@@ -42,6 +42,36 @@ def chi2_terms(spark, folder):
     return T.chi2(weights, inside, "doc_id", "label").select("term", F.round("score", 6).alias("score"))
 
 
+_MI = f"""(with inside as (select doc_id, label from {_IN}), docs as (select count(*) as docs from inside), sizes as (select label, count(*) as size from inside group by label),
+    cells as (select term, label, cast(least(10, ceil(weight * 10)) as integer) as bin, count(*) as n from {W} where weight > 0 group by all),
+    filled as (select term, label, bin, n from cells union all select t.term, s.label, 0, size - coalesce(h.n, 0) from (select distinct term from cells) t cross join sizes s
+        left join (select term, label, sum(n) as n from cells group by all) h on t.term = h.term and s.label = h.label),
+    b as (select term, bin, sum(n) as nb from filled group by all)
+    select term, sum(case when f.n > 0 then f.n / docs * ln(f.n * docs / (nb * size)) else 0 end) as score from filled f join b using (term, bin) join sizes using (label), docs group by term)"""
+
+
+@plan(f"select term, round(score, 6) as score from {_MI}")
+def mutual_information_terms(spark, folder):
+    weights, inside = described(spark, folder)
+    return T.mutual_information(weights, inside, "doc_id", "label").select("term", F.round("score", 6).alias("score"))
+
+
+_MI_KEPT = f"(select term from {_MI} where not {GARBAGE} and round(score, 9) >= (select quantile_cont(round(score, 9), 0.5) from {_MI} where not {GARBAGE}))"
+
+
+@plan(f"""select cast(label as integer) as label, cast(rank as integer) as rank, term, round(weight, 6) as weight from
+    (select *, row_number() over (partition by label order by round(weight, 9) desc, term) as rank from
+    (select label, term, sum(weight) / any_value(size) as weight from {W} join (select label, count(*) as size from {_IN} group by label) using (label) group by label, term) where term in (select term from {_MI_KEPT})) where rank <= 20""")
+def cluster_top_terms_by_information(spark, folder):
+    """The best terms of each cluster that are no garbage and say at least as much about the clusters as the median term."""
+    weights, inside = described(spark, folder)
+    scores = T.mutual_information(weights, inside, "doc_id", "label").where(~X.garbage_term(F.col("term"))).withColumn("score", F.round("score", 9))
+    limit = scores.agg(F.percentile("score", F.lit(0.5)).alias("limit"))
+    kept = scores.crossJoin(F.broadcast(limit)).where("score >= limit").select("term")  # the limit is one number
+    means = T.cluster_means(weights, inside, "doc_id", "label").join(kept, "term", "left_semi").withColumn("weight", F.round("weight", 9))
+    return T.top_terms(means, "label", 20).select("label", "rank", "term", F.round("weight", 6).alias("weight"))
+
+
 _MEAN = f"(select label, term, sum(weight) / any_value(size) as weight from {W} join (select label, count(*) as size from {_IN} group by label) using (label) group by label, term)"
 _KEPT = f"(select term from {_CHI} where not {GARBAGE} and score >= (select quantile_cont(score, 0.5) from {_CHI} where not {GARBAGE}))"
 _RANKED = f"(select *, row_number() over (partition by label order by round(weight, 9) desc, term) as rank from {_MEAN} where term in (select term from {_KEPT}))"
