@@ -109,11 +109,12 @@ def rotate(
     mark. Turns are in order of their number, role and text, whatever their number is; ``block_turns`` only moves work.
     A rendering is one value, so Spark's limit of 2 GB for a row is that of a dialogue: a longer one fails. A null or
     empty role is the participant "unknown"; a null text is empty; turns with a null dialogue id form one dialogue, a
-    null turn number comes first; equal rows are all kept; "<|" in texts and names becomes "< |", so no text can forge a
-    mark. A dialogue without participants has no rows, like an empty table. Extra columns are not read.
+    null turn number comes first; equal rows are all kept; "<|" in texts and names becomes "< |", and
+    control characters and line ends in names become spaces, so neither can forge a mark or a header. A dialogue without participants has no rows, like an empty table. Extra columns are not read.
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
-    role = F.when(F.coalesce(F.col(role_col), F.lit("")) == "", "unknown").otherwise(safe(F.col(role_col)))
+    line = F.regexp_replace(F.col(role_col), r"[\x00-\x1F\x7F\x85\x{2028}\x{2029}]", " ")
+    role = F.when(F.coalesce(F.col(role_col), F.lit("")) == "", "unknown").otherwise(safe(line))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), safe(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     views, blocks = _views(rows, context_roles, block_turns)
     names = ["conv", "perspective", "n_turns", "n_own", "rendered", "mask"]

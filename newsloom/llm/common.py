@@ -107,6 +107,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted with what is staged outside any scope: by ``release_staged`` or when the process ends."""
+    _PROCESS.append((weakref.ref(spark), path, None))
+
+
 def _delete(found: Staged) -> None:
     while found:
         ref, path, name = found.pop()

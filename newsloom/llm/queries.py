@@ -169,7 +169,7 @@ ORACLE = {
                sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from d left join n on d.doc_id = n.doc_id left join t on d.doc_id = t.doc_id""",
     "op10_chat": """
-        with t as (select conv_id, turn, case when coalesce(role, '') = '' then 'unknown' else replace(role, '<|', '< |') end as role,
+        with t as (select conv_id, turn, case when coalesce(role, '') = '' then 'unknown' else replace(regexp_replace(role, '[\\x00-\\x1F\\x7F\\x{85}\\x{2028}\\x{2029}]', ' ', 'g'), '<|', '< |') end as role,
                           replace(coalesce(text, ''), '<|', '< |') as text from conversations),
         o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as ord from t),
         p as (select distinct conv_id, role as perspective from t where role <> 'system'),

@@ -68,9 +68,9 @@ def chunk_keys(raw: bytes) -> list[bytes]:
 
 
 def segment(sp, keys: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Ids (little-endian unsigned 16-bit) and decoded bytes of every chunk."""
+    """Ids (little-endian unsigned 16-bit) and decoded bytes of every chunk; bytes that are no UTF-8 are the library's to replace."""
     alone = [sp.piece_to_id("▁")]
-    ids = [found or alone for found in sp.encode([key.decode() for key in keys], num_threads=1)]
+    ids = [found or alone for found in sp.encode(keys, num_threads=1)]
     return [np.asarray(found, "<u2").tobytes() for found in ids], [text.encode() for text in sp.decode(ids, num_threads=1)]
 
 
@@ -108,7 +108,8 @@ def encode_documents(
     """Encode every whole text with begin and end ids, and decode it again.
 
     Returns one row per input row: the id column, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded``.
-    A null text counts as empty (begin and end only, decoded to ''); null ids stay null; repeated rows give repeated
+    A null text counts as empty (begin and end only, decoded to ''); bytes that are no UTF-8 are encoded as the library
+    does, each as U+FFFD; null ids stay null; repeated rows give repeated
     results; other columns, whatever their names, are not read. An empty table gives an empty result. ``block_words``
     and ``block_tokens`` bound what a task holds, not what is done.
     """

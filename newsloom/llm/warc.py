@@ -289,12 +289,12 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def arc_payloads(arcs: DataFrame) -> DataFrame:
-    """``(archive, idx, page_id, size, digest, record, uri, date, bad)`` of every ARC record.
+    """``(archive, idx, page_id, size, digest, record, uri, date, same, bad)`` of every ARC record.
 
-    ``bad`` says why a record cannot be read, and ``idx`` then where it lies; it is null for all others.
+    ``same`` holds for equal payloads alone: their size, SHA-1 and 256 bits of BLAKE2. ``bad`` says why a record cannot be read, and ``idx`` then where it lies; it is null for all others.
     """
-    names = ["archive", "idx", "page_id", "size", "digest", "record", "uri", "date", "bad"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 5]
+    names = ["archive", "idx", "page_id", "size", "digest", "record", "uri", "date", "same", "bad"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,18 +302,19 @@ def arc_payloads(arcs: DataFrame) -> DataFrame:
                 rows, i = [], 0
                 for record in parse_arc(content):
                     if isinstance(record, BadRecord):
-                        rows.append((archive, record.at, *[None] * 6, record.reason))
+                        rows.append((archive, record.at, *[None] * 7, record.reason))
                         continue
                     http, payload = split_http(record.body)
+                    sha = hashlib.sha1(payload).hexdigest()
                     rows.append((
-                        archive, i, number(http.get("x-page-id")), len(payload), hashlib.sha1(payload).hexdigest(),
-                        record_id(warc_name(archive), i, record), record.fields["URL"], warc_time(record.fields["Archive-date"]), None,
+                        archive, i, number(http.get("x-page-id")), len(payload), sha, record_id(warc_name(archive), i, record), record.fields["URL"],
+                        warc_time(record.fields["Archive-date"]), f"{len(payload)}:{sha}:{hashlib.blake2b(payload, digest_size=32).hexdigest()}", None,
                     ))
                     i += 1
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
 
-    return arcs.mapInArrow(run, "archive string, idx long, page_id long, size long, digest string, record string, uri string, date string, bad string")
+    return arcs.mapInArrow(run, "archive string, idx long, page_id long, size long, digest string, record string, uri string, date string, same string, bad string")
 
 
 def number(value: str | None) -> int | None:
@@ -328,8 +329,8 @@ def revisits(payloads: DataFrame, least: int = 1000) -> DataFrame:
     """
     big = payloads.where((F.col("size") >= least) & F.col("bad").isNull())
     original = F.struct("page_id", "archive", "idx", "record", "uri", "date")
-    groups = staged(big.groupBy("digest").agg(F.max(original).alias("o"), F.count("*").alias("n")).where("n > 1"), "originals")
-    hits = join_hot(big.select("archive", "idx", "digest"), groups, "digest", payloads.count()).where((F.col("archive") != F.col("o.archive")) | (F.col("idx") != F.col("o.idx")))
+    groups = staged(big.groupBy("same").agg(F.max(original).alias("o"), F.count("*").alias("n")).where("n > 1"), "originals")
+    hits = join_hot(big.select("archive", "idx", "same"), groups, "same", payloads.count()).where((F.col("archive") != F.col("o.archive")) | (F.col("idx") != F.col("o.idx")))
     refer = F.struct("idx", "o.record", "o.uri", "o.date", F.col("o.page_id").alias("page"))
     return hits.groupBy("archive").agg(F.collect_list(refer).alias("refers"))
 
