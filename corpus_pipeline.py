@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm.common import remove_folder, shared_folder, staging
+from newsloom.llm.common import remove_folder, remove_later, shared_folder, staging
 from newsloom.llm.decontaminate import drop_contaminated
 from newsloom.llm.exact_dedup import drop_exact
 from newsloom.llm.quality_rules import keep_quality
@@ -57,9 +57,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again; the last one's output stays."""
+    """All stages over the documents table, each written to the shared folder and read again.
+
+    The last one's output stays until ``release_staged`` is called or the process ends, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    remove_later(spark, folder)
     before = None
     for name, stage in STAGES:
         with staging():
