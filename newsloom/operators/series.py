@@ -107,10 +107,11 @@ def trading_curve(predictions: DataFrame, cost_bps: float = 15.0, at: str = "dat
     rows = predictions.withColumn("signal", F.when(F.col("predicted") > 0, 1).otherwise(0))
     rows = rows.withColumn("strategy_return", F.col("signal") * F.col("actual") + (0 if cash is None else (1 - F.col("signal")) * cash)).withColumn("trade", F.abs(F.col("signal") - F.lag("signal").over(w)))
     rows = rows.withColumn("transaction_cost", F.col("trade") * cost_bps / 10000).withColumn("net_return", F.col("strategy_return") - F.col("transaction_cost"))
-    curve = lambda c: F.when(F.col(c).isNotNull(), F.exp(F.sum(F.log1p(c)).over(so_far)))
+    # a product, so a total loss leaves nothing for good
+    curve = lambda c: F.when(F.col(c).isNotNull(), F.product(F.col(c) + 1).over(so_far))
     rows = rows.withColumn("cum_strategy", curve("net_return")).withColumn("cum_market", curve("actual"))
     top = F.max("cum_strategy").over(so_far)
-    return rows.withColumn("drawdown", (F.col("cum_strategy") - top) / top)
+    return rows.withColumn("drawdown", F.try_divide(F.col("cum_strategy") - top, top))
 
 
 def trading_metrics(curve: DataFrame, periods: int = 12) -> DataFrame:

@@ -151,3 +151,16 @@ def narrative_retrieval(spark, folder):
     """The article of each month that a topic weighs most in."""
     w = weights(spark, folder).select("doc_id", "topic_000", F.last_day(F.to_date("date")).alias("date")).join(B.news(spark, folder).select("doc_id", "article_id"), "doc_id")
     return w.groupBy("date").agg(F.max_by("article_id", F.struct("topic_000", "article_id")).alias("article_id"))
+
+
+_ARTICLES = f"(unpivot (select w.*, last_day(w.date) as month, article_id from {WEIGHTS} w join (select doc_id, article_id from {NEWS}) using (doc_id)) on {', '.join(TOPICS)} into name topic value weight)"
+
+
+@plan(f"""select month as date, topic, cast(rank as integer) as rank, article_id, round(weight, 6) as weight from
+    (select month, topic, article_id, weight, row_number() over (partition by month, topic order by weight desc, article_id) as rank from {_ARTICLES}) where rank <= 5""")
+def narratives(spark, folder):
+    """The five articles of each month and topic that the topic weighs most in (a report)."""
+    w = weights(spark, folder).join(B.news(spark, folder).select("doc_id", "article_id"), "doc_id")
+    long = R.melt(w.select(F.last_day(F.to_date("date")).alias("date"), "article_id", *TOPICS), ["date", "article_id"], TOPICS, "topic", "weight")
+    rank = F.row_number().over(W.partitionBy("date", "topic").orderBy(F.desc("weight"), "article_id"))  # each task keeps its own first five
+    return long.withColumn("rank", rank).where("rank <= 5").select("date", "topic", "rank", "article_id", F.round("weight", 6).alias("weight"))

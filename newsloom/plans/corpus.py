@@ -9,6 +9,7 @@ from newsloom.functions import text as X
 from newsloom.functions import values as V
 from newsloom.operators import lemmas as A
 from newsloom.operators import near_duplicates as N
+from newsloom.operators import relational as R
 from newsloom.operators import vocabulary as T
 from newsloom.operators.lineage import cut_lineage
 from newsloom.plans.registry import NEWS, clean_sql, news_sql, plan, words
@@ -79,6 +80,25 @@ def clean_text_basic(spark, folder):
     return cleaned(spark, folder).select("doc_id", _md5(F.col("clean")).alias("clean_md5"))
 
 
+_QUIET = """array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: not (length(s) > 0 and length(regexp_replace(s, '[^A-Z]', '', 'g')) >= 0.7e0 * length(s))), ' ')"""
+_QUIET = rf"regexp_replace(regexp_replace({_QUIET}, '\$[A-Z]+', ' ', 'g'), '\b[A-Z]+\.[A-Z]+\b', ' ', 'g')"
+
+
+@plan(f"select doc_id, md5({clean_sql(_QUIET)}) as clean_md5 from documents")
+def clean_text_case_rules(spark, folder):
+    """Cleaned with the rules for upper case (tickers, symbols, shouting lines) before lower-casing."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", _md5(X.clean_basic(F.col("text"), ascii_case_rules=True)).alias("clean_md5"))
+
+
+@plan(f"select word, count(*) as n from (select unnest(string_split(clean, ' ')) as word from {CLEAN}) where word in (select unnest([{words(L.STOP_WORDS)}]) union select unnest([{words(L.NEWS_STOP_WORDS)}])) group by word")
+def stop_words_found(spark, folder):
+    """How often the words of either stop list stand in the documents; the lists are small and made one."""
+    both = spark.createDataFrame([(w,) for w in L.STOP_WORDS], "word string").union(spark.createDataFrame([(w,) for w in L.NEWS_STOP_WORDS], "word string")).distinct()
+    found = cleaned(spark, folder).select(F.explode(F.split("clean", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(both), "word", "left_semi")
+
+
 @plan(f"select page_id, md5({clean_sql('html')}) as clean_md5 from pages")
 def clean_html_pages(spark, folder):
     return table(spark, folder, "pages").select("page_id", _md5(X.clean_basic(F.col("html"))).alias("clean_md5"))
@@ -256,8 +276,9 @@ def tfidf_past_years(spark, folder):
 
 @plan(f"""select list_transform([0.5, 0.75, 0.9, 0.95, 0.99], lambda p: p) as p, quantile_cont(len(tokens), [0.5, 0.75, 0.9, 0.95, 0.99]) as n from {TOKENS}""".replace("list_transform([0.5, 0.75, 0.9, 0.95, 0.99], lambda p: p) as p, ", ""))
 def length_percentiles(spark, folder):
-    t = cleaned(spark, folder).select(F.size(X.tokens(F.col("clean"))).alias("n"))
-    return t.agg(F.percentile("n", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99)))).alias("n"))
+    t = cleaned(spark, folder).select(F.lit("tokens").alias("name"), F.size(X.tokens(F.col("clean"))).alias("size"))
+    found = R.quantiles(t, "name", "size", [0.5, 0.75, 0.9, 0.95, 0.99])
+    return found.select(F.array(*(F.col(f"q{i}").cast("double") for i in range(5))).alias("n"))
 
 
 @plan(f"select doc_id, article_id, md5(title || cast(published_at as varchar)) as key from {NEWS}")

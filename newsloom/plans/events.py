@@ -68,8 +68,8 @@ def market_period(spark, folder):
     (select event_id, event_type, row_number() over w as rn, list(event_type) over (partition by user_id order by ts, event_id rows between 20 preceding and 1 preceding) as past
     from events window w as (partition by user_id order by ts, event_id))""")
 def novelty_score(spark, folder):
-    e = table(spark, folder, "events")
-    return e.select("event_id", F.round(E.novelty("event_type", ["ts", "event_id"], "user_id"), 6).alias("novelty"))
+    e = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
+    return E.novelty_in_blocks(e, "event_type", ["ts", "event_id"], "user_id").select("event_id", F.round("novelty_score", 6).alias("novelty"))
 
 
 @plan(f"""select event_date, primary_topic, count(event_id) as news_count, round_even(avg(sentiment_direction), 4) as avg_sentiment, round_even(avg(sentiment_intensity), 4) as avg_intensity,
