@@ -309,3 +309,12 @@ def stream_daily_counts(spark, folder):
 def stream_novelty(spark, folder):
     rows = ES.drain(ES.novelty(ES.event_stream(spark, folder)), shared_folder(spark))
     return rows.withColumn("novelty", F.round("novelty", 6))
+
+
+@plan("""select user_id, min(ts) as start, max(ts) as last, count(*) as n from
+    (select *, sum(case when before is null or ts - before > interval 6 hours then 1 else 0 end) over (partition by user_id order by ts, event_id) as s from
+    (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events)) group by user_id, s""")
+def stream_sessions(spark, folder):
+    """The stream's sessions over all files are those of the whole table."""
+    rows = ES.drain(ES.sessions(ES.event_stream(spark, folder)), shared_folder(spark), "complete")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
