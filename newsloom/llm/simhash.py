@@ -9,13 +9,14 @@ that meet.
 
 Equal fingerprints count once. Before pairs are made, each member of a bucket is tied to one hub where that is near
 enough: in large buckets the member nearest to the bucket's bitwise majority, else the smallest. What this connects is
-one root. A fingerprint then meets the roots of a bucket, one row each, and only the members of other roots, so a
-group of near copies that its hubs connect costs one link per member and bucket, not one per pair.
+one root, so a group of near copies that its hubs connect costs one link per member and bucket, not one per pair. Then
+fingerprints of different roots meet in their buckets; a crowded bucket is divided by further bits, see ``_links``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -33,6 +34,8 @@ BITS = 64
 _BLOCK = 200_000
 #: Buckets of as many fingerprints look for a hub near their middle.
 _CROWD = 32
+#: Fingerprints that a bucket may have before it is divided.
+BUCKET = 64
 #: For each byte, its bits spread over the bytes of a 64-bit word.
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -153,6 +156,63 @@ def _hubs(keyed: DataFrame, rows: int) -> DataFrame:
     return staged(nearest.select("key", "n", F.col("near.fp").alias("hub")).unionByName(sizes.where(F.col("n") < _CROWD)), "hubs")
 
 
+def _classes(level: int, parts: int) -> list[int]:
+    """The bits in as many classes as there are parts, cut anew at every level: masks as signed 64-bit integers."""
+    order, out = np.random.default_rng(level).permutation(BITS).tolist(), []
+    for j in range(parts):
+        mask = sum(1 << b for b in order[j::parts])
+        out.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
+    return out
+
+
+def _without(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """``rows`` without those of ``keys(key, n)``, of which the most frequent are broadcast."""
+    hot = F.col("n") > most // 1000
+    return rows.join(F.broadcast(keys.where(hot).select("key")), "key", "left_anti").join(keys.where(~hot).select("key"), "key", "left_anti")
+
+
+def _meet(probe: DataFrame, held: DataFrame) -> DataFrame:
+    """Every probing fingerprint with the few that a bucket holds."""
+    return probe.join(held, "key")
+
+
+def _links(ring: Ring, rooted: DataFrame, most: int) -> DataFrame:
+    """``(root_a, root_b)`` of near fingerprints that have different roots, ``rooted(fp, root)``.
+
+    A fingerprint meets the members of its buckets if those are few. What is in a crowded bucket is divided: in one of
+    ``most + 1`` classes of the bits two near fingerprints agree, so they meet again under a bucket of that class; the
+    classes are other ones at every level, until no bucket is crowded. Buckets of one root alone have nothing to find.
+    """
+    probe = rooted.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), F.explode(ring.near_keys(F.col("fp"))).alias("key"))
+    held = rooted.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(ring.keys(F.col("fp"))).alias("key"))
+    found, level = [], 0
+    while True:
+        sizes = staged(held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET), "crowded")
+        total, crowds = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        few = _without(held, sizes, total) if crowds else held
+        diff = F.col("a").bitwiseXOR(F.col("b"))
+        near = F.bit_count(diff) <= most
+        # the chain's budget is the same from both ends, so each two roots meet from one side
+        near = near & ring.chain_holds(F.col("key"), diff) if not level else near
+        some_probe = probe.join(F.broadcast(sizes.where(F.col("n") > total // 1000).select("key")), "key", "left_anti") if crowds else probe
+        found.append(_meet(some_probe, few).where((F.col("root_a") < F.col("root_b")) & near).select("root_a", "root_b").distinct())
+        if not crowds:
+            break
+        some = staged(join_hot(held, sizes, "key", total), "members")
+        other = staged(join_hot(probe, sizes, "key", total), "probes")
+        roots = some.select("key", F.col("root_b").alias("root")).union(other.select("key", F.col("root_a").alias("root")))
+        mixed = staged(roots.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n"), "mixed")
+        level += 1
+        masks = [F.lit(m).cast("long") for m in _classes(level, ring.parts)]
+
+        def divided(rows: DataFrame, fp: str, root: str) -> DataFrame:
+            keys = F.array(*(F.xxhash64("key", F.lit(j), F.col(fp).bitwiseAND(m)) for j, m in enumerate(masks)))
+            return staged(join_hot(rows.drop("n"), mixed, "key", 16 * total).select(fp, root, F.explode(keys).alias("key")), "divided")
+
+        held, probe = divided(some, "b", "root_b"), divided(other, "a", "root_a")
+    return staged(reduce(DataFrame.unionByName, found), "links")
+
+
 def near_components(values: DataFrame, most: int = 4, links: int | None = None) -> DataFrame:
     """``values(fp)`` distinct -> ``(fp, root)``: root is one fingerprint for all that are linked, directly or not.
 
@@ -168,12 +228,7 @@ def near_components(values: DataFrame, most: int = 4, links: int | None = None)
     tied = join_hot(keyed, _hubs(keyed, rows), "key", rows).where("fp <> hub").where(_distance("fp", "hub") <= most)
     first = connected_components(tied.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
     rooted = staged(values.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
-    left = rooted.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), F.explode(ring.near_keys(F.col("fp"))).alias("key"))
-    right = rooted.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(ring.keys(F.col("fp"))).alias("key"))
-    # the chain's budget is the same from both ends, so each two roots meet from one side
-    others = left.join(right.select("key", "root_b").distinct(), "key").where("root_a < root_b")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = others.join(right, ["key", "root_b"]).where((F.bit_count(diff) <= most) & ring.chain_holds(F.col("key"), diff))
+    pairs = _links(ring, rooted, most)
     second = connected_components(pairs.select(F.col("root_a").alias("u"), F.col("root_b").alias("v")))
     tops = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = tops.join(rooted.groupBy("root").agg(F.count("*").alias("n")), "root")
