@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import relational as R
 from newsloom.operators import series as S
+from newsloom.operators.lineage import shared_path
 from newsloom.plans.registry import MONTHLY, NEWS, PRICES, RETURNS, plan
 from newsloom.sources import bindings as B
+from newsloom.sources import vendor
 from newsloom.sources.readers import long_quotes, paging_windows, table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -224,3 +228,31 @@ def trading_curve_bills(spark, folder):
 def trading_metrics(spark, folder):
     m = S.trading_metrics(S.trading_curve(predictions(spark, folder)))
     return m.select(*(c if c == "n_trades" else F.round(c, 6).alias(c) for c in m.columns))
+
+
+#: The first and last day of the news view, and of the prices.
+_NEWS_DAYS, _PRICE_DAYS = (date(2023, 1, 1), date(2025, 10, 31)), (date(1995, 1, 1), date(2001, 12, 31))
+
+
+def answered(spark, rows, days):
+    """``rows`` written as vendor answers and opened again through the source."""
+    path = shared_path(spark, "answers")
+    vendor.write_answers(rows, path, days[0])
+    vendor.register(spark)
+    reader = spark.read.format("vendor_answers").schema(rows.schema).option("from", days[0].isoformat()).option("to", days[1].isoformat())
+    return reader.load(path)
+
+
+@plan(f"select cast(published_at as date) as day, symbol_query as symbol, doc_id, md5(content) as content_md5 from {NEWS} where cast(published_at as date) >= date '2024-02-10' and cast(published_at as date) < date '2025-03-01'")
+def news_answers(spark, folder):
+    """News of a period from vendor answers: windows outside it are never opened."""
+    news = B.news(spark, folder).select(F.to_date("published_at").alias("day"), F.col("symbol_query").alias("symbol"), "doc_id", "content")
+    rows = answered(spark, news, _NEWS_DAYS).where((F.col("day") >= date(2024, 2, 10)) & (F.col("day") < date(2025, 3, 1)))
+    return rows.select("day", "symbol", "doc_id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@plan(f"select date as day, symbol, adjusted_close, volume from {PRICES}")
+def price_answers(spark, folder):
+    """All prices from vendor answers."""
+    prices = B.daily_prices(spark, folder).select(F.col("date").alias("day"), "symbol", "adjusted_close", "volume")
+    return answered(spark, prices, _PRICE_DAYS)
