@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import lexicon as L
+from newsloom.functions import tables
 from newsloom.functions import text as X
 from newsloom.functions import values as V
 from newsloom.operators import lemmas as A
@@ -185,6 +186,14 @@ def lemma_documents(spark, folder):
     return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), _md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+@plan(f"select doc_id, term, cast(count(*) as bigint) as count from (select doc_id, unnest(tokens) as term from {TOKENS}) group by all")
+def term_counts_in_sql(spark, folder):
+    """The bag of words by a table function that SQL calls over a partitioned table."""
+    tables.register(spark)
+    docs = cleaned(spark, folder).select("doc_id", X.tokens(F.col("clean")).alias("tokens"))
+    return spark.sql("select * from term_counts(table({docs}), key => 'doc_id', tokens => 'tokens')", docs=docs)
+
+
 @plan(f"select doc_id, len(bigrams) as n_bigrams, md5(array_to_string(bigrams, ' ')) as bigrams_md5 from {PROCESSED}")
 def bigrams(spark, folder):
     return processed(spark, folder).select("doc_id", F.size("bigrams").cast("long").alias("n_bigrams"), _md5(F.array_join("bigrams", " ")).alias("bigrams_md5"))
