@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators import moments as Q
+from newsloom.operators.lineage import cut_lineage
+
 
 def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 1000, tol: float = 1e-10, mix: float = 1.0) -> tuple[float, np.ndarray]:
     """Intercept and weights minimising RSS / 2n + alpha * (mix * |w|_1 + (1 - mix) / 2 * |w|_2^2) by coordinate descent.
@@ -41,28 +46,32 @@ def _scaled(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
 def lasso_select(panel: DataFrame, features: list[str], target: str = "y", at: str = "date", alphas: int = 20, folds: int = 5, most: int = 10, mix: float = 1.0) -> DataFrame:
     """``(feature, coefficient, r2, mse, mse_of_mean)`` of the non-zero weights, the largest ``most``.
 
-    Alpha is chosen by cross-validation over blocks of time; the fit's measures stand beside those of the mean alone. The
-    panel has a row a period and is read once.
+    Alpha is chosen by cross-validation over blocks of time; the fit's measures stand beside those of the mean alone.
+    The cluster takes sums of products by block; training sets are differences of those, so rows never leave it.
     """
-    pdf = panel.orderBy(at).select(*features, target).toPandas()
-    x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
-    (z,) = _scaled(x)
-    top = np.abs(z.T @ (y - y.mean())).max() / len(y) / mix
+    rows = panel.select(at, *features, target).dropna()
+    n = rows.count()
+    found = Q.moments(Q.blocks(rows, at, n, folds), [*features, target], "block")
+    whole = reduce(lambda x, y: x - Q.Moments(-y.n, -y.sums, -y.products), found.values())
+    z = Q.scaled(whole, *Q.scales(whole))
+    mean, y = z.sums / z.n, -1
+    top = np.abs(z.products[:y, y] / z.n - mean[:y] * mean[y]).max() / mix
     grid = top * np.logspace(0, -3, alphas)
-    blocks = np.array_split(np.arange(len(y)), folds)
-    loss = [np.mean([_loss(x, y, b, a, mix) for b in blocks]) for a in grid]
-    b, w = lasso(z, y, grid[int(np.argmin(loss))], mix=mix)
-    mse, mean = float(((y - b - z @ w) ** 2).mean()), float(((y - y.mean()) ** 2).mean())
+    loss = [np.mean([_held_out(whole, m, a, mix) for m in found.values()]) for a in grid]
+    b, w = Q.lasso(z, grid[int(np.argmin(loss))], mix)
+    mse, flat = z.squares(b, np.append(w, -1.0)) / z.n, z.products[y, y] / z.n - mean[y] ** 2
     chosen = sorted(((f, float(c)) for f, c in zip(features, w) if c), key=lambda r: (-abs(r[1]), r[0]))[:most]
-    rows = [(*c, 1 - mse / mean if mean else 0.0, mse, mean) for c in chosen]
-    return panel.sparkSession.createDataFrame(rows, "feature string, coefficient double, r2 double, mse double, mse_of_mean double")
+    out = [(*c, float(1 - mse / flat) if flat else 0.0, float(mse), float(flat)) for c in chosen]
+    return panel.sparkSession.createDataFrame(out, "feature string, coefficient double, r2 double, mse double, mse_of_mean double")
 
 
-def _loss(x, y, block, alpha, mix) -> float:
-    keep = np.setdiff1d(np.arange(len(y)), block)
-    train, test = _scaled(x[keep], x[block])
-    b, w = lasso(train, y[keep], alpha, mix=mix)
-    return float(((y[block] - b - test @ w) ** 2).mean())
+def _held_out(whole: Q.Moments, block: Q.Moments, alpha: float, mix: float) -> float:
+    """The mean squared error on a block of what the others say, scaled as they are."""
+    train = whole - block
+    scale = Q.scales(train)
+    b, w = Q.lasso(Q.scaled(train, *scale), alpha, mix)
+    test = Q.scaled(block, *scale)
+    return test.squares(b, np.append(w, -1.0)) / test.n
 
 
 def lasso_backtest(panel: DataFrame, features: list[str], target: str = "y", at: str = "date", share: float = 0.3, least: int = 60, alpha: float = 0.01, window: int | None = None) -> DataFrame:
@@ -110,7 +119,13 @@ def var_order(x: np.ndarray, most: int) -> int:
 def impulse_responses(coefficients: np.ndarray, residuals: np.ndarray, steps: int = 12) -> np.ndarray:
     """(steps + 1, response, shock): orthogonalised by the Cholesky factor of the residuals' covariance."""
     lags, k, _ = coefficients.shape
-    factor = np.linalg.cholesky(residuals.T @ residuals / (len(residuals) - lags * k - 1))
+    return responses_of(coefficients, residuals.T @ residuals / (len(residuals) - lags * k - 1), steps)
+
+
+def responses_of(coefficients: np.ndarray, covariance: np.ndarray, steps: int = 12) -> np.ndarray:
+    """``impulse_responses`` from the residuals' covariance."""
+    lags, k, _ = coefficients.shape
+    factor = np.linalg.cholesky(covariance)
     psi = [np.eye(k)]
     for h in range(1, steps + 1):
         psi.append(sum(coefficients[i] @ psi[h - 1 - i] for i in range(min(lags, h))))
@@ -195,11 +210,74 @@ def _matrix(panel: DataFrame, cols: list[str], at: str) -> np.ndarray:
     return _scaled(x)[0]
 
 
+@dataclass
+class Autoregression:
+    """Moments of standardised series and of their lags, at the order by AIC: what all that follows is computed from."""
+
+    cols: list[str]
+    lags: int
+    moments: Q.Moments
+
+    @staticmethod
+    def of(panel: DataFrame, cols: list[str], at: str, most_lags: int) -> Autoregression:
+        """Orders are compared on the same periods; the chosen one's moments are of all periods that have its lags."""
+        rows = Q.standardised(panel.select(at, *cols).dropna(), cols)
+        every = cut_lineage(Q.lagged(rows, cols, at, most_lags))
+        k = len(cols)
+        names = lambda p: [*cols, *(f"{c}_{lag}" for lag in range(1, p + 1) for c in cols)]
+        m, scores = Q.moments(every, names(most_lags))[None], {}
+        for p in range(1, most_lags + 1):
+            _, rest = Q.solved(m, list(range(k)), list(range(k, k + p * k)))
+            scores[p] = np.linalg.slogdet(rest / m.n)[1] + 2 * (p * k * k + k) / m.n
+        best = min(scores, key=scores.get)
+        return Autoregression(cols, best, Q.moments(every, names(best))[None])
+
+    def places(self, column: int) -> list[int]:
+        """Where the lags of a series stand, the nearest first."""
+        k = len(self.cols)
+        return [k * lag + column for lag in range(1, self.lags + 1)]
+
+    def fit(self) -> tuple[np.ndarray, np.ndarray]:
+        """(lags, k, k) coefficients, and the residuals' products."""
+        k = len(self.cols)
+        beta, rest = Q.solved(self.moments, list(range(k)), list(range(k, k + self.lags * k)))
+        return beta[1:].reshape(self.lags, k, k).transpose(0, 2, 1), rest
+
+    def sparse(self) -> np.ndarray:
+        """(lags, k, k) coefficients of equations that keep a variable with all its lags or not at all, see ``sparse_var``."""
+        k, n = len(self.cols), self.moments.n
+        out = np.zeros((self.lags, k, k))
+
+        def solved(i: int, groups: list[int]) -> tuple[float, np.ndarray]:
+            given = [p for j in groups for p in self.places(j)]
+            beta, rest = Q.solved(self.moments, [i], given)
+            return math.log(max(float(rest[0, 0]) / n, 1e-300)) + 2 * (1 + len(given)) / n, beta[:, 0]
+
+        for i in range(k):
+            chosen = [i]
+            score, beta = solved(i, chosen)
+            while others := [j for j in range(k) if j not in chosen]:
+                found = min((solved(i, [*chosen, j])[0], j) for j in others)
+                if found[0] >= score:
+                    break
+                chosen.append(found[1])
+                score, beta = solved(i, chosen)
+            for at, j in enumerate(chosen):
+                out[:, i, j] = beta[1 + at * self.lags : 1 + (at + 1) * self.lags]
+        return out
+
+    def causes(self, cause: int, effect: int) -> float:
+        """p-value that lags of ``cause`` add nothing to lags of ``effect``; 1 where it cannot be computed."""
+        free = self.moments.n - 2 * self.lags - 1
+        rss = [float(Q.solved(self.moments, [effect], given)[1][0, 0]) for given in (self.places(effect), [*self.places(effect), *self.places(cause)])]
+        return f_survival((rss[0] - rss[1]) / self.lags / (rss[1] / free), self.lags, free) if free > 0 and rss[1] > 0 else 1.0
+
+
 def var_irf(panel: DataFrame, cols: list[str], at: str = "date", most_lags: int = 3, steps: int = 12) -> DataFrame:
     """``(shock, response, h, value, share)`` of a vector autoregression of order by AIC."""
-    x = _matrix(panel, cols, at)
-    _, coefficients, residuals = fit_var(x, var_order(x, most_lags))
-    values = impulse_responses(coefficients, residuals, steps)
+    model = Autoregression.of(panel, cols, at, most_lags)
+    coefficients, rest = model.fit()
+    values = responses_of(coefficients, rest / (model.moments.n - model.lags * len(cols) - 1), steps)
     shares = variance_decomposition(values)
     rows = [(cols[j], cols[i], h, float(values[h, i, j]), float(shares[h, i, j])) for h in range(steps + 1) for i in range(len(cols)) for j in range(len(cols))]
     return panel.sparkSession.createDataFrame(rows, "shock string, response string, h int, value double, share double")
@@ -207,8 +285,7 @@ def var_irf(panel: DataFrame, cols: list[str], at: str = "date", most_lags: int
 
 def var_groups(panel: DataFrame, cols: list[str], at: str = "date", most_lags: int = 3) -> DataFrame:
     """``(response, variable, lag, coefficient)`` of the groups that a sparse vector autoregression keeps."""
-    x = _matrix(panel, cols, at)
-    _, coefficients, _ = sparse_var(x, var_order(x, most_lags))
+    coefficients = Autoregression.of(panel, cols, at, most_lags).sparse()
     rows = [(cols[i], cols[j], lag + 1, float(coefficients[lag, i, j])) for i in range(len(cols)) for j in range(len(cols)) if coefficients[:, i, j].any() for lag in range(len(coefficients))]
     return panel.sparkSession.createDataFrame(rows, "response string, variable string, lag int, coefficient double")
 
@@ -248,9 +325,8 @@ def irf_bands(panel: DataFrame, cols: list[str], at: str = "date", most_lags: in
 
 def granger(panel: DataFrame, causes: list[str], effect: str, at: str = "date", most_lags: int = 3) -> DataFrame:
     """``(cause, p_value)`` for each series, at the order by AIC of the autoregression of all of them."""
-    x = _matrix(panel, [*causes, effect], at)
-    lags = var_order(x, most_lags)
-    rows = [(c, granger_p(x[:, i], x[:, -1], lags)) for i, c in enumerate(causes)]
+    model = Autoregression.of(panel, [*causes, effect], at, most_lags)
+    rows = [(c, model.causes(i, len(causes))) for i, c in enumerate(causes)]
     return panel.sparkSession.createDataFrame(rows, "cause string, p_value double")
 
 
