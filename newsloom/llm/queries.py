@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = weak_supervision.quality_votes(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +140,64 @@ def vector_codes_sql(entries: int = 16, rounds: int = 6, positions: int = 8, wid
     return f"with {', '.join(steps)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha as codebooks_sha256 from coded join v using (vec_id), book"
 
 
+def weak_supervision_sql(rounds: int = 50, prior: float = 0.01) -> str:
+    """Statistics, votes and the rounds of estimation, which follow each other in a recursion over the votes' numbers."""
+    rules, n = weak_supervision.RULES, len(weak_supervision.RULES)
+    good, bad_bad, bad_good = weak_supervision.START
+    kept = lambda others: f"length(regexp_replace(t, '{others}', '', 'g'))"
+    # one mark three times in a row, each of them spelt out
+    runs = "|".join("".join(f"\\x{b:02X}" for _ in range(3)) for b in range(0x21, 0x7F) if not chr(b).isalnum())
+    votes = ", ".join(f"case when {r.bad} then -1 when {r.good} then 1 else 0 end" for r in rules)
+    odds = f"ln(good / (1 - good)) + list_sum(list_transform(range(1, {n + 1}), lambda i: case when v[i] < 0 then ln(bg[i] / bb[i]) when v[i] > 0 then ln((1 - bg[i]) / (1 - bb[i])) else 0 end))"
+    share = lambda weight, start, i: f"({prior} * total * {start} + coalesce(sum(k * {weight}) filter (v[{i}] < 0), 0)) / ({prior} * total + coalesce(sum(k * {weight}) filter (v[{i}] <> 0), 0))"
+    when_good = [share("p", bad_good, i) for i in range(1, n + 1)]
+    when_bad = [f"greatest({share('(1 - p)', bad_bad, i)}, {g})" for i, g in zip(range(1, n + 1), when_good)]
+    return f"""
+        with recursive d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
+        windows as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+        twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as often from windows) where often > 1),
+        repeats as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from twice) group by doc_id),
+        stats as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, {kept("[^#*$%&|<>]+")} as n_symbols,
+            cast(len(lines) as bigint) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words,
+            {kept(r"\P{L}+")} as n_letters, {kept("[^A-Z]+")} as n_upper, {kept("[^0-9]+")} as n_digits, {kept("[^!?]+")} as n_bangs, {kept("[^.,;:]+")} as n_stops,
+            len(regexp_extract_all(t, '{runs}')) as n_runs, len(list_filter(w, lambda x: not regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) as n_bare
+            from d left join repeats r on d.doc_id = r.doc_id),
+        voted as materialized (select *, [{votes}] as v from stats),
+        pats as materialized (select v, count(*) as k, sum(count(*)) over () as total from voted group by v),
+        em as (select 0 as round, {good}::double as good, [{bad_bad}::double for x in range({n})] as bb, [{bad_good}::double for x in range({n})] as bg
+            union all select round + 1, any_value(({prior} * total * {good} + mass) / (total + {prior} * total)), any_value(b), any_value(g) from
+            (select round, any_value(total) as total, sum(k * p) as mass, [{", ".join(when_bad).replace("total", "any_value(total)")}] as b, [{", ".join(when_good).replace("total", "any_value(total)")}] as g
+             from (select round, v, k, total, 1 / (1 + exp(-({odds}))) as p from em, pats where round < {rounds}) group by round) group by round),
+        last as (select * from em where round = (select max(round) from em)),
+        scored as (select voted.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, 1 / (1 + exp(-({odds}))) as posterior from voted, last)
+        select doc_id, n_words, word_chars, cast(n_symbols as bigint) as n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and posterior >= 0.5 as kept, round(posterior, 6) as posterior from scored"""
+
+
+def spelling_sql(every: int = 97) -> str:
+    """CRC-32 byte by byte over ``id:run`` (letters have one byte or two), words with a hole or without a letter for near ones."""
+    table = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+        with recursive crc as materialized (select {table}::bigint[] as tab),
+        runs as materialized (select doc_id, run, count(*) as k from
+            (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), '{upper}', '{lower}') as run from documents) group by all),
+        coded as (select run, k, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+            lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])) as c from runs, crc),
+        typed as (select k, case when xor(c, 4294967295::bigint) % {every} = 0
+            then substr(run, 1, (xor(c, 4294967295::bigint) % length(run))::int) || substr(run, (xor(c, 4294967295::bigint) % length(run))::int + 2) else run end as word from coded),
+        words as materialized (select word, cast(sum(k) as bigint) as n from typed where length(word) >= 5 group by word having sum(k) >= 3),
+        holes as materialized (select word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as hole, substr(word, 1, i - 1) || substr(word, i + 1) as short
+            from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+        near as (select a.word, b.word as other, b.n from holes a join holes b on a.hole = b.hole and a.word <> b.word
+            union select l.word, w.word, w.n from holes l join words w on l.short = w.word union select w.word, l.word, l.n from holes l join words w on l.short = w.word),
+        best as (select word, count(*) as n_near, first(other order by n desc, other) as other, max(n) as other_n from near group by word),
+        formed as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * w.n then other end as form, case when other_n >= 2 * w.n then other_n end as form_n
+            from words w left join best b on w.word = b.word),
+        chain as (select word, word as root, form as next from formed union all select c.word, f.word, f.form from chain c join formed f on c.next = f.word)
+        select f.word, f.form, c.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from formed f join chain c on f.word = c.word where c.next is null"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -182,7 +241,9 @@ ORACLE = {
                string_agg(head || body || chr(10), '' order by ord) as rendered,
                coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(body) as bigint), ',' order by ord) filter (own), '') as mask
         from c group by conv_id, perspective""",
+    "op11_weak_supervision": weak_supervision_sql(),
     "op12_vector_codes": vector_codes_sql(),
+    "op13_spelling": spelling_sql(),
 }
 
 

@@ -138,7 +138,7 @@ class VoteModel:
 
 
 #: Where estimation begins, and what counts besides the texts: a bad text breaks three rules of ten, a good one hardly any.
-_GOOD, _BAD_WHEN_BAD, _BAD_WHEN_GOOD = 0.8, 0.3, 0.02
+START = _GOOD, _BAD_WHEN_BAD, _BAD_WHEN_GOOD = 0.8, 0.3, 0.02
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 50, prior: float = 0.01) -> VoteModel:

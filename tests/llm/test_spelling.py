@@ -2,11 +2,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import spelling
-from newsloom.llm.queries import op13_spelling
+from newsloom.llm.queries import op13_spelling, oracle_sql
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string"
@@ -69,6 +70,9 @@ def test_whole_query_against_loops(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute(rows)
     assert got(df) == want and df.count() == len(want) > 1000
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    assert {w: tuple(more) for w, *more in db.execute(oracle_sql()["op13_spelling"]).fetchall()} == want
     assert any(f and r != f for f, r, *_ in want.values())
     assert dict(df.dtypes) == {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"}
 

@@ -2,10 +2,11 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from newsloom.llm import weak_supervision as W
-from newsloom.llm.queries import op11_weak_supervision
+from newsloom.llm.queries import op11_weak_supervision, oracle_sql
 
 SF = "/root/testdata/sf0.01"
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -55,6 +56,11 @@ def test_whole_query_against_loops(spark):
         assert tuple(r[n] for n in NAMES) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    stated = db.execute(oracle_sql()["op11_weak_supervision"]).fetchall()
+    assert sorted(s[:-1] for s in stated) == sorted((i, *(r[n] for n in NAMES), r.base_failed, r.kept) for i, r in rows.items())
+    assert all(abs(s[-1] - rows[s[0]].posterior) < 2e-6 for s in stated)
     voted = W.quality_votes(spark.read.parquet(f"{SF}/documents.parquet"))
     found = voted.collect()
     patterns = Counter(tuple(r[f"vote_{rule.name}"] for rule in W.RULES) for r in found)
