@@ -9,7 +9,7 @@ from newsloom.functions import text as X
 from newsloom.functions import values as V
 from newsloom.operators import asof as J
 from newsloom.operators import relational as R
-from newsloom.plans.attention import K, LONG, MONTHLY, TOPICS, WEIGHTS, monthly, monthly_long, weights
+from newsloom.plans.attention import K, LONG, MONTHLY, TOPICS, WEIGHTS, monthly, monthly_long
 from newsloom.plans.corpus import CLEAN, cleaned
 from newsloom.plans.registry import NEWS, plan
 from newsloom.sources import bindings as B
