@@ -2,15 +2,15 @@
 
 The 64 bits are cut into ``most + 1`` segments around a ring. If two fingerprints differ in at most ``most`` bits then
 some segment starts a chain of which every prefix of k segments differs in at most ``k * most / (most + 1)`` bits, so
-0 in the first, 1 in the first two, and so on round the ring. Chains of two are the join key (of three, where there
-are so many fingerprints that chance meetings would outnumber the keys): the first segment as it is, the others with
-every change that the budget allows on one side. Longer prefixes and then the full distance are checked on the pairs
-that meet.
-
-Equal fingerprints count once. Before pairs are made, each member of a bucket is tied to one hub where that is near
-enough: in large buckets the member nearest to the bucket's bitwise majority, else the smallest. What this connects is
-one root. A fingerprint then meets the roots of a bucket, one row each, and only the members of other roots, so a
-group of near copies that its hubs connect costs one link per member and bucket, not one per pair.
+0 in the first, 1 in the first two, and so on round the ring. The first segment is the key under which fingerprints
+meet (chains of two or three, where there are so many fingerprints that chance meetings would outnumber the keys: the
+first segment as it is, the others with every change that the budget allows). The longer prefixes, of which the last is
+the full distance, are checked on those that meet.
+
+Equal fingerprints count once. No pairs are made as rows: the members of a bucket are searched where they lie sorted,
+each against those not yet reached, and a bucket gives one link at most for each member. A crowded bucket is dealt to
+several tasks, in blocks of bounded size; its blocks are tied by a hub (the member nearest to the bucket's bitwise
+majority), and then only the members that are not of the bucket's commonest root meet all its blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ BITS = 64
 _BLOCK = 200_000
 #: Buckets of as many fingerprints look for a hub near their middle.
 _CROWD = 32
+#: Fingerprints that meet in one piece: a bucket of more is dealt in blocks.
+_ROOM = 4096
+#: Pairs compared at once.
+_AT_ONCE = 1 << 18
 #: For each byte, its bits spread over the bytes of a 64-bit word.
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -120,15 +124,13 @@ class Ring:
 
         return F.flatten(F.array(*(changed(i) for i in range(self.parts))))
 
-    def chain_holds(self, key: Column, diff: Column) -> Column:
-        """Whether the chain from the key's segment keeps its budget at every length."""
-        out = None
-        for i in range(self.parts):
-            sums, ok = F.bit_count(self.segment(diff, i)), F.bit_count(self.segment(diff, i)) == 0
-            for k in range(2, self.parts + 1):
-                sums = sums + F.bit_count(self.segment(diff, i + k - 1))
-                ok = ok & (sums <= self.budget(k))
-            out = F.when(F.shiftright(key, 48) == i, ok) if out is None else out.when(F.shiftright(key, 48) == i, ok)
+    def chain(self, i: int) -> list[tuple[np.uint64, int]]:
+        """The prefixes of the chain from segment i: their bits and how many of these may differ."""
+        out, mask = [], 0
+        for k in range(1, self.parts + 1):
+            at = (i + k - 1) % self.parts
+            mask |= ((1 << self.width[at]) - 1) << self.at[at]
+            out.append((np.uint64(mask), self.budget(k)))
         return out
 
 
@@ -153,34 +155,168 @@ def _hubs(keyed: DataFrame, rows: int) -> DataFrame:
     return staged(nearest.select("key", "n", F.col("near.fp").alias("hub")).unionByName(sizes.where(F.col("n") < _CROWD)), "hubs")
 
 
-def near_components(values: DataFrame, most: int = 4, links: int | None = None) -> DataFrame:
+def _near(chain: list[tuple[np.uint64, int]], some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``some``, in ``others``) of the pairs whose chain keeps its budget at every length."""
+    diff = some[:, None] ^ others[None, :]
+    mask, most = chain[min(1, len(chain) - 1)]  # the prefix of two segments turns away most at once
+    at, to = np.nonzero(np.bitwise_count(diff & mask) <= most)
+    diff = diff[at, to]
+    for mask, most in chain:
+        good = np.bitwise_count(diff & mask) <= most
+        at, to, diff = at[good], to[good], diff[good]
+    return at, to
+
+
+def _spanning(chain: list[tuple[np.uint64, int]], fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``fps`` connect by near pairs, as (member, first member reached): one link at most for each member."""
+    none = np.empty(0, np.uint64)
+    if len(fps) * len(fps) <= _AT_ONCE:  # most buckets have nothing near
+        at, to = _near(chain, fps, fps)
+        fps = fps[np.unique(at[at != to])]
+    members, firsts, left = [none], [none], fps
+    while len(left) > 1:
+        first, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            step = max(1, _AT_ONCE // len(left))
+            reached = np.zeros(len(left), bool)
+            reached[_near(chain, front[:step], left)[1]] = True
+            found, left, front = left[reached], left[~reached], front[step:]
+            members.append(found)
+            firsts.append(np.full(len(found), first))
+            front = np.concatenate([front, found])
+    return np.concatenate(members), np.concatenate(firsts)
+
+
+def _joined(chain: list[tuple[np.uint64, int]], some: np.ndarray, roots: np.ndarray, others: np.ndarray, their: np.ndarray) -> list[tuple[int, int]]:
+    """Roots that near pairs of ``some`` with ``others`` connect, as a forest: fewer links than roots."""
+    top: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (up := top.get(r, r)) != r:
+            top[r] = r = top.get(up, up)
+        return r
+
+    out, step = [], max(1, _AT_ONCE // max(1, len(others)))
+    for at in range(0, len(some), step):
+        a, b = _near(chain, some[at : at + step], others)
+        met = np.stack([roots[at : at + step][a], their[b]], axis=1)
+        for u, v in np.unique(met[met[:, 0] != met[:, 1]], axis=0).tolist():
+            if (x := find(u)) != (y := find(v)):
+                top[x] = y
+                out.append((u, v))
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of each group, of rows sorted by ``keys``; one group is held at a time, beside a batch."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        own = [columns[batch.schema.get_field_index(k)] for k in keys]
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1][batch.schema.get_field_index(k)][-1] != c[0] for k, c in zip(keys, own)):
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in own], axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            held.append([c[start:end] for c in columns])
+            if end < batch.num_rows:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _links(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    signed = [pa.array(np.concatenate([np.empty(0, np.int64), *(x.view(np.int64) for x in part)])) for part in (u, v)]
+    return pa.RecordBatch.from_arrays(signed, names=["u", "v"])
+
+
+def _bucket_links(dealt: DataFrame, ring: Ring) -> DataFrame:
+    """``dealt(key, block, fp)`` -> ``(u, v)``: what the members of a block connect."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains, u, v, n = [ring.chain(i) for i in range(ring.parts)], [], [], 0
+        for key, _, fp in _groups(batches, ["key", "block"]):
+            if len(fp) < 2:
+                continue
+            members, firsts = _spanning(chains[int(key[0]) >> 48], fp.view(np.uint64))
+            if len(members):
+                u.append(members)
+                v.append(firsts)
+                n += len(members)
+            if n > 1 << 16:
+                yield _links(u, v)
+                u, v, n = [], [], 0
+        yield _links(u, v)
+
+    by = ["key", "block"]
+    return dealt.select(*by, "fp").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
+
+
+def _cross_links(dealt: DataFrame, ring: Ring) -> DataFrame:
+    """``dealt(key, i, j, other, fp, root)`` -> ``(u, v)`` roots that a block of others and a block of all connect."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains = [ring.chain(i) for i in range(ring.parts)]
+        for key, _, _, other, fp, root in _groups(batches, ["key", "i", "j"]):
+            fp, other = fp.view(np.uint64), other.astype(bool)
+            found = _joined(chains[int(key[0]) >> 48], fp[other], root[other], fp[~other], root[~other])
+            if found:
+                yield _links(*([np.array(side, np.int64)] for side in zip(*found)))
+
+    by = ["key", "i", "j"]
+    return dealt.select(*by, "other", "fp", "root").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
+
+
+def _block(size: Column, room: int, *of: str) -> Column:
+    return F.pmod(F.xxhash64(*of), F.ceil(size / room)).cast("int")
+
+
+def near_components(values: DataFrame, most: int = 4, links: int | None = None, room: int | None = None) -> DataFrame:
     """``values(fp)`` distinct -> ``(fp, root)``: root is one fingerprint for all that are linked, directly or not.
 
-    ``links`` only moves work between keys and meetings; the result is the same. By default keys are chains of two
-    segments up to 2^30 fingerprints, beyond which chance meetings under them would cost more than chains of three.
+    ``links`` and ``room`` only move work; the result is the same. By default keys are single segments up to 2^26
+    fingerprints, chains of two up to 2^30, beyond which chance meetings would cost more than chains of three. A bucket
+    of more than ``room`` is crowded; as ``room`` grows with all rows, fewer than 2^17 keys are, and those are broadcast.
     """
     if not most:
         return values.select("fp", F.col("fp").alias("root"))
     count = values.count()
-    ring = Ring(most, links or (2 if count <= 1 << 30 else 3))
-    keyed = values.select("fp", F.explode(ring.keys(F.col("fp"))).alias("key"))
-    rows = ring.parts * count
-    tied = join_hot(keyed, _hubs(keyed, rows), "key", rows).where("fp <> hub").where(_distance("fp", "hub") <= most)
-    first = connected_components(tied.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
-    rooted = staged(values.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
-    left = rooted.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), F.explode(ring.near_keys(F.col("fp"))).alias("key"))
-    right = rooted.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(ring.keys(F.col("fp"))).alias("key"))
-    # the chain's budget is the same from both ends, so each two roots meet from one side
-    others = left.join(right.select("key", "root_b").distinct(), "key").where("root_a < root_b")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = others.join(right, ["key", "root_b"]).where((F.bit_count(diff) <= most) & ring.chain_holds(F.col("key"), diff))
-    second = connected_components(pairs.select(F.col("root_a").alias("u"), F.col("root_b").alias("v")))
+    ring = Ring(most, links or (1 if count <= 1 << 26 else 2 if count <= 1 << 30 else 3))
+    rows = count * sum(len(ring.changes(i)) for i in range(ring.parts))
+    room = room or max(_ROOM, rows >> 17, count >> 11)
+    keyed = values.select("fp", F.explode(ring.near_keys(F.col("fp"))).alias("key"))
+    sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > room), "crowded")
+    if sizes.isEmpty():
+        first = connected_components(_bucket_links(keyed.withColumn("block", F.lit(0)), ring))
+        return _rooted(values, first)
+    dealt = keyed.join(F.broadcast(sizes), "key", "left").withColumn("block", F.coalesce(_block(F.col("n"), room, "fp"), F.lit(0)))
+    some = keyed.join(F.broadcast(sizes.select("key")), "key", "left_semi")
+    tied = join_hot(some, _hubs(some, rows), "key", rows).where("fp <> hub").where(_distance("fp", "hub") <= most)
+    first = connected_components(_bucket_links(dealt, ring).unionByName(tied.select(F.col("fp").alias("u"), F.col("hub").alias("v"))))
+    rooted = staged(_rooted(values, first), "rooted")
+    members = staged(rooted.select("fp", "root", F.explode(ring.near_keys(F.col("fp"))).alias("key")).join(F.broadcast(sizes.select("key")), "key", "left_semi"), "members")
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mains = by_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    marked = members.join(F.broadcast(staged(mains, "mains")), "key")
+    # every other member meets every block of its bucket; those of the commonest root need not meet each other
+    i, j = _block(F.col("others"), room, "fp"), _block(F.col("n"), room, "fp")
+    each = lambda size: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(size) / room) - 1).cast("int")))
+    others = marked.where("root <> main").select("key", i.alias("i"), each("n").alias("j"), F.lit(True).alias("other"), "fp", "root")
+    everyone = marked.select("key", each("others").alias("i"), j.alias("j"), F.lit(False).alias("other"), "fp", "root")
+    second = connected_components(_cross_links(others.unionByName(everyone), ring))
     tops = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = tops.join(rooted.groupBy("root").agg(F.count("*").alias("n")), "root")
     still = rooted.join(tops.select("root"), "root", "left_anti")
     return still.unionByName(join_hot(rooted, staged(moved, "moved"), "root", count).select("fp", F.col("top").alias("root")))
 
 
+def _rooted(values: DataFrame, roots: DataFrame) -> DataFrame:
+    """``values(fp)`` with the ``root`` of each, itself where it has no link."""
+    return values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def _roots(rows: DataFrame, low: Column, most: int) -> DataFrame:
     """``rows(fp, ...)`` -> staged ``(fp, root, low, n)``: the least ``low`` and the number of rows of each fingerprint."""
     values = staged(rows.groupBy("fp").agg(F.min(low).alias("low"), F.count("*").alias("n")), "values")

@@ -86,3 +86,19 @@ def test_any_chain_length_gives_the_same_links(spark, links):
     tops = brute_components([f & (2**64 - 1) for f in fps])
     pairs = {(got[f], t) for f, t in zip(fps, tops)}
     assert len(got) == len(fps) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_buckets_make_no_more_links_than_members(spark):
+    from test_codec_warc_simhash import brute_components
+
+    fps = sorted({f for seed in range(3) for f in cloud(9, 500, seed)})
+    values = spark.createDataFrame([(f,) for f in fps], "fp long")
+    ring = simhash.Ring(4, 1)
+    keyed = values.select("fp", F.explode(ring.keys(F.col("fp"))).alias("key"), F.lit(0).alias("block"))
+    found = simhash._bucket_links(keyed, ring)
+    assert len(fps) < found.count() <= ring.parts * len(fps)
+    tops = brute_components([f & (2**64 - 1) for f in fps])
+    for room in (None, 100, 7):  # crowded buckets in blocks
+        got = {r.fp: r.root for r in simhash.near_components(values, room=room).collect()}
+        pairs = {(got[f], t) for f, t in zip(fps, tops)}
+        assert len(got) == len(fps) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
