@@ -72,6 +72,12 @@ def test_cleaning(spark):
     assert one(spark, X.clean_basic(F.lit(None).cast("string"))) == ""
     assert one(spark, X.clean_for_encoder(F.lit("Meta Platforms and NVDA: continue reading at a.co.uk, AAPL.US stock Motley Fool"))) == "company and company : at .uk,"
     assert one(spark, X.clean_for_encoder(F.lit("TSLA stock"), mask_domain=False)) == "TSLA stock"
+    # letters beyond ASCII are no word characters, as in the SQL
+    import duckdb
+    from newsloom.plans.corpus import _encoder_sql
+
+    odd = "sell\u00f3 \u00e9stock\u00f1 buy_ \u4e2dNVDA\u4e2d \u00e9AAPL.NY"
+    assert one(spark, X.clean_for_encoder(F.lit(odd))) == duckdb.connect().execute(f"select {_encoder_sql(chr(39) + odd + chr(39), True)}").fetchone()[0]
     assert one(spark, X.clean_words(F.lit("The long-term Market http://x of AI"), ("the", "of"), keep_hyphen=True)) == "long-term market"
 
 
