@@ -307,20 +307,20 @@ def near_components(values: DataFrame, most: int = 4, links: int | None = None,
     everyone = marked.select("key", each("others").alias("i"), j.alias("j"), F.lit(False).alias("other"), "fp", "root")
     second = connected_components(_cross_links(others.unionByName(everyone), ring))
     tops = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    moved = tops.join(rooted.groupBy("root").agg(F.count("*").alias("n")), "root")
-    still = rooted.join(tops.select("root"), "root", "left_anti")
+    moved = tops.join(rooted.groupBy("root").agg(F.count("*").alias("n")).hint("merge"), "root")
+    still = rooted.join(tops.select("root").hint("merge"), "root", "left_anti")
     return still.unionByName(join_hot(rooted, staged(moved, "moved"), "root", count).select("fp", F.col("top").alias("root")))
 
 
 def _rooted(values: DataFrame, roots: DataFrame) -> DataFrame:
     """``values(fp)`` with the ``root`` of each, itself where it has no link."""
-    return values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return values.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def _roots(rows: DataFrame, low: Column, most: int) -> DataFrame:
     """``rows(fp, ...)`` -> staged ``(fp, root, low, n)``: the least ``low`` and the number of rows of each fingerprint."""
     values = staged(rows.groupBy("fp").agg(F.min(low).alias("low"), F.count("*").alias("n")), "values")
-    return staged(near_components(values.select("fp"), most).join(values, "fp"), "roots")
+    return staged(near_components(values.select("fp"), most).join(values.hint("merge"), "fp"), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
